@@ -1,6 +1,8 @@
 """The queries of this package and, where SQL can state them, their SQL."""
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .secrets import OP9_SQL, op9_secret_scan
+from .simhash import op5_simhash_groups
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
-SQL = {"op2_exact_dedup": OP2_SQL}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_simhash_groups": op5_simhash_groups, "op9_secret_scan": op9_secret_scan}
+SQL = {"op2_exact_dedup": OP2_SQL, "op9_secret_scan": OP9_SQL}
