@@ -33,7 +33,7 @@ from .words import text_parts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries of the tables of segments and of pairs that a process keeps; characters after which the search looks for a common boundary.
-SEGMENTS, PAIRS, LOOK_EVERY = 500_000, 400_000, 64
+SEGMENTS, PAIRS, LOOK_EVERY = 400_000, 600_000, 64
 _PART_BYTES = 1 << 21
 ESCAPE = "▁"
 # Piece types and model types of the model format.
@@ -91,8 +91,13 @@ class Vocabulary:
             raise ValueError("only unigram and BPE models without normalisation rules are supported")
         self.kind, self.prefix = kind, bool(norm.get(3, 1))
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t in (NORMAL, USER_DEFINED)}
-        #: Every prefix of a piece: its id, or -1 if it is no piece itself.
-        self.starts = {p[:n]: -1 for p in self.ids for n in range(1, len(p) + 1)} | self.ids
+        #: By character: (id or -1, the same for what may follow).
+        self.trie: dict = {}
+        for piece, k in sorted(self.ids.items()):
+            below = self.trie
+            for c in piece[:-1]:
+                below = below.setdefault(c, (-1, {}))[1]
+            below[piece[-1]] = (k, {})
         self.unknown = self.types.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.longest = max(map(len, self.ids), default=1)
@@ -103,8 +108,9 @@ class Vocabulary:
         lone = "\n" not in inner
         stop = f"{ESCAPE}\n" if lone else ESCAPE
         self.segments = None if crossing else re.compile(f"{ESCAPE}*[^{stop}]+|{ESCAPE}+" + "|\n" * lone)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE merging: again and again the best-scored neighbours, leftmost first."""
@@ -123,7 +129,7 @@ class Vocabulary:
         """Whether merging the joined text of two pieces gives the pair back; unknown characters (-1) never merge."""
         if left < 0 or right < 0:
             return True
-        key = (left, right)
+        key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= PAIRS:
@@ -195,26 +201,29 @@ class Vocabulary:
 
     def _segment(self, text: str) -> list[int]:
         """The same search over a short text whose ends are boundaries: forward over the prefixes of pieces, no stream."""
-        n, get, pairs, fits = len(text), self.starts.get, self.pairs.get, self.fits
+        n, pairs, fits = len(text), self.pairs.get, self.fits
         last, start = [-2] * (n + 1), [0] * (n + 1)
         for j in range(n):
             before = last[j]
-            if j and before == -2:
+            if before == -2 and j:
                 continue
-            for e in range(j + 1, n + 1):
-                k = get(text[j:e])
-                if k is None:
-                    if e == j + 1:
-                        last[e], start[e] = -1, j
+            below = self.trie
+            for e in range(j, n):
+                node = below.get(text[e])
+                if node is None:
+                    if e == j:
+                        last[e + 1], start[e + 1] = -1, j
                     break
-                if k == -1:
-                    if e > j + 1:
-                        continue
-                elif j and before >= 0:
-                    ok = pairs((before, k))
+                k, below = node
+                if k < 0:
+                    if e == j:
+                        last[e + 1], start[e + 1] = -1, j
+                    continue
+                if before >= 0:
+                    ok = pairs(before << 32 | k)
                     if not (fits(before, k) if ok is None else ok):
                         continue
-                last[e], start[e] = k, j
+                last[e + 1], start[e + 1] = k, j
         out, e = [], n
         while e:
             j = start[e]
@@ -233,10 +242,14 @@ class Vocabulary:
             ids = known.get(segment)
             if ids is None:
                 short = self.kind == BPE and len(segment) <= LOOK_EVERY
-                ids = np.array(self._segment(segment) if short else self._ids(segment), np.int32).tobytes()
+                ids = self.older.get(segment)
+                if ids is None:
+                    found = self._segment(segment) if short else self._ids(segment)
+                    ids = struct.pack(f"<{len(found)}i", *found)
                 if short:
-                    if len(known) >= SEGMENTS:
-                        known.clear()
+                    if len(known) >= SEGMENTS:  # segments in use come back from the older half
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[segment] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
