@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import batch_bytes, mix, text_parts
+from .words import HashArray, batch_bytes, mix, text_parts
 
 #: Order of the models (16 bits a symbol in a 64-bit code), labelled rows of a language, every which of them calibrates.
 ORDER, SAMPLE_ROWS, CALIBRATE_EVERY = 4, 500, 5
@@ -117,24 +117,6 @@ def kneser_ney(syms: np.ndarray, edges: np.ndarray) -> dict:
     return out
 
 
-class HashArray:
-    """A sorted array of hashes with a table on their leading bits, so that a search reads a few neighbours."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(1, int(len(keys) * 4).bit_length())
-        self.shift, self.size = U64(64 - bits), len(keys)
-        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << self.shift).astype(np.int32)
-        self.run = int(np.diff(np.append(self.start, len(keys))).max())
-        self.keys = np.append(keys, ~U64(0))
-
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Index of each hash, or -1."""
-        at = self.start[(wanted >> self.shift).astype(np.int64)]
-        for _ in range(self.run):
-            at = at + (self.keys[at] < wanted)
-        return np.where((self.keys[at] == wanted) & (at < self.size), at, -1)
-
-
 class Model:
     """All languages' models merged; calibration beside them."""
 
