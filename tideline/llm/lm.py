@@ -20,6 +20,8 @@ their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +43,7 @@ START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 class Block:
     """The n-grams of some texts. Positions are tokens; each text ends with one end token."""
 
-    def __init__(self, column: pa.Array, train: np.ndarray, order: int = ORDER):
+    def __init__(self, column: pa.Array, train: np.ndarray, order: int = ORDER, only: tuple[int, ...] | None = None):
         data, offsets = batch_bytes(column)
         starts, ends, first = word_spans(data, offsets, separators("blank"))
         self.counts = np.diff(first) + 1
@@ -60,14 +62,14 @@ class Block:
         place = np.arange(len(token)) - np.repeat(self.first[:-1], self.counts)
         #: By order: distinct hashes; which positions have such an n-gram; index of each; training counts in this block.
         self.grams, self.at, self.index, self.own = {}, {}, {}, {}
-        for k in range(1, order + 1):
+        for k in only or range(1, order + 1):
             at = np.flatnonzero(place >= k - 2)  # the start may stand first in a history
             code = np.full(len(at), U64(k))
             for lag in range(k - 1, -1, -1):
                 code = code * U64(_BASE) + seq[token[at] - lag]
-            self.grams[k], self.index[k] = np.unique(mix(code), return_inverse=True)
-            self.at[k] = at
-            self.own[k] = np.bincount(self.index[k][trained[at]], minlength=len(self.grams[k])).astype(np.uint32)
+            self.grams[k], index = np.unique(mix(code), return_inverse=True)
+            self.index[k], self.at[k] = index.astype(np.int32), at.astype(np.int32)
+            self.own[k] = np.bincount(index[trained[at]], minlength=len(self.grams[k])).astype(np.uint32)
 
     def score(self, total: dict[int, np.ndarray], tokens: int, distinct: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(base, score, known tokens) of each text, from the training counts of this block's n-grams."""
@@ -106,44 +108,47 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ord
     bits = int(size // 2 // RANGE_GRAMS).bit_length()
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("int"))
 
-    def send(group: pa.Table) -> pa.Table:
-        block = Block(group["text"], ~np.asarray(group["held_out"]), order)
-        cuts = {k: _ranges(block.grams[k], bits) for k in block.grams}
-        out = []
-        for r in range(1 << bits):
-            row = {"range": r, "block": group["block"][0].as_py()}
-            for k, cut in cuts.items():
-                row |= {f"g{k}": pack_sorted(block.grams[k][cut[r] : cut[r + 1]]), f"c{k}": pack(block.own[k][cut[r] : cut[r + 1]])}
-            out.append(row)
-        return pa.Table.from_pylist(out, pa.schema([("range", pa.int32()), ("block", pa.int32())] + [(f"{x}{k}", pa.binary()) for k in cuts for x in "gc"]))
-
-    def add_up(group: pa.Table) -> pa.Table:
-        out = {"range": group["range"], "block": group["block"]}
-        tokens = distinct = 0
-        for k in range(1, order + 1):
-            grams = [unpack_sorted(x.as_py()) for x in group[f"g{k}"]]
-            own = np.concatenate([unpack(x.as_py(), np.uint32) for x in group[f"c{k}"]])
+    def counts_of(orders: tuple[int, ...]) -> DataFrame:
+        """(range, block, order, totals) of the n-grams of these orders, and tokens and distinct words where there are any."""
+
+        def send(group: pa.Table) -> pa.Table:
+            block = Block(group["text"], ~np.asarray(group["held_out"]), order, orders)
+            out = []
+            for k in orders:
+                cut = _ranges(block.grams[k], bits)
+                for r in range(1 << bits):
+                    mine = slice(cut[r], cut[r + 1])
+                    out.append((r, group["block"][0].as_py(), k, pack_sorted(block.grams[k][mine]), pack(block.own[k][mine])))
+            return pa.table(list(map(pa.array, zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))), names=["range", "block", "k", "grams", "own"])
+
+        def add_up(group: pa.Table) -> pa.Table:
+            grams = [unpack_sorted(x.as_py()) for x in group["grams"]]
+            own = np.concatenate([unpack(x.as_py(), np.uint32) for x in group["own"]])
             _, index = np.unique(np.concatenate(grams), return_inverse=True)
             total = np.bincount(index, weights=own).astype(np.uint64) if len(own) else np.zeros(0, np.uint64)
-            if k == 1:
-                tokens, distinct = int(total.sum()), int((total > 0).sum())
-            edges = np.cumsum([0, *map(len, grams)])
-            out[f"t{k}"] = pa.array([pack(total[index[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-        n = len(group)
-        out |= {"tokens": pa.array([tokens] + [0] * (n - 1), pa.int64()), "distinct": pa.array([distinct] + [0] * (n - 1), pa.int64())}
-        return pa.table(out)
-
-    sent = rows.groupBy("block").applyInArrow(send, "range int, block int, " + ", ".join(f"g{k} binary, c{k} binary" for k in range(1, order + 1)))
-    counted = sent.groupBy("range").applyInArrow(add_up, "range int, block int, " + ", ".join(f"t{k} binary" for k in range(1, order + 1)) + ", tokens long, distinct long")
-    counted = saved(counted, "lm-counts")
+            edges, n = np.cumsum([0, *map(len, grams)]), len(group)
+            totals = pa.array([pack(total[index[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+            once = int(group["k"][0].as_py() == 1)
+            facts = [pa.array([once * int(x)] + [0] * (n - 1), pa.int64()) for x in (total.sum(), (total > 0).sum())]
+            return pa.table([group["range"], group["block"], group["k"], totals, *facts], names=["range", "block", "k", "totals", "tokens", "distinct"])
+
+        sent = rows.groupBy("block").applyInArrow(send, "range int, block int, k int, grams binary, own binary")
+        return saved(sent.groupBy("range", "k").applyInArrow(add_up, "range int, block int, k int, totals binary, tokens long, distinct long"), "lm-counts")
+
+    # One exchange for words and pairs and one for each higher order, so that only one lies on disk at a time.
+    waves = [tuple(range(1, min(order, 2) + 1)), *((k,) for k in range(3, order + 1))]
+    counted = reduce(DataFrame.unionByName, [counts_of(w) for w in waves])
     tokens, distinct = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     texts = rows.filter(~F.col("held_out")).count()
 
     def traverse(group: pa.Table, totals: pa.Table) -> pa.Table:
         n = len(group)
         block = Block(group["text"], np.zeros(n, bool), order)
-        by_range = np.argsort(np.asarray(totals["range"]))
-        total = {k: np.concatenate([unpack(totals[f"t{k}"][int(i)].as_py(), np.uint64) for i in by_range]) for k in block.grams}
+        ranges, orders = np.asarray(totals["range"]), np.asarray(totals["k"])
+        total = {}
+        for k in block.grams:
+            mine = np.flatnonzero(orders == k)
+            total[k] = np.concatenate([unpack(totals["totals"][int(i)].as_py(), np.uint64) for i in mine[np.argsort(ranges[mine])]])
         base, score, known = block.score(total, tokens, distinct, texts)
         return pa.table(
             {"id": group["id"], "held_out": group["held_out"], "n_tokens": block.counts.astype(np.int64), "n_known": known, "train_tokens": np.full(n, tokens), "base_score": base, "score": score}
