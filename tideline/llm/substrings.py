@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 from .packing import pack, pack_sorted, unpack, unpack_sorted
-from .words import _BASE, batch_bytes, mix, separators, word_hashes, word_spans
+from .words import _BASE, batch_bytes, mix, separators, text_parts, word_hashes, word_spans
 
 #: Words of a suffix; words of the runs whose least hash names the bucket (a power of two of runs fits DEPTH).
 DEPTH, RUN = 20, 5
 #: Lengths of the prefixes at which a bucket's suffixes are split.
 PREFIXES = (2, 6, 20)
 #: Bytes of text a piece of a scan partition holds; suffixes of a bucket.
-PIECE_BYTES, BUCKET_SUFFIXES = 24 << 20, 2_000_000
+PIECE_BYTES, BUCKET_SUFFIXES = 12 << 20, 2_000_000
 _PART_BYTES = 1 << 21
 LAST = np.int64((1 << 63) - 1)
 U64 = np.uint64
@@ -48,11 +48,14 @@ _PLACES = [("id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary()
 def prefix_sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums from which hashes of any run of words follow, and the inverse powers that go with them."""
     n = len(words)
-    up, down = np.full(n + 1, U64(_BASE)), np.full(n + 1, U64(pow(_BASE, -1, 1 << 64)))
-    up[0] = down[0] = 1
-    total = np.zeros(n + 1, U64)
-    np.cumsum(words * np.multiply.accumulate(up)[:n], out=total[1:])
-    return total, np.multiply.accumulate(down)
+    power, total = np.full(n + 1, U64(_BASE)), np.zeros(n + 1, U64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    power[:n] *= words
+    np.cumsum(power[:n], out=total[1:])
+    power[:] = pow(_BASE, -1, 1 << 64)
+    power[0] = 1
+    return total, np.multiply.accumulate(power, out=power)
 
 
 def run_hashes(sums: tuple[np.ndarray, np.ndarray], begin: np.ndarray, length: int, skip: int = 0) -> np.ndarray:
@@ -85,14 +88,18 @@ class Piece:
     """Some texts of a scan partition: their suffixes and the buckets they go to."""
 
     def __init__(self, ids: np.ndarray, hashes: np.ndarray, texts: pa.Array):
-        data, offsets = batch_bytes(texts)
-        starts, ends, first = word_spans(data, offsets, separators("blank"))
-        self.words = word_hashes(data, starts, ends, lower=False)
+        words, sizes = [], []
+        for i, j in text_parts(texts, _PART_BYTES):
+            data, offsets = batch_bytes(texts[i:j])
+            starts, ends, first = word_spans(data, offsets, separators("blank"))
+            words.append(word_hashes(data, starts, ends, lower=False))
+            sizes.append(np.diff(first))
+        self.words, sizes = np.concatenate(words), np.concatenate(sizes)
         self.ids, self.hashes = ids, hashes
-        counts = np.maximum(np.diff(first) - DEPTH + 1, 0)
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        self.start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.begin = first[:-1][self.doc] + self.start
+        counts = np.maximum(sizes - DEPTH + 1, 0)
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        self.start = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        self.begin = np.repeat(np.cumsum(sizes) - sizes, counts).astype(np.int32) + self.start
 
     def marked(self, chosen: np.ndarray) -> list[dict]:
         """Rows of places: maximal repeats by text, as starts and numbers of suffixes."""
@@ -104,9 +111,9 @@ class Piece:
         if not len(self.begin):
             return [], []
         sums = prefix_sums(self.words)
-        whole = run_hashes(sums, self.begin, DEPTH)
-        first, later = _firsts(whole, self, self.begin)
+        first, later = _firsts(run_hashes(sums, self.begin, DEPTH), self)
         least = run_hashes(sums, np.arange(len(self.words) - RUN + 1), RUN)
+        del sums
         span = 1
         while span < DEPTH - RUN + 1:
             least = np.minimum(least[:-span], least[span:])
@@ -124,7 +131,8 @@ class Piece:
             if not len(mine):
                 continue
             size, at = number[mine] + DEPTH - 1, begin[head[mine]]
-            taken = self.words[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            # 48 bits of a word: only suffixes alike in all other words could be taken for equal by a collision.
+            taken = self.words[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())] >> U64(16)
             dictionary, index = np.unique(taken, return_inverse=True)
             docs, which = np.unique(doc[head[mine]], return_inverse=True)
             rows.append(
@@ -143,10 +151,11 @@ class Piece:
         return rows, self.marked(later)
 
 
-def _firsts(whole: np.ndarray, piece: Piece, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _firsts(whole: np.ndarray, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     """first_of_equal on the suffixes of a piece, looking closer only at hashes that occur more than once."""
     order = np.argsort(whole)
-    same = whole[order][1:] == whole[order][:-1]
+    ordered = whole[order]
+    same = ordered[1:] == ordered[:-1]
     shared = np.zeros(len(whole), bool)
     shared[order[1:][same]] = shared[order[:-1][same]] = True
     first, later = np.ones(len(whole), bool), np.zeros(len(whole), bool)
@@ -185,9 +194,9 @@ class Bucket:
         docs, starts, sizes = (np.concatenate(x) for x in (docs, starts, sizes))
         length = sizes + DEPTH - 1
         inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.begin = np.repeat(np.cumsum(length) - length, sizes) + inner
-        self.doc = np.repeat(docs, sizes)
-        self.start = np.repeat(starts, sizes) + inner
+        self.begin = (np.repeat(np.cumsum(length) - length, sizes) + inner).astype(np.int32)
+        self.doc = np.repeat(docs.astype(np.int32), sizes)
+        self.start = (np.repeat(starts, sizes) + inner).astype(np.int32)
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray]:
         """(suffixes, their node at full depth) of all nodes with two leaves or more."""
@@ -268,7 +277,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bit
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text"), F.col(id_col).isNull().alias("none"))
     if bits is None:
         size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        bits = int(size // 6 // BUCKET_SUFFIXES).bit_length()
+        bits = int(size // 8 // BUCKET_SUFFIXES).bit_length()
     places = repeat_places(rows.select("id", "text_hash", "text"), bits, piece_bytes)
     marks = saved(places.groupBy("id", "text_hash").agg(F.collect_list(F.struct("starts", "sizes")).alias("marks")), "substring-marks")
 
