@@ -1,11 +1,56 @@
-"""Corpus cleaning: language ID, exact dedup, near dedup, decontamination, encoding."""
+"""Corpus cleaning in five stages; each works on what the stage before kept.
+
+1. language_id: documents whose language the models reject go; the models learn from the stage's own labelled rows.
+2. exact_dedup: of texts equal but for blanks, one row stays.
+3. near_dedup: of each group linked by SimHash, the document with the least id stays.
+4. decontaminate: documents that hold a benchmark item, copied or paraphrased, go.
+5. encode: SentencePiece ids of what is left, beside the columns of documents.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm import decontaminate, exact_dedup, langid, sentencepieces, simhash
+from tideline.llm.common import saved, scratch_path, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.predict(docs, langid.fit(docs), keep=docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose id is their component's. Without any id in a component (all null) its rows stay."""
+    groups = simhash.near_groups(docs.select("doc_id", "text"))
+    gone = saved(groups.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone")).distinct(), "pipeline-near")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    gone = saved(found.select(F.col("id").alias("gone")).distinct(), "pipeline-leaks")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_texts(docs, keep=docs.columns)
+
 
-STAGES: list = []
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", decontaminated), ("encode", encode)]
+#: Language models, SimHash links and latent retrieval have no SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each but the last written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

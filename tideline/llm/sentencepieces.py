@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .words import text_parts
@@ -271,29 +272,34 @@ def vocabulary(model: bytes) -> Vocabulary:
     return _loaded[key]
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, with_ids: bool = True) -> DataFrame:
-    """(id, n_tokens, ids_sha256, round_trip, ids) of every row; the digest is over little-endian 32-bit ids."""
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, with_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """(id, n_tokens, ids_sha256, round_trip, ids) of every row; the digest is over little-endian 32-bit ids.
+
+    With keep, these columns of docs stand in place of id; none may be called as one of the new ones."""
     with open(model_path, "rb") as f:  # a file of the driver; its content goes with the tasks
         model = f.read()
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    own = docs.select(*keep) if keep else docs.select(F.col(id_col).alias("id"))
+    names, n = own.columns, len(own.columns)
+    source = docs.select(*(keep or [F.col(id_col).alias("id")]), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
         for batch in batches:
-            for i, j in text_parts(batch.column(1), _PART_BYTES):
+            for i, j in text_parts(batch.column(n), _PART_BYTES):
                 counts, digests, same, ids = [], [], [], []
-                for one in batch.column(1)[i:j].to_pylist():
+                for one in batch.column(n)[i:j].to_pylist():
                     got = words.encode(one)
                     counts.append(len(got))
                     digests.append(hashlib.sha256(got.tobytes()).hexdigest())
                     same.append(words.decode(got.tolist()) == one)
                     ids.append(got)
-                columns = [batch.column(0)[i:j], pa.array(counts, pa.int64()), pa.array(digests), pa.array(same)]
+                columns = [*batch.slice(i, j - i).columns[:n], pa.array(counts, pa.int64()), pa.array(digests), pa.array(same)]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
-                yield pa.record_batch(columns, names=["id", "n_tokens", "ids_sha256", "round_trip", "ids"][: len(columns)])
+                yield pa.record_batch(columns, names=[*names, "n_tokens", "ids_sha256", "round_trip", "ids"][: len(columns)])
 
-    return source.mapInArrow(each, f"id {source.dtypes[0][1]}, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)
+    new = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("round_trip", "boolean")
+    return source.mapInArrow(each, T.StructType(own.schema.fields + new.fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids))
 
 
 def decode_ids(encoded: DataFrame, id_col: str = "id", ids: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
