@@ -1,4 +1,283 @@
-"""The query catalogue: Spark plans and the SQL they must agree with."""
+"""The query catalogue: Spark plans and the SQL they must agree with.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Views: the change log takes each event as an entry of its user (errors delete); files are customers' orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import layout, manifest, order, read, write
+
+#: Snapshot, key range, log numbers and query range of the catalogue.
+SNAPSHOT, LOW, HIGH, LOG_NUMBER, PREV_LOG, NEXT_FILE, RANGE = 5000, 10, 60, 12000, 77, 900, (400, 450)
+FLUSH_BYTES = 600
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("op"), F.col("value").alias("v"))
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    return (
+        _t(spark, d, "orders")
+        .groupBy(F.col("o_custkey").alias("number"))
+        .agg(F.min("o_orderkey").alias("smallest"), F.max("o_orderkey").alias("largest"), F.sum(F.floor("o_totalprice").cast("long")).alias("file_size"))
+        .select((F.col("number") % 7).cast("int").alias("level"), "number", "file_size", "smallest", "largest")
+    )
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """Narrow files of level 0 that overlap in chains."""
+    n = F.floor(F.col("o_orderkey") / 10).cast("long")
+    got = _t(spark, d, "orders").groupBy(n.alias("number")).agg(F.min("o_orderkey").alias("smallest"), F.max(F.col("o_orderkey") + F.col("o_custkey") % 9).alias("largest"))
+    return got.select(F.lit(0).alias("level"), "number", F.lit(1).cast("long").alias("file_size"), "smallest", "largest")
+
+
+def ranges(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").alias("range_id"), (F.col("s_suppkey") * 97).alias("lo"), (F.col("s_suppkey") * 97 + F.col("s_nationkey")).alias("hi"))
+
+
+def ops(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("op"), "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def edits(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "events")
+    return rows.select(F.col("event_id").alias("edit_no"), (F.col("user_id") % 7).cast("int").alias("level"), (F.col("user_id") * 31 + F.col("event_id") % 17).alias("number"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("kind"))
+
+
+def sized(spark: SparkSession, d: str) -> DataFrame:
+    key, value = F.octet_length(F.col("user_id").cast("string")), F.octet_length("props")
+    return _t(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), write.entry_size(key, value).alias("bytes"))
+
+
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    """Sorted runs: the parts of each brand by name."""
+    return _t(spark, d, "part").select(F.col("p_brand").alias("run"), F.col("p_name").alias("key"), F.concat_ws("/", "p_type", F.col("p_partkey").cast("string")).alias("value"))
+
+
+def customers(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+
+
+def names(spark, d):
+    n = F.col("s_suppkey")
+    made = [F.concat(F.lit("MANIFEST-"), F.lpad(n.cast("string"), 6, "0")), *[F.concat(F.lpad(n.cast("string"), 6, "0"), F.lit(e)) for e in (".log", ".ldb", ".sst", ".dbtmp", ".txt", "")], F.concat(F.lit("a"), n.cast("string"), F.lit(".log"))]
+    fixed = [F.lit(x) for x in ("CURRENT", "LOCK", "LOG", "LOG.old", "MANIFEST-x", "foo")]
+    return _t(spark, d, "supplier").select(F.explode(F.array(*made, *fixed)).alias("name")).distinct()
+
+
+def parsed(spark, d):
+    number, kind = manifest.parse_name(F.col("name"))
+    return names(spark, d).select("name", number.alias("number"), kind.alias("type"))
+
+
+def append(spark, d):
+    target = _t(spark, d, "customer").select(F.col("c_nationkey").alias("batch_id"), F.col("c_custkey").alias("id"), F.lit("customer").alias("kind"))
+    more = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("batch_id"), F.col("s_suppkey").alias("id"), F.lit("supplier").alias("kind"))
+    return write.append_batches(target, more, "id").select("batch_id", "ordinal", "kind", "id")
+
+
+def scalars(spark, d):
+    e = _t(spark, d, "events")
+    of = lambda kind, c: F.when(F.col("event_type") == kind, F.col(c))
+    rows = e.select(F.col("event_id").alias("edit_no"), of("purchase", "event_id").alias("log_number"), of("signup", "user_id").alias("prev_log_number"), of("click", "event_id").alias("next_file_number"))
+    return manifest.replay_scalars(rows, "log_number", "prev_log_number", "next_file_number")
+
+
+def varints(spark, d):
+    n = F.col("o_orderkey") * F.col("o_orderkey") * 129
+    rows = _t(spark, d, "orders").select("o_orderkey", n.alias("n"))
+    size = write.varint_length(F.col("n"))
+    seven = lambda i: F.shiftrightunsigned("n", i * 7).bitwiseAND(F.lit(127)) + F.when(F.lit(i) < size - 1, 128).otherwise(0)
+    pieces = F.concat(*[F.when(F.lit(i) < size, F.lpad(F.hex(seven(i)), 2, "0")).otherwise("") for i in range(9)])
+    return rows.select("o_orderkey", size.alias("bytes"), F.lower(pieces).alias("hex"))
+
+
+def log_lengths(spark, d):
+    return _t(spark, d, "documents").select(F.col("source").alias("log"), F.col("doc_id").alias("ordinal"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+def _probe(spark, d):
+    rows = _t(spark, d, "part").select(F.col("p_brand").alias("group"), F.col("p_name").alias("key"))
+    others = _t(spark, d, "part").select(F.col("p_brand").alias("group"), F.concat(F.lit("absent "), F.col("p_name")).alias("key"))
+    got = layout.bloom_probe(rows, rows.withColumn("m", F.lit(1)).unionByName(others.withColumn("m", F.lit(0))))
+    return got.withColumn("member", (~F.col("key").startswith("absent ")).cast("int")).groupBy("member").agg(F.count("*").alias("probes"), F.count_if("may_hold").alias("hits"))
+
+
+def _crc(spark, d):
+    e = entries(spark, d)
+    return e.groupBy("run").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: F.concat(x["key"], x["value"]))).alias("block")).select("run", F.crc32(F.col("block").cast("binary")).alias("crc"), F.octet_length("block").cast("long").alias("bytes"))
+
+
+QUERIES = {
+    "kv_internal_order": lambda s, d: read.internal_order(log(s, d)),
+    "kv_latest": lambda s, d: read.latest(log(s, d)),
+    "kv_snapshot": lambda s, d: read.latest(log(s, d), SNAPSHOT),
+    "kv_get_status": lambda s, d: read.get_status(log(s, d), customers(s, d), SNAPSHOT),
+    "kv_range_scan": lambda s, d: read.range_scan(log(s, d), LOW, HIGH),
+    "kv_reverse_scan": lambda s, d: read.reverse_scan(log(s, d)),
+    "kv_seek": lambda s, d: order.seek(read.latest(log(s, d)), "k", customers(s, d).select(F.col("k").alias("t")), "t"),
+    "kv_seek_before": lambda s, d: order.seek(read.latest(log(s, d)), "k", customers(s, d).select(F.col("k").alias("t")), "t", before=True),
+    "kv_next_prev": lambda s, d: order.neighbours(_t(s, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k"),
+    "kv_first_last": lambda s, d: read.first_last(log(s, d)),
+    "merge_sources": lambda s, d: read.merge_sources(_t(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("id")), _t(s, d, "events").select(F.col("event_id").alias("k"), F.col("user_id").alias("id"))),
+    "find_file": lambda s, d: manifest.find_file(files(s, d), customers(s, d).select(F.col("k").alias("t"))),
+    "batch_ops": lambda s, d: write.batch_ops(ops(s, d)),
+    "batch_sequence": lambda s, d: write.sequence_batches(ops(s, d), 1, "l_linenumber", "l_partkey", "l_suppkey", "op"),
+    "batch_count_check": lambda s, d: write.count_mismatches(ops(s, d), F.col("l_linenumber")),
+    "batch_append": append,
+    "flush_cut": lambda s, d: write.flush_cuts(sized(s, d), FLUSH_BYTES),
+    "entry_bytes": lambda s, d: sized(s, d).groupBy("k").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")),
+    "block_cut": lambda s, d: layout.block_cuts(entries(s, d), "run", 512),
+    "restart_points": lambda s, d: layout.restart_points(entries(s, d), "run"),
+    "shared_prefix": lambda s, d: layout.shared_prefixes(entries(s, d), "run"),
+    "block_bytes": lambda s, d: layout.block_sizes(entries(s, d), "run"),
+    "separator": lambda s, d: layout.separators(entries(s, d), "run"),
+    "successor": lambda s, d: entries(s, d).select("key", layout.ascii_successor(F.col("key")).alias("successor")).distinct(),
+    "level_scores": lambda s, d: manifest.level_scores(files(s, d)),
+    "pick_compaction_level": lambda s, d: manifest.pick_compaction(files(s, d)),
+    "range_overlap": lambda s, d: manifest.overlaps(files(s, d), ranges(s, d)).groupBy("range_id", "level").agg(F.count("*").alias("files")),
+    "overlap_closure": lambda s, d: manifest.overlap_closure(runs(s, d), *RANGE),
+    "memtable_output_level": lambda s, d: manifest.output_level(files(s, d).filter("level > 1"), ranges(s, d)),
+    "allowed_seeks": lambda s, d: manifest.allowed_seeks(files(s, d)),
+    "manifest_replay": lambda s, d: manifest.replay(edits(s, d)),
+    "manifest_scalars": scalars,
+    "manifest_disjoint": lambda s, d: manifest.disjoint_violations(files(s, d)),
+    "live_files": lambda s, d: manifest.live_files(files(s, d), manifest.replay(edits(s, d))),
+    "missing_files": lambda s, d: manifest.missing_files(files(s, d), _t(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("number"))),
+    "log_select": lambda s, d: order.positions(manifest.select_logs(_t(s, d, "orders").select(F.col("o_orderkey").alias("number")), LOG_NUMBER, PREV_LOG), "number"),
+    "next_file_number": lambda s, d: manifest.next_file_number(NEXT_FILE, files(s, d), manifest.replay(edits(s, d))),
+    "file_name_parse": parsed,
+    "obsolete_files": lambda s, d: manifest.obsolete_files(parsed(s, d), files(s, d).filter("level = 0"), 40, 7).select("name", "number", "type"),
+    "varint_bytes": varints,
+    "bloom_probe": _probe,
+    "block_crc": _crc,
+    "log_fragments": lambda s, d: layout.log_fragments(log_lengths(s, d), "log"),
+    "compaction_rewrite": lambda s, d: read.compaction(log(s, d), SNAPSHOT),
+}
+
+_LOG = "l AS (SELECT user_id AS k, event_id AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS op, value AS v FROM events)"
+_FILES = """f AS (SELECT CAST(o_custkey % 7 AS INTEGER) AS level, o_custkey AS number, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS file_size,
+  min(o_orderkey) AS smallest, max(o_orderkey) AS largest FROM orders GROUP BY o_custkey)"""
+_RANGES = "r AS (SELECT s_suppkey AS range_id, s_suppkey * 97 AS lo, s_suppkey * 97 + s_nationkey AS hi FROM supplier)"
+_LIVE = "v AS (SELECT k, seq, v FROM l QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, op DESC) = 1 AND op = 1)"
+_OPS = "o AS (SELECT l_orderkey AS batch_id, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS op, l_linenumber, l_partkey, l_suppkey FROM lineitem)"
+_EDITS = """e AS (SELECT event_id AS edit_no, CAST(user_id % 7 AS INTEGER) AS level, user_id * 31 + event_id % 17 AS number,
+  CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS kind FROM events),
+rep AS (SELECT level, number, edit_no FROM e QUALIFY row_number() OVER (PARTITION BY level, number ORDER BY edit_no DESC, kind DESC) = 1 AND kind = 1)"""
+_ENTRIES = "n AS (SELECT p_brand AS run, p_name AS key, p_type || '/' || p_partkey AS value FROM part)"
+
+
+def _var(x: str) -> str:
+    return f"(CASE WHEN {x} = 0 THEN 1 ELSE CAST(ceil(length(ltrim(bin(CAST({x} AS BIGINT)), '0')) / 7.0) AS BIGINT) END)"
+
+
+_SIZED = f"""z AS (SELECT user_id AS k, event_id AS seq, kb, vb, {_var("(kb + 8)")} + kb + 8 + {_var("vb")} + vb AS bytes
+  FROM (SELECT *, strlen(CAST(user_id AS VARCHAR)) AS kb, strlen(props) AS vb FROM events))"""
+_SHARED = f"""{_ENTRIES},
+p AS (SELECT *, lag(key) OVER w AS prev, row_number() OVER w - 1 AS place FROM n WINDOW w AS (PARTITION BY run ORDER BY key, value)),
+c AS (SELECT *, CAST(CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(prev), length(key)) + 1), lambda i: left(prev, i) = left(key, i))) END AS BIGINT) AS shared FROM p)"""
+_SCORES = f"""{_FILES},
+s AS (SELECT CAST(x AS INTEGER) AS level, count(number) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes FROM range(6) t(x) LEFT JOIN f ON f.level = x GROUP BY x),
+q AS (SELECT *, CASE WHEN level = 0 THEN files / 4.0::DOUBLE ELSE bytes / (10485760.0::DOUBLE * pow(10.0::DOUBLE, greatest(level - 1, 0)::DOUBLE)) END AS score FROM s)"""
+_NAMES = """nm AS (SELECT DISTINCT unnest([
+  'MANIFEST-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.log', lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.ldb',
+  lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.sst', lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.dbtmp', lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.txt',
+  lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), 'a' || s_suppkey || '.log', 'CURRENT', 'LOCK', 'LOG', 'LOG.old', 'MANIFEST-x', 'foo']) AS name FROM supplier),
+fn AS (SELECT name,
+  CASE WHEN name IN ('CURRENT', 'LOCK', 'LOG', 'LOG.old') THEN 0
+    WHEN regexp_full_match(name, 'MANIFEST-[0-9]+|[0-9]+\\.(log|sst|ldb|dbtmp)') THEN CAST(regexp_extract(name, '[0-9]+') AS BIGINT) END AS number,
+  CASE WHEN name = 'CURRENT' THEN 'current' WHEN name = 'LOCK' THEN 'lock' WHEN name LIKE 'LOG%' THEN 'info_log' WHEN regexp_full_match(name, 'MANIFEST-[0-9]+') THEN 'manifest'
+    WHEN regexp_full_match(name, '[0-9]+\\.log') THEN 'log' WHEN regexp_full_match(name, '[0-9]+\\.(sst|ldb)') THEN 'table' WHEN regexp_full_match(name, '[0-9]+\\.dbtmp') THEN 'temp' END AS type
+  FROM nm)""".replace("\\\\", "\\")
+
+SQL = {
+    "kv_internal_order": f"WITH {_LOG} SELECT *, row_number() OVER (ORDER BY k, seq DESC, op DESC) AS pos FROM l",
+    "kv_latest": f"WITH {_LOG}, {_LIVE} SELECT * FROM v",
+    "kv_snapshot": f"WITH {_LOG}, {_LIVE.replace('FROM l', f'FROM l WHERE seq <= {SNAPSHOT}')} SELECT * FROM v",
+    "kv_get_status": f"""WITH {_LOG}, g AS (SELECT * FROM l WHERE seq <= {SNAPSHOT} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, op DESC) = 1)
+SELECT c_custkey AS k, CASE WHEN op IS NULL THEN 'NOT_FOUND' WHEN op = 0 THEN 'DELETED' ELSE 'FOUND' END AS status, CASE WHEN op = 1 THEN v END AS v FROM customer LEFT JOIN g ON k = c_custkey""",
+    "kv_range_scan": f"WITH {_LOG}, {_LIVE} SELECT * FROM v WHERE k BETWEEN {LOW} AND {HIGH}",
+    "kv_reverse_scan": f"WITH {_LOG}, {_LIVE} SELECT *, row_number() OVER (ORDER BY k DESC) AS pos FROM v",
+    "kv_seek": f"WITH {_LOG}, {_LIVE} SELECT c_custkey AS t, min(k) AS found FROM customer LEFT JOIN v ON k >= c_custkey GROUP BY c_custkey",
+    "kv_seek_before": f"WITH {_LOG}, {_LIVE} SELECT c_custkey AS t, max(k) AS found FROM customer LEFT JOIN v ON k < c_custkey GROUP BY c_custkey",
+    "kv_next_prev": "SELECT k, lag(k) OVER (ORDER BY k) AS prev, lead(k) OVER (ORDER BY k) AS next FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem)",
+    "kv_first_last": f"""WITH {_LOG} (SELECT 'first' AS which, * FROM l ORDER BY k, seq DESC, op DESC LIMIT 1)
+UNION ALL (SELECT 'last', * FROM l ORDER BY k DESC, seq, op LIMIT 1)""",
+    "merge_sources": """SELECT *, row_number() OVER (ORDER BY k, src, id) AS pos FROM (SELECT o_orderkey AS k, 0 AS src, o_custkey AS id FROM orders UNION ALL SELECT event_id, 1, user_id FROM events)""",
+    "find_file": f"""WITH {_FILES} SELECT level, c_custkey AS t, largest, number FROM customer JOIN f ON largest >= c_custkey
+QUALIFY row_number() OVER (PARTITION BY level, c_custkey ORDER BY largest, number) = 1""",
+    "batch_ops": f"WITH {_OPS} SELECT batch_id, count(*) FILTER (op = 1) AS puts, count(*) FILTER (op = 0) AS deletes FROM o GROUP BY batch_id",
+    "batch_sequence": f"""WITH {_OPS} SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY l_linenumber, l_partkey, l_suppkey, op) - 1 AS ordinal,
+  row_number() OVER (ORDER BY batch_id, l_linenumber, l_partkey, l_suppkey, op) AS seq FROM o""",
+    "batch_count_check": f"WITH {_OPS} SELECT batch_id, CAST(max(l_linenumber) AS BIGINT) AS declared, count(*) AS found FROM o GROUP BY batch_id HAVING max(l_linenumber) <> count(*)",
+    "batch_append": """SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY kind, id) - 1 AS ordinal, kind, id
+FROM (SELECT c_nationkey AS batch_id, 'customer' AS kind, c_custkey AS id FROM customer UNION ALL SELECT s_nationkey, 'supplier', s_suppkey FROM supplier)""",
+    "flush_cut": f"""WITH RECURSIVE {_SIZED}, x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS rn FROM z),
+y AS (SELECT k, rn, seq, bytes, bytes AS held, CAST(0 AS BIGINT) AS flush FROM x WHERE rn = 1
+  UNION ALL SELECT x.k, x.rn, x.seq, x.bytes, CASE WHEN y.held > {FLUSH_BYTES} THEN x.bytes ELSE y.held + x.bytes END, CASE WHEN y.held > {FLUSH_BYTES} THEN y.flush + 1 ELSE y.flush END
+  FROM y JOIN x ON x.k = y.k AND x.rn = y.rn + 1)
+SELECT k, flush, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(seq) AS min_seq, max(seq) AS max_seq FROM y GROUP BY k, flush""",
+    "entry_bytes": f"WITH {_SIZED} SELECT k, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM z GROUP BY k",
+    "block_cut": f"""WITH RECURSIVE {_SHARED}, x AS (SELECT run, place, key, shared, strlen(key) AS kb, strlen(value) AS vb FROM c),
+y AS (SELECT run, place, key, CAST(0 AS BIGINT) AS block, CAST(1 AS BIGINT) AS cnt, 1 + {_var("kb")} + {_var("vb")} + kb + vb AS held FROM x WHERE place = 0
+  UNION ALL SELECT run, place, key, CASE WHEN fresh THEN block + 1 ELSE block END, CASE WHEN fresh THEN 1 ELSE cnt + 1 END,
+    CASE WHEN fresh THEN 0 ELSE held END + {_var("common")} + {_var("(kb - common)")} + {_var("vb")} + kb - common + vb
+  FROM (SELECT x.*, y.block, y.cnt, y.held, y.held + 4 * ceil(y.cnt / 16.0) + 4 >= 512 AS fresh,
+    CASE WHEN y.held + 4 * ceil(y.cnt / 16.0) + 4 >= 512 OR y.cnt % 16 = 0 THEN 0 ELSE x.shared END AS common FROM y JOIN x ON x.run = y.run AND x.place = y.place + 1))
+SELECT run, block, count(*) AS entries, CAST(max(held) + 4 * ceil(count(*) / 16.0) + 4 AS BIGINT) AS bytes, min(key) AS first_key, max(key) AS last_key FROM y GROUP BY run, block""",
+    "restart_points": f"WITH {_SHARED} SELECT run, key, value, place // 16 AS restart, place % 16 AS \"offset\" FROM p",
+    "shared_prefix": f"WITH {_SHARED} SELECT run, key, value, prev, shared FROM c",
+    "block_bytes": f"""WITH {_SHARED}, x AS (SELECT run, place // 64 AS block, CASE WHEN place % 64 % 16 = 0 THEN 0 ELSE shared END AS sh, strlen(key) AS kb, strlen(value) AS vb FROM c)
+SELECT run, block, count(*) AS entries, CAST(sum({_var("sh")} + {_var("(kb - sh)")} + {_var("vb")} + kb - sh + vb) + 4 * ceil(count(*) / 16.0) + 4 AS BIGINT) AS bytes FROM x GROUP BY run, block""",
+    "separator": """WITH k AS (SELECT DISTINCT p_brand AS run, p_name AS lim FROM part),
+p AS (SELECT run, lag(lim) OVER (PARTITION BY run ORDER BY lim) AS start, lim FROM k),
+c AS (SELECT *, CAST(len(list_filter(range(1, least(length(start), length(lim)) + 1), lambda i: left(start, i) = left(lim, i))) AS BIGINT) + 1 AS d FROM p WHERE start IS NOT NULL)
+SELECT run, start, lim AS "limit", CASE WHEN d <= length(start) AND d <= length(lim) AND ascii(substr(start, d, 1)) + 1 < ascii(substr(lim, d, 1)) THEN left(start, d - 1) || chr(ascii(substr(start, d, 1)) + 1) ELSE start END AS separator FROM c""",
+    "successor": "SELECT DISTINCT p_name AS key, chr(ascii(p_name) + 1) AS successor FROM part",
+    "level_scores": f"WITH {_SCORES} SELECT level, files, bytes, score FROM q",
+    "pick_compaction_level": f"WITH {_SCORES} SELECT level, score FROM q ORDER BY score DESC, level LIMIT 1",
+    "range_overlap": f"WITH {_FILES}, {_RANGES} SELECT range_id, level, count(*) AS files FROM r JOIN f ON lo <= largest AND smallest <= hi GROUP BY range_id, level",
+    "overlap_closure": f"""WITH g AS (SELECT o_orderkey // 10 AS number, min(o_orderkey) AS smallest, max(o_orderkey + o_custkey % 9) AS largest FROM orders GROUP BY 1 UNION ALL SELECT NULL, {RANGE[0]}, {RANGE[1]}),
+h AS (SELECT *, max(largest) OVER (ORDER BY smallest, largest, number NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM g),
+i AS (SELECT *, sum(CASE WHEN ahead IS NULL OR smallest > ahead THEN 1 ELSE 0 END) OVER (ORDER BY smallest, largest, number NULLS FIRST) AS island FROM h)
+SELECT number, smallest, largest FROM i WHERE number IS NOT NULL AND island = (SELECT island FROM i WHERE number IS NULL)""",
+    "memtable_output_level": f"""WITH {_FILES}, {_RANGES},
+h AS (SELECT range_id, count(*) FILTER (level = 0) AS c0, count(*) FILTER (level = 1) AS c1, count(*) FILTER (level = 2) AS c2, coalesce(sum(file_size) FILTER (level = 2), 0) AS b2, coalesce(sum(file_size) FILTER (level = 3), 0) AS b3
+  FROM r LEFT JOIN (SELECT * FROM f WHERE level > 1) ON lo <= largest AND smallest <= hi GROUP BY range_id)
+SELECT range_id, CASE WHEN c0 > 0 OR c1 > 0 OR b2 > 20971520 THEN 0 WHEN c2 > 0 OR b3 > 20971520 THEN 1 ELSE 2 END AS level FROM h""",
+    "allowed_seeks": f"WITH {_FILES} SELECT number, greatest(100, file_size // 16384) AS allowed_seeks FROM f",
+    "manifest_replay": f"WITH {_EDITS} SELECT level, number, edit_no FROM rep",
+    "manifest_scalars": """SELECT arg_max(event_id, event_id) FILTER (event_type = 'purchase') AS log_number, arg_max(user_id, event_id) FILTER (event_type = 'signup') AS prev_log_number,
+  arg_max(event_id, event_id) FILTER (event_type = 'click') AS next_file_number FROM events""",
+    "manifest_disjoint": f"""WITH {_FILES}, b AS (SELECT *, lag(largest) OVER (PARTITION BY level ORDER BY smallest, largest, number) AS before FROM f WHERE level > 0)
+SELECT level, number, smallest, before FROM b WHERE before >= smallest""",
+    "live_files": f"WITH {_FILES}, {_EDITS} SELECT number FROM f UNION SELECT number FROM rep",
+    "missing_files": f"WITH {_FILES} SELECT number FROM f ANTI JOIN (SELECT c_custkey AS number FROM customer WHERE c_acctbal > 0) USING (number)",
+    "log_select": f"SELECT o_orderkey AS number, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders WHERE o_orderkey >= {LOG_NUMBER} OR o_orderkey = {PREV_LOG}",
+    "next_file_number": f"WITH {_FILES}, {_EDITS} SELECT greatest({NEXT_FILE}, max(number) + 1) AS next_file_number FROM (SELECT number FROM f UNION SELECT number FROM rep)",
+    "file_name_parse": f"WITH {_NAMES} SELECT * FROM fn",
+    "obsolete_files": f"""WITH {_FILES}, {_NAMES} SELECT name, number, type FROM fn WHERE type IN ('table', 'temp') AND number NOT IN (SELECT number FROM f WHERE level = 0)
+UNION ALL SELECT name, number, type FROM fn WHERE type = 'log' AND number < 40 AND number <> 7 AND number NOT IN (SELECT number FROM f WHERE level = 0)""",
+    "varint_bytes": f"""WITH b AS (SELECT o_orderkey, o_orderkey * o_orderkey * 129 AS n FROM orders), c AS (SELECT *, {_var("n")} AS bytes FROM b)
+SELECT o_orderkey, bytes, array_to_string(list_transform(range(bytes), lambda i: lpad(lower(to_hex((n >> CAST(i * 7 AS INTEGER)) % 128 + CASE WHEN i < bytes - 1 THEN 128 ELSE 0 END)), 2, '0')), '') AS hex FROM c""",
+    "log_fragments": """WITH RECURSIVE d AS (SELECT source AS log, doc_id AS ordinal, CAST(strlen(text) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+s AS (SELECT log, rn, ordinal, bytes AS remaining, CAST(0 AS BIGINT) AS fragment, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS payload, '' AS type, CAST(-1 AS BIGINT) AS file_offset, false AS made FROM d WHERE rn = 1
+  UNION ALL
+  SELECT s.log, CASE WHEN done THEN d.rn ELSE s.rn END, CASE WHEN done THEN d.ordinal ELSE s.ordinal END, CASE WHEN done THEN d.bytes ELSE s.remaining - take END,
+    CASE WHEN done THEN 0 ELSE s.fragment + 1 END, CASE WHEN done THEN s.pos ELSE start + 7 + take END, CASE WHEN done THEN 0 ELSE take END,
+    CASE WHEN done THEN '' WHEN s.fragment = 0 AND take = s.remaining THEN 'FULL' WHEN s.fragment = 0 THEN 'FIRST' WHEN take = s.remaining THEN 'LAST' ELSE 'MIDDLE' END,
+    CASE WHEN done THEN -1 ELSE start END, NOT done
+  FROM (SELECT *, made AND remaining = 0 AS done, CASE WHEN 32768 - pos % 32768 < 7 THEN pos + 32768 - pos % 32768 ELSE at END AS start,
+      least(remaining, (CASE WHEN 32768 - pos % 32768 < 7 THEN 32768 ELSE 32768 - pos % 32768 END) - 7) AS take FROM s) s
+  LEFT JOIN d ON s.log = d.log AND s.rn + 1 = d.rn WHERE NOT done OR d.rn IS NOT NULL)
+SELECT log, ordinal, fragment - 1 AS fragment, type, payload, file_offset FROM s WHERE made""",
+    "compaction_rewrite": f"""WITH {_LOG} SELECT * FROM l WHERE seq > {SNAPSHOT} UNION ALL
+(SELECT * FROM l WHERE seq <= {SNAPSHOT} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, op DESC) = 1)""",
+}
