@@ -274,7 +274,7 @@ s AS (SELECT log, rn, ordinal, bytes AS remaining, CAST(0 AS BIGINT) AS fragment
     CASE WHEN done THEN 0 ELSE s.fragment + 1 END, CASE WHEN done THEN s.pos ELSE start + 7 + take END, CASE WHEN done THEN 0 ELSE take END,
     CASE WHEN done THEN '' WHEN s.fragment = 0 AND take = s.remaining THEN 'FULL' WHEN s.fragment = 0 THEN 'FIRST' WHEN take = s.remaining THEN 'LAST' ELSE 'MIDDLE' END,
     CASE WHEN done THEN -1 ELSE start END, NOT done
-  FROM (SELECT *, made AND remaining = 0 AS done, CASE WHEN 32768 - pos % 32768 < 7 THEN pos + 32768 - pos % 32768 ELSE at END AS start,
+  FROM (SELECT *, made AND remaining = 0 AS done, CASE WHEN 32768 - pos % 32768 < 7 THEN pos + 32768 - pos % 32768 ELSE pos END AS start,
       least(remaining, (CASE WHEN 32768 - pos % 32768 < 7 THEN 32768 ELSE 32768 - pos % 32768 END) - 7) AS take FROM s) s
   LEFT JOIN d ON s.log = d.log AND s.rn + 1 = d.rn WHERE NOT done OR d.rn IS NOT NULL)
 SELECT log, ordinal, fragment - 1 AS fragment, type, payload, file_offset FROM s WHERE made""",
