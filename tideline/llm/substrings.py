@@ -210,7 +210,7 @@ class Bucket:
             if prefix == 2:  # both words fit a number
                 edge = self.words[at].astype(U64) << U64(32) | self.words[at + 1].astype(U64)
             else:
-                sums = sums or prefix_sums(mix(self.words.astype(U64) + U64(1)))
+                sums = sums or prefix_sums(mix(np.arange(1, len(self.vocabulary) + 1, dtype=U64))[self.words])
                 edge = mix(run_hashes(sums, at, prefix, depth) + mix(node.astype(U64)))
             order = np.argsort(edge)
             e = edge[order]
