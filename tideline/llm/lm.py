@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, tasks
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 from .words import _BASE, batch_bytes, mix, separators, word_hashes, word_spans
 
@@ -104,7 +104,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ord
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col(id_col).alias("id"), (fold == HELD_OUT).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = size // block_bytes + 1
+    blocks = max(tasks(spark), size // block_bytes + 1)
     bits = int(size // 2 // RANGE_GRAMS).bit_length()
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("int"))
 
