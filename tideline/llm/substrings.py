@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, tasks
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 from .words import _BASE, batch_bytes, mix, separators, text_parts, word_hashes, word_spans
 
@@ -277,7 +277,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bit
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text"), F.col(id_col).isNull().alias("none"))
     if bits is None:
         size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        bits = int(size // 8 // BUCKET_SUFFIXES).bit_length()
+        bits = max(int(size // 8 // BUCKET_SUFFIXES), tasks(docs.sparkSession) - 1).bit_length()
     places = repeat_places(rows.select("id", "text_hash", "text"), bits, piece_bytes)
     marks = saved(places.groupBy("id", "text_hash").agg(F.collect_list(F.struct("starts", "sizes")).alias("marks")), "substring-marks")
 
