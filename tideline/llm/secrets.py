@@ -87,7 +87,7 @@ class BlobLedger:
         return found.filter(F.col("rules") == self.rules)
 
     def scan(self, versions: DataFrame, content: str) -> DataFrame:
-        """Scan what the ledger lacks and append it; the new rows only."""
+        """Scan what the ledger lacks and append it; returns all rows of this rule set."""
         blobs = versions.select(F.sha2(text_or_empty(content).cast("binary"), 256).alias("blob"), text_or_empty(content).alias("text"))
         unseen = blobs.join(self.read().select("blob"), "blob", "left_anti") if self.exists() else blobs
         # One copy of each blob; partial aggregation drops the others before the shuffle.
