@@ -34,7 +34,7 @@ from .words import text_parts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries of the tables of segments and of pairs that a process keeps; characters after which the search looks for a common boundary.
-SEGMENTS, PAIRS, LOOK_EVERY = 120_000, 250_000, 64
+SEGMENTS, PAIRS, LOOK_EVERY = 160_000, 300_000, 64
 _PART_BYTES = 1 << 21
 ESCAPE = "▁"
 # Piece types and model types of the model format.
