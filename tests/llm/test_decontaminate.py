@@ -74,3 +74,15 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
     assert D.contaminated(d.limit(0), b).count() == 0
     assert D.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_long_items_lose_no_copy(spark):
+    """A full block of items of several hundred words, each copied whole, against brute force."""
+    r = random.Random(11)
+    known = ["".join(r.choices("abcdefghij", k=5)) for _ in range(6000)]
+    prose = lambda n: [known[int(len(known) * r.random() ** 2)] for _ in range(n)]
+    items = [(i, " ".join(prose(480))) for i in range(120)] + [(120, " ".join(prose(D.RANK * D.PASSAGE + 100)))]
+    docs = [(i, " ".join(prose(150) + t.split() + prose(150))) for i, t in items] + [(1000 + d, " ".join(prose(300))) for d in range(120)]
+    brute = {(d, i) for d, w in docs for i, t in items if t in w}
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert len(brute) == 121 and {(x.id, x["item"]) for x in found} == brute

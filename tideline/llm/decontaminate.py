@@ -8,8 +8,10 @@ compared with all passages by cosine. Windows above COSINE are candidates; a can
 item by the longest common subsequence of words: at VERBATIM or more of the item it is a copy; at PARAPHRASE or more
 it counts if the item's last words, its answer, are there as well.
 
-Documents are never compared with documents. Items are taken BLOCK_ITEMS at a time, so what is broadcast (vocabulary,
-latent vectors, items) has a fixed bound, and the corpus is read twice a block. Words in more than MAX_SHARE of the
+Documents are never compared with documents. A block takes BLOCK_ITEMS items at most and no more passages than the rank:
+the latent space then holds every passage whole, and a copy's cosine loses nothing to the projection. An item of more
+passages than that is a block by itself, whose rank follows its passages. So what is broadcast (vocabulary, latent
+vectors, items) is bounded by the rank or by the longest item, and the corpus is read twice a block. Words in more than MAX_SHARE of the
 documents weigh nothing, unless an item would be left with fewer than LEAST_TERMS weighted words.
 
 Defined results. Null or wordless texts and items match nothing. A null id is an id like any other. Rows that repeat an
@@ -23,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import saved, table
 from .words import HashArray, batch_bytes, separators, text_parts, word_hashes, word_spans
 
-#: Items a block; words of a passage and of half a window; rank of the latent space and columns of the sketch beyond it.
-BLOCK_ITEMS, PASSAGE, HALF, RANK, OVERSAMPLE = 256, 48, 32, 192, 16
+#: Items a block; words of a passage and of half a window; passages a block and least bound of its rank; columns of the sketch beyond it.
+BLOCK_ITEMS, PASSAGE, HALF, RANK, OVERSAMPLE = 256, 48, 32, 256, 16
 MAX_SHARE, LEAST_TERMS = 0.1, 6
 COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.2, 0.8, 0.6, 6, 0.8
 _PART_BYTES = 1 << 21
@@ -223,6 +225,25 @@ def _latent_basis(spark: SparkSession, index: Index, rank: int) -> np.ndarray:
     return basis @ turn[:, ::-1][:, :kept]
 
 
+def _in_blocks(items: DataFrame, rank: int, block_items: int) -> DataFrame:
+    """Items in the order of their ids with the number of their block, which is full at block_items items or rank passages."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, passages = 0, 0, 0
+        for batch in batches:
+            numbers = []
+            for i, j in text_parts(batch.column(1), _PART_BYTES):
+                for words in np.diff(words_of(batch.column(1)[i:j])[1]).tolist():
+                    more = max(1, words // PASSAGE)
+                    if held and (held == block_items or passages + more > rank):
+                        block, held, passages = block + 1, 0, 0
+                    held, passages = held + 1, passages + more
+                    numbers.append(block)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(numbers, pa.int64())], names=["item", "text", "block"])
+
+    return items.repartition(1).sortWithinPartitions("item", "text").mapInArrow(each, f"item {items.dtypes[0][1]}, text string, block long")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(id, item, cosine, share, kind) of every document row and item that match."""
     spark = docs.sparkSession
@@ -230,7 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_id).alias("item"), F.lower(F.coalesce(F.col(item_text).cast("string"), F.lit(""))).alias("text")).distinct()
     schema = f"id {rows.dtypes[0][1]}, item {items.dtypes[0][1]}, cosine double, share double, kind string"
     # Items by block of the order of their ids; a block's items are all that the driver holds.
-    items = saved(items.withColumn("block", F.floor((F.row_number().over(Window.orderBy("item", "text")) - 1) / block_items)), "benchmark-items")
+    items = saved(_in_blocks(items, rank, block_items), "benchmark-items")
     blocks = [r.block for r in items.select("block").distinct().orderBy("block").collect()]
     out = spark.createDataFrame([], schema)
     for block in blocks:
@@ -239,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             continue
         index = Index([r["item"] for r in mine], [r.text for r in mine])
         index.weigh(*_frequencies(rows, index))
-        index.place(_latent_basis(spark, index, rank))
+        index.place(_latent_basis(spark, index, max(rank, len(index.owner))))
         out = out.unionByName(rows.mapInArrow(_matcher(spark.sparkContext.broadcast(index), items.schema["item"].dataType), schema))
     return out
 
