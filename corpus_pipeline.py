@@ -2,7 +2,7 @@
 
 1. language_id: documents whose language the models reject go; the models learn from the stage's own labelled rows.
 2. exact_dedup: of texts equal but for blanks, one row stays.
-3. near_dedup: of each group linked by SimHash, the document with the least id stays.
+3. near_dedup: of each group linked by SimHash or by a 5-word shingle similarity of 0.8, the document with the least id stays.
 4. decontaminate: documents that hold a benchmark item, copied or paraphrased, go.
 5. encode: SentencePiece ids of what is left, beside the columns of documents.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, exact_dedup, langid, sentencepieces, simhash
+from tideline.llm import decontaminate, exact_dedup, langid, nearcopies, sentencepieces
 from tideline.llm.common import saved, scratch_path, table
 
 
@@ -26,7 +26,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose id is their component's. Without any id in a component (all null) its rows stay."""
-    groups = simhash.near_groups(docs.select("doc_id", "text"))
+    groups = nearcopies.near_components(docs.select("doc_id", "text"))
     gone = saved(groups.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone")).distinct(), "pipeline-near")
     return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
 
@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", decontaminated), ("encode", encode)]
-#: Language models, SimHash links and latent retrieval have no SQL; tests compare run() with a brute-force version.
+#: Language models, near-copy links and latent retrieval have no SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
