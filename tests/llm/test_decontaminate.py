@@ -86,3 +86,16 @@ def test_long_items_lose_no_copy(spark):
     brute = {(d, i) for d, w in docs for i, t in items if t in w}
     found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
     assert len(brute) == 121 and {(x.id, x["item"]) for x in found} == brute
+
+
+def test_single_passages_of_long_items(spark):
+    r = random.Random(12)
+    prose = lambda n: ["".join(r.choices("abcdefghij", k=5)) for _ in range(n)]
+    long = [prose(480) for _ in range(5)]
+    items = [(i, " ".join(w)) for i, w in enumerate(long)] + [(9, " ".join(prose(40)))]
+    docs = [(i, " ".join(prose(150) + w[96 * i : 96 * i + 96] + prose(150))) for i, w in enumerate(long)]
+    docs += [(10, " ".join(prose(100) + long[0] + prose(100))), (11, " ".join(prose(90) + long[1][60:80] + prose(90))), (12, " ".join(prose(90) + items[5][1].split()[:20] + prose(90)))]
+    docs += [(100 + d, " ".join(prose(60))) for d in range(40)]  # words of a tenth of the documents weigh nothing
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert {(x.id, x["item"], x.kind) for x in got} == {(i, i, "passage") for i in range(5)} | {(10, 0, "verbatim")}
+    assert all(0.15 < x.share < 0.6 for x in got if x.kind == "passage")

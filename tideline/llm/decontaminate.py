@@ -6,7 +6,8 @@ orthonormalises the (words x rank) sum, which is one step of subspace iteration,
 in that basis from a small Gram matrix, added up the same way. Every window of every document is projected and
 compared with all passages by cosine. Windows above COSINE are candidates; a candidate is checked against the whole
 item by the longest common subsequence of words: at VERBATIM or more of the item it is a copy; at PARAPHRASE or more
-it counts if the item's last words, its answer, are there as well.
+it counts if the item's last words, its answer, are there as well. Failing both, VERBATIM of one passage of an item of
+several passages is a copy of that passage, kind 'passage'; the share remains that of the item.
 
 Documents are never compared with documents. A block takes BLOCK_ITEMS items at most and no more passages than the rank:
 the latent space then holds every passage whole, and a copy's cosine loses nothing to the projection. An item of more
@@ -70,6 +71,7 @@ class Index:
         # A short rest goes with the passage before it.
         cuts = [(i, a, len(self.items[i]) if len(self.items[i]) - a < 2 * PASSAGE else a + PASSAGE) for i, a in cuts if a == 0 or len(self.items[i]) - a >= PASSAGE]
         self.owner = np.array([i for i, _, _ in cuts], np.int64)
+        self.parts = [(a, b) for _, a, b in cuts]
         self.vocabulary = np.unique(hashes)
         self.find = HashArray(self.vocabulary)
         index = [np.searchsorted(self.vocabulary, self.items[i][a:b]) for i, a, b in cuts]
@@ -152,6 +154,10 @@ class Index:
             if not kind and share >= PARAPHRASE:
                 answer = item[-ANSWER_WORDS:]
                 kind = "paraphrase" if common_length(answer, region) >= ANSWER * len(answer) else ""
+            a, b = self.parts[passage]
+            if not kind and b - a < len(item):
+                near = hashes[max(first[text], at - (b - a)) : min(first[text + 1], at + 2 * HALF + b - a)]
+                kind = "passage" if common_length(item[a:b], near) >= VERBATIM * (b - a) else ""
             if kind and (share, cosine) > (best.get((text, i), (0, 0))[1], best.get((text, i), (0, 0))[0]):
                 best[text, i] = (cosine, share, kind)
         return [(text, i, *found) for (text, i), found in sorted(best.items())]
