@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tideline.llm import substrings
@@ -35,15 +37,56 @@ def rows(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,bits,piece", [(1, 0, 1 << 20), (2, 3, 600), (3, 2, 3000)])
-def test_same_as_brute_force(spark, seed, bits, piece):
+@pytest.mark.parametrize("seed,group,sampled,piece", [(1, 1 << 20, 64, 1 << 20), (2, 8, 8, 600), (3, 64, 64, 3000)])
+def test_same_as_brute_force(spark, seed, group, sampled, piece):
     data = rows(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in data], "doc_id long, text string, id int, words string").repartition(5)
-    got = substrings.cut_repeats(df, bits=bits, piece_bytes=piece).collect()
+    got = substrings.cut_repeats(df, piece_bytes=piece, group=group, sampled=sampled).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1:])
     assert sorted(((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=key) == sorted(brute(data), key=key)
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_one_run_of_words_in_every_text(spark):
+    """Five words in all texts, each time among others: their prefix is crowded and has to grow, and nothing is removed but real repeats."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    data = [(i, " ".join([*(word() for _ in range(25)), "one run of five words", *(word() for _ in range(25))])) for i in range(300)]
+    data += [(1000 + i, data[i][1] + " tail") for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(x.id, x.n_words, x.n_removed, x.kept_sha256) for x in substrings.cut_repeats(df, piece_bytes=4000, group=16, sampled=16).collect()}
+    assert got == set(brute(data)) and sum(x[2] for x in got) == 20 * 55
+
+
+def test_prefixes_grow_until_a_group_fits():
+    texts = [f"the same start {i} {i} " + " ".join(f"u{i}x{k}" for k in range(30)) for i in range(50)]
+    piece = substrings.Piece(np.arange(50), np.arange(50), pa.array(texts).cast(pa.binary()))
+    live = np.ones(len(piece.left), bool)
+    (a, _), (b, _), _ = [(v[c >= 40], c) for v, c in piece.sample(1)]
+    assert len(a) == 2 and len(b) == 0  # "the same" and "same start" are crowded, no four words are
+    buckets = lambda heavy: sorted(len(substrings.unpack(x["starts"], np.uint32)) for x in piece.groups(live, heavy, 1 << 30))
+    none = np.zeros(0, np.uint64)
+    assert buckets([none, none, none])[-1] == 50 and buckets([a, none, none])[-1] == 1
+
+
+def test_nodes_are_those_of_equal_paths():
+    r = np.random.default_rng(3)
+    paths = r.integers(0, 2, (substrings.DEPTH, 400))
+    paths[4:] = 7
+    leaves, node = substrings.deep_nodes(lambda x, d: paths[d][x], 400)
+    by = {}
+    for i in range(400):
+        by.setdefault(tuple(paths[:, i]), set()).add(i)
+    found = {}
+    for leaf, n in zip(leaves.tolist(), node.tolist()):
+        found.setdefault(n, set()).add(leaf)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in by.values() if len(x) > 1)
+
+
+def test_other_ids_raise(spark):
+    with pytest.raises(TypeError):
+        substrings.cut_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_empty_table(spark):
     assert substrings.cut_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

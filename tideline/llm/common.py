@@ -1,31 +1,58 @@
-"""Shared plumbing: scratch tables in the shared folder and lineage cuts."""
+"""Shared plumbing: scratch tables in the shared folder, lineage cuts, and memory that workers give back."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Paths made since the outermost scope was entered; None outside of scopes.
+_scope: list[list[str]] = []
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it; one of our own only where none is named (tests)."""
+    """The folder every executor can reach, as the session names it. In local mode, where driver and executors are one
+    process, a folder of our own if none is named; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/tideline/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/tideline/{label}-{uuid.uuid4().hex}"
+    for paths in _scope[-1:]:
+        paths.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the scratch tables made within: for callers that have written their result by then."""
+    _scope.append([])
+    try:
+        yield
+    finally:
+        for path in _scope.pop():
+            remove(spark, path)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -34,16 +61,51 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    release(spark)
+    del df
+    gc.collect()
+    # Shuffle files of plans that nothing refers to go when the JVM collects; without this they would stay on disk.
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced; it works in the background."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+def give_back() -> None:
+    """Return the memory of dropped arrays to the system; workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
+def lean(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives memory back when its partition ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from each(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_group(each: Callable) -> Callable:
+    """The same for a function over one group, or over one group of each of two tables."""
+
+    def one(group: pa.Table) -> pa.Table:
+        try:
+            return each(group)
+        finally:
+            give_back()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return each(left, right)
+        finally:
+            give_back()
+
+    return two if each.__code__.co_argcount == 2 else one
 
 
 def tasks(spark: SparkSession, least: int = 1) -> int:
@@ -54,5 +116,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free_name(wanted: str, *taken: list[str]) -> str:
+    """A column name that no list holds, in any case."""
+    used = {c.lower() for names in taken for c in names}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

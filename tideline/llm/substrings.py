@@ -1,22 +1,28 @@
 """Substring dedup over prefix-partitioned suffix trees.
 
-All suffixes of all texts, cut at DEPTH words, are to meet their like without any text being sent DEPTH times over.
-Each suffix goes to a bucket named by the least hash of the short word runs in it: equal suffixes have equal runs and
-meet, and neighbouring suffixes mostly share the bucket, so that they travel as one stretch of words with a word
-dictionary. A bucket splits its suffixes by prefixes of growing length: a group of one is a leaf and is done, larger
-groups are split by the next words of their path (edges are compared by hashes of their words) until DEPTH. Nodes of
-that depth with two leaves or more are the repeats; neighbouring ones join up to maximal repeats. Within a node the
-least place stays.
-
-Copies first meet inside a scan partition, where only the first of equal suffixes is sent on; so a passage that fills
-a third of the corpus sends one suffix a partition, and no bucket grows with the number of copies.
+A suffix is a word position with DEPTH words from there on; its path are these words. Suffixes that share a whole path
+are the repeats, so the trees are cut at DEPTH.
+
+1. Texts are dealt to pieces. A piece takes the suffixes whose window hash it holds twice, builds their tree, and keeps
+   the least leaf of each node of full depth; the others are repeats already. A census of window hashes over all
+   pieces (see census) then tells which of the remaining suffixes can have an equal in another piece; all others are
+   single leaves of the whole tree and go no further.
+2. The suffixes that are left are split by prefixes of variable length: of two words, and where a sample of prefix
+   counts says that so short a prefix would hold more than GROUP suffixes, of four, eight or all words. Groups share
+   tasks by hash. Each task builds the tree of its groups, level by level: a node's leaves are sorted by the next words,
+   nodes of one leaf are done, and the nodes that reach DEPTH with two leaves or more are the repeats. Within a node the
+   least place stays. Neighbouring repeats of a text join up to maximal ones.
+
+Words travel as bytes, in dictionaries, and are compared as such: hashes only decide what meets and what needn't. A
+passage that fills a third of the corpus is one suffix a piece, in one leaf.
 
 A place is (id, start, hash of the text); null ids come after all others. Words that repeats cover are marked by
 places, gathered by text, and cut out where the texts are read again.
 
-Defined results. Null or blank texts have no words. Rows equal in id and text share their places: neither is earlier,
-and both lose the same words. Rows of one id with unequal texts are compared by start, then by text hash. Empty tables
-give empty results. Other columns of the input are not read, whatever their names.
+Defined results. Ids are integers; other types raise TypeError. Null or blank texts have no words. Rows equal in id and
+text share their places: neither is earlier, and both lose the same words. Rows of one id with unequal texts are compared
+by start, then by text hash. Empty tables give empty results. Other columns of the input are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -29,16 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, tasks
+from .census import SENT, Asked, answers, census, plan, ranges, sent_table
+from .common import lean, lean_group, saved, table, tasks
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 from .words import _BASE, batch_bytes, mix, separators, text_parts, word_hashes, word_spans
 
-#: Words of a suffix; words of the runs whose least hash names the bucket (a power of two of runs fits DEPTH).
-DEPTH, RUN = 20, 5
-#: Lengths of the prefixes at which a bucket's suffixes are split.
-PREFIXES = (2, 6, 20)
-#: Bytes of text a piece of a scan partition holds; suffixes of a bucket.
-PIECE_BYTES, BUCKET_SUFFIXES = 12 << 20, 2_000_000
+#: Words of a window; lengths of the prefixes that split suffixes.
+DEPTH, PREFIXES = 20, (2, 4, 8, 20)
+#: Bytes of text of a piece; suffixes of a group; sampled suffixes that a full group would show.
+PIECE_BYTES, GROUP, SAMPLED = 8 << 20, 400_000, 64
 _PART_BYTES = 1 << 21
 LAST = np.int64((1 << 63) - 1)
 U64 = np.uint64
@@ -58,10 +63,10 @@ def prefix_sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, np.multiply.accumulate(power, out=power)
 
 
-def run_hashes(sums: tuple[np.ndarray, np.ndarray], begin: np.ndarray, length: int, skip: int = 0) -> np.ndarray:
-    """Hash of the words skip..length of the suffix at each begin."""
+def run_hashes(sums: tuple[np.ndarray, np.ndarray], begin: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the first words of the suffix at each begin."""
     total, down = sums
-    return mix((total[begin + length] - total[begin + skip]) * down[begin + skip])
+    return mix((total[begin + length] - total[begin]) * down[begin])
 
 
 def joined(starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,10 +77,10 @@ def joined(starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return head, starts[head], np.diff(np.append(head, len(starts)))
 
 
-def first_of_equal(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is the least place of its hash, is a later place). Equal places are neither later; one of them is the least."""
-    order = np.lexsort((texts, starts, ids, hashes))
-    h, i, s, t = hashes[order], ids[order], starts[order], texts[order]
+def first_of_equal(nodes: np.ndarray, ids: np.ndarray, starts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is the least place of its node, is a later place). Equal places are neither later; one of them is the least."""
+    order = np.lexsort((texts, starts, ids, nodes))
+    h, i, s, t = nodes[order], ids[order], starts[order], texts[order]
     head = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
     lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(h) else np.zeros(0, np.int64)
     later = (i != i[lead]) | (s != s[lead]) | (t != t[lead])
@@ -84,84 +89,123 @@ def first_of_equal(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, text
     return first, after
 
 
+def deep_nodes(word_at, suffixes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leaves, node of each) of all nodes of depth DEPTH with two leaves or more, of the tree over the suffixes.
+
+    word_at(leaves, depth) gives the number of a path's word. The tree grows a level at a time: the leaves of a node
+    are sorted by their next word, and a node left with one leaf is not followed any further."""
+    leaves, node = np.arange(suffixes), np.zeros(suffixes, np.int64)
+    for depth in range(DEPTH):
+        if not len(leaves):
+            break
+        edge = node << np.int64(32) | word_at(leaves, depth).astype(np.int64)
+        order = np.argsort(edge, kind="stable" if depth > 4 else None)
+        e = edge[order]
+        new = np.concatenate([[True], e[1:] != e[:-1]])
+        of = np.cumsum(new) - 1
+        shared = np.diff(np.append(np.flatnonzero(new), len(e)))[of] > 1
+        leaves, node = leaves[order[shared]], of[shared]
+    return leaves, node
+
+
+def repeated(values: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    order = np.argsort(values)
+    ordered = values[order]
+    same = ordered[1:] == ordered[:-1]
+    out = np.zeros(len(values), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
 class Piece:
-    """Some texts of a scan partition: their suffixes and the buckets they go to."""
+    """The suffixes of some texts. Words are numbered by their bytes."""
 
     def __init__(self, ids: np.ndarray, hashes: np.ndarray, texts: pa.Array):
-        words, sizes = [], []
+        parts, sizes = [], []
         for i, j in text_parts(texts, _PART_BYTES):
             data, offsets = batch_bytes(texts[i:j])
             starts, ends, first = word_spans(data, offsets, separators("blank"))
-            words.append(word_hashes(data, starts, ends, lower=False))
+            parts.append(_dictionary(data, starts, ends))
             sizes.append(np.diff(first))
-        self.words, sizes = np.concatenate(words), np.concatenate(sizes)
+        whole = pa.chunked_array(parts).unify_dictionaries() if parts else pa.chunked_array([], pa.dictionary(pa.int32(), pa.binary()))
+        self.dictionary = whole.chunk(0).dictionary if parts else pa.array([], pa.binary())
+        self.words = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy(zero_copy_only=False) for c in whole.chunks)])
+        sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
         self.ids, self.hashes = ids, hashes
+        data, offsets = batch_bytes(self.dictionary)
+        self.sums = prefix_sums(word_hashes(data, offsets[:-1], offsets[1:], lower=False)[self.words])
         counts = np.maximum(sizes - DEPTH + 1, 0)
         self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         self.start = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
         self.begin = np.repeat(np.cumsum(sizes) - sizes, counts).astype(np.int32) + self.start
-
-    def marked(self, chosen: np.ndarray) -> list[dict]:
-        """Rows of places: maximal repeats by text, as starts and numbers of suffixes."""
-        head, start, size = joined(self.start[chosen], self.doc[chosen])
-        return _place_rows(self.doc[chosen][head], self.ids, self.hashes, start, size)
-
-    def stretches(self, bits: int) -> tuple[list[dict], list[dict]]:
-        """(rows for buckets, rows of places that are repeats within the piece)."""
-        if not len(self.begin):
-            return [], []
-        sums = prefix_sums(self.words)
-        first, later = _firsts(run_hashes(sums, self.begin, DEPTH), self)
-        least = run_hashes(sums, np.arange(len(self.words) - RUN + 1), RUN)
-        del sums
-        span = 1
-        while span < DEPTH - RUN + 1:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        least = least[self.begin[first]]
-        doc, start, begin = self.doc[first], self.start[first], self.begin[first]
-        head = np.flatnonzero(np.concatenate([[True], (np.diff(begin) != 1) | (np.diff(doc) != 0) | (np.diff(least) != 0)]))
-        number = np.diff(np.append(head, len(begin)))
-        bucket = (mix(least[head]) >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(head), np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-        rows = []
-        for b in range(1 << bits):
-            mine = order[cut[b] : cut[b + 1]]
-            if not len(mine):
-                continue
-            size, at = number[mine] + DEPTH - 1, begin[head[mine]]
-            # 48 bits of a word: only suffixes alike in all other words could be taken for equal by a collision.
-            taken = self.words[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())] >> U64(16)
-            dictionary, index = np.unique(taken, return_inverse=True)
-            docs, which = np.unique(doc[head[mine]], return_inverse=True)
-            rows.append(
+        #: What is left of each node of full depth within the piece, and the windows that are repeats already.
+        self.window = run_hashes(self.sums, self.begin, DEPTH)
+        twice = np.flatnonzero(repeated(self.window))
+        leaves, node = deep_nodes(lambda x, d: self.words[self.begin[twice[x]] + d], len(twice))
+        leaves = twice[leaves]
+        first, later = first_of_equal(node, ids[self.doc[leaves]], self.start[leaves], hashes[self.doc[leaves]])
+        self.later = np.sort(leaves[later])
+        gone = np.zeros(len(self.begin), bool)
+        gone[leaves[~first]] = True
+        self.left = np.flatnonzero(~gone)
+
+    def marks(self) -> list[dict]:
+        head, start, size = joined(self.start[self.later], self.doc[self.later])
+        return _place_rows(self.doc[self.later][head], self.ids, self.hashes, start, size)
+
+    def asked(self, sizes: tuple[int, int]) -> Asked:
+        return Asked(self.window[self.left], np.ones(len(self.left)), sizes)
+
+    def sample(self, every: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(prefixes, counts) of a sample of the suffixes, by length of the prefix."""
+        chosen = self.begin[self.left][self.window[self.left] % U64(every) == 0]
+        return [np.unique(run_hashes(self.sums, chosen, k), return_counts=True) for k in PREFIXES[:-1]]
+
+    def groups(self, live: np.ndarray, heavy: list[np.ndarray], buckets: int) -> list[dict]:
+        """Rows for the buckets: the words of the suffixes that live, each in the group of its prefix."""
+        at = self.left[live]
+        if not len(at):
+            return []
+        key, split = run_hashes(self.sums, self.begin[at], PREFIXES[0]), np.ones(len(at), bool)
+        for k, crowded in zip(PREFIXES[1:], heavy, strict=True):
+            split[split] = np.isin(key[split], crowded)
+            key[split] = run_hashes(self.sums, self.begin[at[split]], k)
+        bucket = (key % U64(buckets)).astype(np.int64)
+        order = np.lexsort((key, bucket))
+        at, bucket = at[order], bucket[order]
+        head = np.flatnonzero(np.diff(bucket, prepend=-1))
+        out = []
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(at)], strict=True):
+            mine = at[a:b]
+            paths = self.words[self.begin[mine][:, None] + np.arange(DEPTH, dtype=np.int32)]
+            used, paths = np.unique(paths, return_inverse=True)
+            docs, which = np.unique(self.doc[mine], return_inverse=True)
+            out.append(
                 {
-                    "bucket": b,
-                    "dictionary": pack_sorted(dictionary),
-                    "words": pack(index.astype(np.uint16 if len(dictionary) <= 1 << 16 else np.uint32)),
-                    "wide": len(dictionary) > 1 << 16,
-                    "sizes": pack(number[mine].astype(np.uint32)),
-                    "starts": pack(start[head[mine]].astype(np.uint32)),
+                    "bucket": int(bucket[a]),
+                    "dictionary": _PACK.compress(b" ".join(self.dictionary.take(pa.array(used)).to_pylist()), asbytes=True),
+                    "octets": int(sum(map(len, self.dictionary.take(pa.array(used)).to_pylist())) + len(used) - 1),
+                    "paths": pack(paths.reshape(len(mine), DEPTH).T.ravel().astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)),
+                    "starts": pack(self.start[mine].astype(np.uint32)),
                     "docs": pack(which.astype(np.uint32)),
                     "ids": pack(self.ids[docs]),
                     "hashes": pack(self.hashes[docs]),
                 }
             )
-        return rows, self.marked(later)
+        return out
 
 
-def _firsts(whole: np.ndarray, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-    """first_of_equal on the suffixes of a piece, looking closer only at hashes that occur more than once."""
-    order = np.argsort(whole)
-    ordered = whole[order]
-    same = ordered[1:] == ordered[:-1]
-    shared = np.zeros(len(whole), bool)
-    shared[order[1:][same]] = shared[order[:-1][same]] = True
-    first, later = np.ones(len(whole), bool), np.zeros(len(whole), bool)
-    at = np.flatnonzero(shared)
-    first[at], later[at] = first_of_equal(whole[at], piece.ids[piece.doc[at]], piece.start[at], piece.hashes[piece.doc[at]])
-    return first, later
+_PACK = pa.Codec("zstd", compression_level=1)
+
+
+def _dictionary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The words of a batch, encoded by their bytes."""
+    size = ends - starts
+    edge = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.repeat(starts - edge[:-1], size) + np.arange(edge[-1])] if len(starts) else np.zeros(0, np.uint8)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(flat)])
+    return words.dictionary_encode()
 
 
 def _place_rows(doc: np.ndarray, ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[dict]:
@@ -175,55 +219,28 @@ def _place_rows(doc: np.ndarray, ids: np.ndarray, hashes: np.ndarray, start: np.
 
 
 class Bucket:
-    """The suffixes of a bucket from all pieces, and the subtrees over them."""
+    """The suffixes of a bucket's groups from all pieces, and the trees over them."""
 
     def __init__(self, rows: list[dict]):
-        dictionaries = [unpack_sorted(r["dictionary"]) for r in rows]
-        self.vocabulary = np.unique(np.concatenate(dictionaries))
-        words, docs, starts, sizes, ids, hashes, base = [], [], [], [], [], [], 0
-        for r, d in zip(rows, dictionaries, strict=True):
-            words.append(np.searchsorted(self.vocabulary, d).astype(np.uint32)[unpack(r["words"], np.uint32 if r["wide"] else np.uint16)])
+        words = [_PACK.decompress(r["dictionary"], r["octets"], asbytes=True).split(b" ") for r in rows]
+        numbers: dict[bytes, int] = {}
+        paths, docs, starts, ids, hashes, base = [], [], [], [], [], 0
+        for r, d in zip(rows, words, strict=True):
+            number = np.array([numbers.setdefault(w, len(numbers)) for w in d], np.int32)
+            local = unpack(r["paths"], np.uint16 if len(d) <= 1 << 16 else np.uint32)
+            paths.append(number[local.reshape(DEPTH, -1)])
             ids.append(unpack(r["ids"], np.int64))
             hashes.append(unpack(r["hashes"], np.int64))
             docs.append(unpack(r["docs"], np.uint32).astype(np.int64) + base)
             starts.append(unpack(r["starts"], np.uint32).astype(np.int64))
-            sizes.append(unpack(r["sizes"], np.uint32).astype(np.int64))
             base += len(ids[-1])
-        self.words = np.concatenate(words)
-        self.ids, self.hashes = np.concatenate(ids), np.concatenate(hashes)
-        docs, starts, sizes = (np.concatenate(x) for x in (docs, starts, sizes))
-        length = sizes + DEPTH - 1
-        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.begin = (np.repeat(np.cumsum(length) - length, sizes) + inner).astype(np.int32)
-        self.doc = np.repeat(docs.astype(np.int32), sizes)
-        self.start = (np.repeat(starts, sizes) + inner).astype(np.int32)
-
-    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
-        """(suffixes, their node at full depth) of all nodes with two leaves or more."""
-        leaves = np.arange(len(self.begin))
-        node = np.zeros(len(leaves), np.int64)
-        sums, depth = None, 0
-        for prefix in PREFIXES:
-            if not len(leaves):
-                break
-            at = self.begin[leaves]
-            if prefix == 2:  # both words fit a number
-                edge = self.words[at].astype(U64) << U64(32) | self.words[at + 1].astype(U64)
-            else:
-                sums = sums or prefix_sums(mix(np.arange(1, len(self.vocabulary) + 1, dtype=U64))[self.words])
-                edge = mix(run_hashes(sums, at, prefix, depth) + mix(node.astype(U64)))
-            order = np.argsort(edge)
-            e = edge[order]
-            new = np.concatenate([[True], e[1:] != e[:-1]])
-            head = np.flatnonzero(new)
-            shared = np.diff(np.append(head, len(e)))[np.cumsum(new) - 1] > 1
-            leaves, node, depth = leaves[order[shared]], (np.cumsum(new) - 1)[shared], prefix
-        return leaves, node
+        self.paths = np.concatenate(paths, axis=1)
+        self.ids, self.hashes, self.doc, self.start = (np.concatenate(x) for x in (ids, hashes, docs, starts))
 
     def later_places(self) -> list[dict]:
-        leaves, node = self.repeats()
+        leaves, node = deep_nodes(lambda x, d: self.paths[d][x], self.paths.shape[1])
         doc = self.doc[leaves]
-        _, later = first_of_equal(node.astype(U64), self.ids[doc], self.start[leaves], self.hashes[doc])
+        _, later = first_of_equal(node, self.ids[doc], self.start[leaves], self.hashes[doc])
         leaves = leaves[later]
         leaves = leaves[np.lexsort((self.start[leaves], self.doc[leaves]))]
         head, start, size = joined(self.start[leaves], self.doc[leaves])
@@ -231,54 +248,80 @@ class Bucket:
 
 
 _BUCKET = pa.schema(
-    [("bucket", pa.int32()), ("dictionary", pa.binary()), ("words", pa.binary()), ("wide", pa.bool_()), ("sizes", pa.binary())]
-    + [(c, pa.binary()) for c in ("starts", "docs", "ids", "hashes")]
+    [("bucket", pa.int32()), ("dictionary", pa.binary()), ("octets", pa.int64())]
+    + [(c, pa.binary()) for c in ("paths", "starts", "docs", "ids", "hashes")]
     + [("marks", pa.list_(pa.struct(_PLACES)))]
 )
-_BUCKET_SQL = "bucket int, dictionary binary, words binary, wide boolean, sizes binary, starts binary, docs binary, ids binary, hashes binary, marks array<struct<id:bigint,text_hash:bigint,starts:binary,sizes:binary>>"
+_BUCKET_SQL = "bucket int, dictionary binary, octets long, paths binary, starts binary, docs binary, ids binary, hashes binary, marks array<struct<id:bigint,text_hash:bigint,starts:binary,sizes:binary>>"
 
 
-def repeat_places(rows: DataFrame, bits: int, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """(id, text_hash, starts, sizes): suffixes that are equal to one at an earlier place. rows: id, text_hash, text."""
+def _piece(group: pa.Table) -> Piece:
+    return Piece(group["id"].to_numpy(), group["text_hash"].to_numpy(), group["text"].combine_chunks())
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            part = pa.Table.from_batches(held)
-            piece = Piece(part["id"].to_numpy(), part["text_hash"].to_numpy(), part["text"].combine_chunks())
-            out, marks = piece.stretches(bits)
-            marks = {"bucket": int(part["text_hash"][0].as_py() % (1 << bits)), "marks": marks}
-            for r in [*out, *[marks] * bool(marks["marks"])]:
-                yield pa.RecordBatch.from_pylist([r], _BUCKET)
+def _crowded(sampled: DataFrame, least: int) -> list[np.ndarray]:
+    """By length, the prefixes of so many sampled suffixes: at most len(PREFIXES) * SAMPLED * suffixes / GROUP / least."""
 
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= piece_bytes:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
-
-    def meet(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        out = [m for r in rows for m in r["marks"] or ()]
-        if rows := [r for r in rows if r["dictionary"] is not None]:
-            out += Bucket(rows).later_places()
+    def add_up(group: pa.Table) -> pa.Table:
+        value, index = np.unique(np.concatenate([unpack_sorted(x.as_py()) for x in group["grams"]]), return_inverse=True)
+        count = np.bincount(index, weights=np.concatenate([unpack(x.as_py(), np.int64) for x in group["many"]]))
+        value = value[count >= least]
+        return pa.table({"tag": pa.array([group["tag"][0].as_py()] * len(value), pa.int32()), "value": value.view(np.int64)})
+
+    found = sampled.groupBy("range", "tag").applyInArrow(lean_group(add_up), "tag int, value long").toArrow()
+    tags, values = found["tag"].to_numpy(), found["value"].to_numpy().view(U64)
+    return [np.sort(values[tags == k]) for k in range(1, len(PREFIXES))]
+
+
+def repeat_places(rows: DataFrame, piece_bytes: int = PIECE_BYTES, group: int = GROUP, sampled: int = SAMPLED) -> DataFrame:
+    """(id, text_hash, starts, sizes): suffixes that are equal to one at an earlier place. rows: id, text_hash, text."""
+    spark = rows.sparkSession
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pieces = max(tasks(spark), size // piece_bytes + 1)
+    rows = rows.withColumn("unit", F.pmod(F.xxhash64("id", "text_hash"), F.lit(pieces)).cast("int"))
+    suffixes = size // 5 + 1  # an estimate, for sizes only
+    sizes, every = plan(suffixes), max(1, group // sampled)
+
+    def ask(part: pa.Table) -> pa.Table:
+        unit, piece = part["unit"][0].as_py(), _piece(part)
+        out = piece.asked(sizes).rows(unit, 0)
+        for tag, (value, count) in enumerate(piece.sample(every), 1):
+            out += [(r, unit, tag, pack_sorted(value[a:b]), pack(count[a:b])) for r, a, b in ranges(value, 64, sizes[1])]
+        return sent_table(out)
+
+    sent = saved(rows.groupBy("unit").applyInArrow(lean_group(ask), SENT), "substring-hashes")
+    live = saved(census(sent.filter("tag = 0")), "substring-live")
+    heavy = spark.sparkContext.broadcast(_crowded(sent.filter("tag > 0"), max(1, sampled // 2)))
+    buckets = max(tasks(spark), suffixes // 4 // group + 1)
+
+    def deal(part: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(part):
+            return pa.Table.from_pylist([], _BUCKET)
+        piece = _piece(part)
+        out = piece.groups(piece.asked(sizes).live(answers(found, 0)), heavy.value, buckets)
+        if marks := piece.marks():
+            out.append({"bucket": part["unit"][0].as_py() % buckets, "marks": marks})
+        return pa.Table.from_pylist(out, _BUCKET)
+
+    def meet(part: pa.Table) -> pa.Table:
+        got = part.to_pylist()
+        out = [m for r in got for m in r["marks"] or ()]
+        if got := [r for r in got if r["dictionary"] is not None]:
+            out += Bucket(got).later_places()
         return pa.Table.from_pylist(out, pa.schema(_PLACES))
 
-    return rows.mapInArrow(send, _BUCKET_SQL).groupBy("bucket").applyInArrow(meet, "id long, text_hash long, starts binary, sizes binary")
+    dealt = rows.groupBy("unit").cogroup(live.groupBy("unit")).applyInArrow(lean_group(deal), _BUCKET_SQL)
+    return dealt.groupBy("bucket").applyInArrow(lean_group(meet), "id long, text_hash long, starts binary, sizes binary")
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES, group: int = GROUP, sampled: int = SAMPLED) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept_text) of every row."""
+    kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"ids are integers here, not {kind}")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text"), F.col(id_col).isNull().alias("none"))
-    if bits is None:
-        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        bits = max(int(size // 8 // BUCKET_SUFFIXES), tasks(docs.sparkSession) - 1).bit_length()
-    places = repeat_places(rows.select("id", "text_hash", "text"), bits, piece_bytes)
+    places = repeat_places(rows.select("id", "text_hash", "text"), piece_bytes, group, sampled)
     marks = saved(places.groupBy("id", "text_hash").agg(F.collect_list(F.struct("starts", "sizes")).alias("marks")), "substring-marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,12 +330,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bit
             sizes = np.maximum(1, np.diff(batch_bytes(batch.column(1))[1]))
             while at < len(batch):
                 until = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), _PART_BYTES, "right")) + at)
-                part = batch.slice(at, until - at)
-                yield _cut_part(part)
+                yield _cut_part(batch.slice(at, until - at))
                 at = until
 
     joined_rows = rows.join(marks, ["id", "text_hash"], "left").select(F.when(~F.col("none"), F.col("id")).alias("id"), "text", "marks")
-    return joined_rows.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
+    return joined_rows.mapInArrow(lean(cut), "id long, n_words long, n_removed long, kept_sha256 string, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
 def _cut_part(part: pa.RecordBatch) -> pa.RecordBatch:
