@@ -4,6 +4,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tideline.llm import lm
@@ -28,7 +30,10 @@ def brute(rows, order=3):
                     c[tuple(seq[e - k + 1 : e + 1])] += 1
     n = sum(v for k, v in c.items() if len(k) == 1)
     v = sum(1 for k in c if len(k) == 1)
-    c[("<s>",)] = texts
+    kept = {k: x for k, x in c.items() if len(k) > 1 and x >= lm.CUT}
+    after = Counter()
+    for k, x in kept.items():
+        after[k[:-1]] += x
     out = []
     for i, t in rows:
         seq = ["<s>", *tokens(t)]
@@ -40,7 +45,7 @@ def brute(rows, order=3):
             for k in range(2, order + 1):
                 gram = tuple(seq[max(0, e - k + 1) : e + 1])
                 if len(gram) == k:
-                    p = (c[gram] + lm.STRENGTH[k] * p) / (c[gram[:-1]] + lm.STRENGTH[k])
+                    p = (kept.get(gram, 0) + lm.STRENGTH[k] * p) / (after[gram[:-1]] + lm.STRENGTH[k])
             score += math.log10(p)
         out.append((i, held(i), len(seq) - 1, known, n, base, score))
     return out
@@ -65,10 +70,76 @@ def test_scores_match_brute_force(spark, order, block):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
-def test_probabilities_add_up(spark):
-    data = [(i, t) for i, t in rows() if i in (7, 8, 9, 10)]
-    scored = [(0, "a b a"), (0, "a b b"), (0, "a b")]
-    assert scored and all(r.score < 0 for r in lm.score_texts(spark.createDataFrame(data, "doc_id long, text string")).collect())
+def automaton(texts):
+    """The automaton of a block whose texts are all training ones, with plain counts; and the block."""
+    block = lm.Block(pa.array(texts).cast(pa.binary()))
+    histories, arcs = {}, {}
+    for k in (1, 2, 3):
+        grams, _, index = block.grams(k)
+        count = np.bincount(index)
+        if k == 1:
+            words = np.zeros(len(block.vocabulary))
+            words[grams[:, 0]] = count
+            continue
+        kept = count >= lm.CUT
+        history, of = np.unique(grams[kept][:, :-1], axis=0, return_inverse=True)
+        histories[k] = history, np.bincount(of.ravel(), weights=count[kept])
+        arcs[k] = grams[kept], count[kept]
+    distinct = (words > 0).sum()
+    return lm.Automaton((words + 0.5) / (words.sum() + 0.5 * (distinct + 1)), histories, arcs), block
+
+
+def test_probabilities_add_up():
+    made, block = automaton([t or "" for _, t in rows()])
+    seen = np.unique(block.seq[block.place > 0])
+    unknown = 10 ** made.base[block.seq[0]]  # the start is no word: it weighs what an unknown word does
+    root = (10 ** made.base[seen]).sum() + unknown
+    assert root == pytest.approx(1)
+    assert len(made.fail) > 10
+    for state in range(len(made.fail)):
+        total = (10 ** made.log_probability(np.full(len(seen), state), seen)).sum()
+        down, at = 1.0, state
+        while at:
+            down, at = down * 10 ** made.penalty[at], made.fail[at]
+        assert total + down * unknown == pytest.approx(1)
+
+
+def test_arcs_and_failure_arcs_are_followed():
+    made, block = automaton(["a b c", "a b c", "a b d", "x b d", "x b d"])
+    number = {w: int(np.searchsorted(block.vocabulary, h)) for w, h in zip("abcdx", lm.word_hashes(np.frombuffer(b"abcdx", np.uint8), np.arange(5), np.arange(1, 6)))}
+    a, b, c, d = (number[w] for w in "abcd")
+    ab, only_b = made.state(np.array([[a, b], [c, b]]))
+    assert ab >= made.after and only_b == made.one[b] and made.fail[ab] == made.one[b] and made.fail[made.one[b]] == 0
+    arc = {(int(x) >> 32, int(x) & 0xFFFFFFFF): i for i, x in enumerate(made.arc)}
+    gained, state = made.step(np.array([ab, ab]), np.array([c, d]))
+    assert gained[0] == made.weight[arc[ab, c]] and (ab, d) not in arc  # "a b d" stands once
+    assert gained[1] == made.penalty[ab] + made.weight[arc[only_b, d]] and state[1] == made.state(np.array([[b, d]]))[0]
+    # Spoiling an arc or a failure arc changes just the texts that go through it.
+    before = made.traverse(block)
+    made.weight[arc[ab, c]] -= 1
+    assert np.allclose(before - made.traverse(block), [1, 1, 0, 0, 0])
+    made.penalty[ab] -= 5
+    assert np.allclose(before - made.traverse(block), [1, 1, 5, 0, 0])
+
+
+def test_stretches_carry_the_state():
+    r = random.Random(3)
+    texts = [" ".join(r.choices("abcde", k=n)) for n in (0, 1, 2, 3, 7, 300, 2000)]
+    made, block = automaton(texts)
+    whole = made.traverse(block, stretch=1 << 30)
+    for stretch in (1, 2, 3, 64):
+        assert np.allclose(made.traverse(block, stretch=stretch), whole)
+
+
+def test_a_text_that_stands_twice_scores_apart(spark):
+    r = random.Random(9)
+    known = ["".join(r.choices("abcdefgh", k=4)) for _ in range(3000)]
+    data = [(i, " ".join(r.choices(known, k=60))) for i in range(400)]
+    data += [(1000 + i, data[i][1]) for i in range(40)]
+    got = {x.id: (x.score - x.base_score) / x.n_tokens for x in lm.score_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    twice = [got[i] for i in range(40) if not fold(i) and not fold(1000 + i)]
+    assert len(twice) > 15 and min(twice) > max(got[i] for i in range(40, 400))
 
 
 def test_empty_table(spark):

@@ -1,16 +1,22 @@
 """LM scoring with a weighted backoff automaton.
 
-The model is an n-gram model of order ORDER, smoothed from below: P(w|h) = (c(hw) + K P(w|h')) / (c(h) + K), where h'
-is h without its first word and the lowest order is the base distribution (half a count for every known word and one
-unknown). As an automaton: every history seen in training is a state; a seen n-gram is an arc that carries its smoothed
-log-probability; all else takes the state's failure arc, which costs log(K / (c(h) + K)), to the state of h'. Scoring
-goes once from left to right over each text: the state before a token is the longest seen history, and all tokens of
-a block of texts take their arcs together, order by order, as the state depends on the text alone.
-
-The automaton grows with the corpus, so no task ever holds it. Texts are dealt to blocks by hash. Each block sends
-the distinct n-grams it needs with its own training counts, as sorted hash arrays cut by hash range; the owner of a
-range adds up the counts and returns them in the sender's order, and the block builds the part of the automaton that
-its own texts can reach. Counts are over all training texts; n-grams are 64-bit hashes.
+The model is an n-gram model of order ORDER with a cut-off: n-grams of two words or more count if training holds them
+CUT times at least, so that a text seen once teaches nothing but its words. With c* the counts that are left and
+S(h) their sum over all words after h, P(w|h) = (c*(hw) + K P(w|h')) / (S(h) + K), where h' is h without its first word
+and the lowest order is the base distribution (half a count for every known word and one unknown). Probabilities of
+all words and the unknown one add up to one after any history.
+
+As an automaton: every history with S(h) > 0 is a state, as is the empty one. Each n-gram that is left is an arc from
+the state of its history, with log P, to the state of the longest suffix of the n-gram that is a history. A word without
+an arc takes the failure arc, which costs log K / (S(h) + K), to the state of h', and tries again; the empty state has an
+arc for every word. One traversal from left to right carries the state from token to token and adds up weights. All
+texts of a block are traversed side by side; a long text is cut into stretches, each of which starts ORDER - 1 tokens
+early without adding anything, after which its state is that of the whole text.
+
+The automaton grows with the corpus, so no task ever holds it. Texts are dealt to blocks. A census (see census) of
+n-gram hashes finds those that training can hold twice; only of these a block sends the 64-bit hashes, by history and
+with its own counts, to the owner of the history's range, who adds up the counts, applies the cut-off, takes S(h), and
+returns to each block the part of the automaton that its own texts can reach. Rows never outnumber n-grams.
 
 Defined results. Null text counts as empty: one token, the end. A null id counts as the empty text in the fold, which
 is a training one. Repeated rows are counted as often as they occur. Without any training token N is 0 and base and
@@ -20,145 +26,301 @@ their names.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, tasks
+from .census import SENT, Asked, answers, census, plan, ranges, sent_table
+from .common import lean_group, saved, table, tasks
 from .packing import pack, pack_sorted, unpack, unpack_sorted
-from .words import _BASE, batch_bytes, mix, separators, word_hashes, word_spans
+from .words import _BASE, HashArray, batch_bytes, mix, separators, word_hashes, word_spans
 
-#: Order of the model; smoothing strength K by order of the n-gram.
-ORDER, STRENGTH = 3, {2: 8.0, 3: 2.0}
-#: Bytes of text of a block; n-grams of all blocks in a range of hashes.
-BLOCK_BYTES, RANGE_GRAMS = 12 << 20, 2_000_000
+#: Order of the model; smoothing strength K by order of the n-gram; least count of n-grams of two words or more.
+ORDER, STRENGTH, CUT = 3, {2: 8.0, 3: 2.0}, 2
+#: Bytes of text of a block; tokens of a stretch of a text.
+BLOCK_BYTES, STRETCH = 8 << 20, 512
 FOLDS, HELD_OUT = 5, 1
 U64 = np.uint64
 START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
 
 class Block:
-    """The n-grams of some texts. Positions are tokens; each text ends with one end token."""
+    """The tokens of some texts, each text as start, words, end. Words are numbered by their hashes."""
 
-    def __init__(self, column: pa.Array, train: np.ndarray, order: int = ORDER, only: tuple[int, ...] | None = None):
+    def __init__(self, column: pa.Array):
         data, offsets = batch_bytes(column)
         starts, ends, first = word_spans(data, offsets, separators("blank"))
         self.counts = np.diff(first) + 1
-        self.order, n = order, len(self.counts)
-        # Each text as start, words, end.
-        begin = np.concatenate([[0], np.cumsum(self.counts + 1)])
-        seq = np.empty(begin[-1], U64)
-        seq[begin[:-1]] = START
-        seq[begin[1:] - 1] = END
-        seq[np.arange(first[-1]) + np.repeat(2 * np.arange(n) + 1, np.diff(first))] = word_hashes(data, starts, ends)
-        own = np.ones(len(seq), bool)
-        own[begin[:-1]] = False
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        token = np.flatnonzero(own)
-        trained = np.repeat(train, self.counts)
-        place = np.arange(len(token)) - np.repeat(self.first[:-1], self.counts)
-        #: By order: distinct hashes; which positions have such an n-gram; index of each; training counts in this block.
-        self.grams, self.at, self.index, self.own = {}, {}, {}, {}
-        for k in only or range(1, order + 1):
-            at = np.flatnonzero(place >= k - 2)  # the start may stand first in a history
-            code = np.full(len(at), U64(k))
-            for lag in range(k - 1, -1, -1):
-                code = code * U64(_BASE) + seq[token[at] - lag]
-            self.grams[k], index = np.unique(mix(code), return_inverse=True)
-            self.index[k], self.at[k] = index.astype(np.int32), at.astype(np.int32)
-            self.own[k] = np.bincount(index[trained[at]], minlength=len(self.grams[k])).astype(np.uint32)
-
-    def score(self, total: dict[int, np.ndarray], tokens: int, distinct: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(base, score, known tokens) of each text, from the training counts of this block's n-grams."""
-        c = total[1][self.index[1]].astype(float)
-        base = (c + 0.5) / (tokens + 0.5 * (distinct + 1))
-        p = base.copy()
-        history = np.empty(len(c))
-        history[1:] = c[:-1]
-        history[self.first[:-1]] = texts
-        for k in range(2, self.order + 1):
-            at, strength = self.at[k], STRENGTH[k]
-            seen = total[k][self.index[k]].astype(float)
-            # An arc where the n-gram was seen, else the failure arc; both come out of one formula.
-            p[at] = (seen + strength * p[at]) / (history[at] + strength)
-            following = np.zeros(len(c))
-            following[at[at + 1 < len(c)] + 1] = seen[at + 1 < len(c)]
-            history = following
-        by = self.first[:-1]
-        return np.add.reduceat(np.log10(base), by), np.add.reduceat(np.log10(p), by), np.add.reduceat((c > 0).astype(np.int64), by)
-
-
-def _ranges(grams: np.ndarray, bits: int) -> np.ndarray:
-    """Where each range of hashes, by their leading bits, begins; with the end."""
-    if not bits:
-        return np.array([0, len(grams)])
-    return np.append(np.searchsorted(grams, np.arange(1 << bits, dtype=U64) << U64(64 - bits)), len(grams))
+        self.begin = np.concatenate([[0], np.cumsum(self.counts + 1)])
+        seq = np.empty(self.begin[-1], U64)
+        seq[self.begin[:-1]] = START
+        seq[self.begin[1:] - 1] = END
+        seq[np.arange(first[-1]) + np.repeat(2 * np.arange(len(self.counts)) + 1, np.diff(first))] = word_hashes(data, starts, ends)
+        self.vocabulary, seq = np.unique(seq, return_inverse=True)
+        self.seq = seq.astype(np.int32)
+        #: Place of each token in its text; the start is 0.
+        self.place = np.arange(len(seq)) - np.repeat(self.begin[:-1], self.counts + 1)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct k-grams as rows of word numbers, where each ends, index of the k-gram that ends there)."""
+        at = np.flatnonzero(self.place >= max(1, k - 1))
+        code = self.seq[at].astype(np.int64)
+        words = [np.unique(code)] if k == 1 else []
+        if k == 1:
+            return words[0][:, None], at, np.searchsorted(words[0], code)
+        pairs, before = np.unique(self.seq[at - 1].astype(np.int64) << 32 | code, return_inverse=True)
+        if k == 2:
+            return np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1), at, before
+        whole, index = np.unique(self.seq[at - 2].astype(np.int64) << 32 | before, return_inverse=True)
+        last = pairs[whole & 0xFFFFFFFF]
+        return np.stack([whole >> 32, last >> 32, last & 0xFFFFFFFF], axis=1), at, index
+
+    def hashes(self, grams: np.ndarray) -> np.ndarray:
+        """Hash of each row of word numbers; rows of no words hash alike."""
+        code = np.full(len(grams), U64(grams.shape[1]))
+        for column in grams.T:
+            code = code * U64(_BASE) + self.vocabulary[column]
+        return mix(code)
+
+
+class Automaton:
+    """States and arcs that the texts of a block can reach. Arcs are found by (state, word)."""
+
+    def __init__(self, base: np.ndarray, histories: dict[int, tuple[np.ndarray, np.ndarray]], arcs: dict[int, tuple[np.ndarray, np.ndarray]]):
+        """base: probability of each word of the block. histories and arcs, by order of the n-gram: rows of word
+        numbers with S(h), with c*. A state of k words is a history of n-grams of order k + 1."""
+        words = len(base)
+        self.base = np.log10(base)
+        #: State of each history: 0 is empty, then one-word histories, then those of two words.
+        self.one = np.zeros(words, np.int64)
+        self.fail, self.penalty = [np.zeros(1, np.int64)], [np.zeros(1)]
+        singles, total = histories.get(2, (np.zeros((0, 1), np.int64), np.zeros(0)))
+        self.one[singles[:, 0]] = np.arange(1, len(singles) + 1)
+        self.fail.append(np.zeros(len(singles), np.int64))
+        self.penalty.append(np.log10(STRENGTH[2] / (total + STRENGTH[2])))
+        doubles, more = histories.get(3, (np.zeros((0, 2), np.int64), np.zeros(0)))
+        code = doubles[:, 0] << 32 | doubles[:, 1]
+        order = np.argsort(code)
+        doubles, more, self.two = doubles[order], more[order], code[order]
+        self.after = 1 + len(singles)
+        self.fail.append(self.one[doubles[:, 1]])
+        self.penalty.append(np.log10(STRENGTH[3] / (more + STRENGTH[3])))
+        self.fail, self.penalty = np.concatenate(self.fail), np.concatenate(self.penalty)
+        # Arcs order by order: the weight of a longer one needs that of the shorter.
+        total_of = np.concatenate([[0.0], total, more])
+        self.arc, self.weight, self.target = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for k in sorted(arcs):
+            grams, count = arcs[k]
+            state = self.state(grams[:, :-1])
+            lower = 10 ** self.log_probability(self.fail[state], grams[:, -1])
+            weight = np.log10((count + STRENGTH[k] * lower) / (total_of[state] + STRENGTH[k]))
+            arc = np.concatenate([self.arc, state << 32 | grams[:, -1]])
+            order = np.argsort(arc)
+            target = np.concatenate([self.target, self.state(grams[:, -2:])])
+            self.arc, self.weight, self.target = arc[order], np.concatenate([self.weight, weight])[order], target[order]
+            self.find = HashArray(np.sort(hashed := mix(self.arc.astype(U64))))
+            self.at = np.argsort(hashed)
+
+    def state(self, history: np.ndarray) -> np.ndarray:
+        """State of the longest suffix of each history that is one."""
+        out = self.one[history[:, -1]]
+        if history.shape[1] == 2 and len(self.two):
+            code = history[:, 0].astype(np.int64) << 32 | history[:, 1]
+            at = np.minimum(np.searchsorted(self.two, code), len(self.two) - 1)
+            out = np.where(self.two[at] == code, self.after + at, out)
+        return out
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, next state) of a word in each state: its arc, or failure arcs until there is one."""
+        gained, state, todo = np.zeros(len(state)), state.copy(), np.arange(len(state))
+        while len(todo):
+            here, next_word = state[todo], word[todo]
+            arc = self.lookup(here, next_word)
+            hit = (arc >= 0) & (here > 0)
+            root = here == 0
+            gained[todo[hit]] += self.weight[arc[hit]]
+            state[todo[hit]] = self.target[arc[hit]]
+            gained[todo[root]] += self.base[next_word[root]]
+            state[todo[root]] = self.one[next_word[root]]
+            todo, here = todo[~hit & ~root], here[~hit & ~root]
+            gained[todo] += self.penalty[here]
+            state[todo] = self.fail[here]
+        return gained, state
+
+    def lookup(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        if not len(self.arc):
+            return np.full(len(state), -1)
+        found = self.find.find(mix((state << 32 | word).astype(U64)))
+        return np.where(found >= 0, self.at[found], -1)
+
+    def log_probability(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return self.step(state, word.astype(np.int64))[0]
+
+    def traverse(self, block: Block, order: int = ORDER, stretch: int = STRETCH) -> np.ndarray:
+        """Log10 probability of each text."""
+        text = np.repeat(np.arange(len(block.counts)), -(-block.counts // stretch))
+        part = np.arange(len(text)) - np.repeat(np.cumsum(np.bincount(text)) - np.bincount(text), np.bincount(text)) if len(text) else text
+        low = 1 + part * stretch  # places in the text, from its first token on
+        high = np.minimum(low + stretch, block.counts[text] + 1)
+        early = np.maximum(low - (order - 1), 1)
+        # Longest first, so that those still under way are always the first ones.
+        by = np.argsort(early - high, kind="stable")
+        text, low, high, early = text[by], low[by], high[by], early[by]
+        state = np.zeros(len(text), np.int64)
+        if len(text):
+            state[:] = np.where(early == 1, self.one[block.seq[block.begin[:-1][text]]], 0)
+        score, offset, length = np.zeros(len(text)), block.begin[:-1][text], high - early
+        active = len(text)
+        for t in range(int(length.max(initial=0))):
+            while active and length[active - 1] <= t:
+                active -= 1
+            gained, state[:active] = self.step(state[:active], block.seq[offset[:active] + early[:active] + t].astype(np.int64))
+            score[:active] += np.where(early[:active] + t >= low[:active], gained, 0.0)
+        return np.bincount(text, weights=score, minlength=len(block.counts))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. order: 1 to 3."""
+    if order not in (1, 2, 3):
+        raise ValueError("the order is 1, 2 or 3")
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col(id_col).alias("id"), (fold == HELD_OUT).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(tasks(spark), size // block_bytes + 1)
-    bits = int(size // 2 // RANGE_GRAMS).bit_length()
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-
-    def counts_of(orders: tuple[int, ...]) -> DataFrame:
-        """(range, block, order, totals) of the n-grams of these orders, and tokens and distinct words where there are any."""
-
-        def send(group: pa.Table) -> pa.Table:
-            block = Block(group["text"], ~np.asarray(group["held_out"]), order, orders)
-            out = []
-            for k in orders:
-                cut = _ranges(block.grams[k], bits)
-                for r in range(1 << bits):
-                    mine = slice(cut[r], cut[r + 1])
-                    out.append((r, group["block"][0].as_py(), k, pack_sorted(block.grams[k][mine]), pack(block.own[k][mine])))
-            return pa.table(list(map(pa.array, zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))), names=["range", "block", "k", "grams", "own"])
-
-        def add_up(group: pa.Table) -> pa.Table:
-            grams = [unpack_sorted(x.as_py()) for x in group["grams"]]
-            own = np.concatenate([unpack(x.as_py(), np.uint32) for x in group["own"]])
-            _, index = np.unique(np.concatenate(grams), return_inverse=True)
-            total = np.bincount(index, weights=own).astype(np.uint64) if len(own) else np.zeros(0, np.uint64)
-            edges, n = np.cumsum([0, *map(len, grams)]), len(group)
-            totals = pa.array([pack(total[index[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-            once = int(group["k"][0].as_py() == 1)
-            facts = [pa.array([once * int(x)] + [0] * (n - 1), pa.int64()) for x in (total.sum(), (total > 0).sum())]
-            return pa.table([group["range"], group["block"], group["k"], totals, *facts], names=["range", "block", "k", "totals", "tokens", "distinct"])
-
-        sent = rows.groupBy("block").applyInArrow(send, "range int, block int, k int, grams binary, own binary")
-        return saved(sent.groupBy("range", "k").applyInArrow(add_up, "range int, block int, k int, totals binary, tokens long, distinct long"), "lm-counts")
-
-    # One exchange for words and pairs and one for each higher order, so that only one lies on disk at a time.
-    waves = [tuple(range(1, min(order, 2) + 1)), *((k,) for k in range(3, order + 1))]
-    counted = reduce(DataFrame.unionByName, [counts_of(w) for w in waves])
-    tokens, distinct = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    texts = rows.filter(~F.col("held_out")).count()
-
-    def traverse(group: pa.Table, totals: pa.Table) -> pa.Table:
-        n = len(group)
-        block = Block(group["text"], np.zeros(n, bool), order)
-        ranges, orders = np.asarray(totals["range"]), np.asarray(totals["k"])
-        total = {}
-        for k in block.grams:
-            mine = np.flatnonzero(orders == k)
-            total[k] = np.concatenate([unpack(totals["totals"][int(i)].as_py(), np.uint64) for i in mine[np.argsort(ranges[mine])]])
-        base, score, known = block.score(total, tokens, distinct, texts)
+    rows = rows.withColumn("unit", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    sizes = plan(size // 4 + 1)
+    higher = range(2, order + 1)
+
+    def counted(group: pa.Table, block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct k-grams of a block and how often its training texts hold them."""
+        train = np.repeat(~np.asarray(group["held_out"]), block.counts + 1)
+        grams, at, index = block.grams(k)
+        return grams, np.bincount(index[train[at]], minlength=len(grams))
+
+    def ask(group: pa.Table) -> pa.Table:
+        unit, block, out = group["unit"][0].as_py(), Block(group["text"]), []
+        for k in higher:
+            grams, own = counted(group, block, k)
+            out += Asked(block.hashes(grams), own, sizes).rows(unit, k)
+        return sent_table(out)
+
+    def reach(group: pa.Table, block: Block, k: int, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(histories, their hashes, n-grams of each, n-grams that can live, own counts, hashes), by hash of the
+        history. A history that can have no n-gram left is left out; a word is the history of nothing but itself."""
+        grams, own = counted(group, block, k)
+        if k == 1:
+            whole = block.hashes(grams)
+            by = np.argsort(whole)
+            return grams[by], whole[by], np.ones(len(by), np.int64), grams[by], own[by], whole[by]
+        histories = grams[np.flatnonzero(np.concatenate([[True], (np.diff(grams[:, :-1], axis=0) != 0).any(1)]))][:, :-1] if len(grams) else grams[:, :-1]
+        if k > 2:  # what follows a history twice makes the history itself stand twice
+            lower, below = counted(group, block, k - 1)
+            live = Asked(block.hashes(lower), below, sizes).live(answers(found, k - 1))
+            code = lambda x: x[:, 0].astype(np.int64) << 32 | x[:, 1]
+            histories = histories[live[np.searchsorted(code(lower), code(histories))]]
+        live = Asked(block.hashes(grams), own, sizes).live(answers(found, k))
+        grams, own = grams[live], own[live]
+        keys = block.hashes(histories)
+        by = np.argsort(keys)
+        histories, keys = histories[by], keys[by]
+        whole, of = block.hashes(grams), block.hashes(grams[:, :-1])
+        place = np.minimum(np.searchsorted(keys, of), max(0, len(keys) - 1))
+        if len(keys):  # by chance a value of the census lives where its history's doesn't
+            there = keys[place] == of
+            grams, own, whole, place = grams[there], own[there], whole[there], place[there]
+        else:
+            grams, own, whole, place = grams[:0], own[:0], whole[:0], place[:0]
+        by = np.lexsort((whole, place))
+        return histories, keys, np.bincount(place, minlength=len(keys)), grams[by], own[by], whole[by]
+
+    def send(group: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        if len(group):
+            unit, block = group["unit"][0].as_py(), Block(group["text"])
+            for k in range(1, order + 1):
+                _, keys, follow, _, own, whole = reach(group, block, k, found)
+                edge = np.concatenate([[0], np.cumsum(follow)])
+                for r, a, b in ranges(keys, 64, sizes[1]):
+                    mine = slice(edge[a], edge[b])
+                    out.append((r, unit, k, pack_sorted(keys[a:b]), pack(follow[a:b].astype(np.uint32)), pack(whole[mine]), pack(own[mine].astype(np.uint32))))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_GRAMS), _GRAMS, strict=True)], schema=_GRAMS)
+
+    def add_up(group: pa.Table) -> pa.Table:
+        """Counts, cut-off and sums of a range of histories; for each block the counts of its n-grams and S of its histories."""
+        k = group["k"][0].as_py()
+        histories = [unpack_sorted(x.as_py()) for x in group["histories"]]
+        follow = [unpack(x.as_py(), np.uint32) for x in group["follow"]]
+        grams = [unpack(x.as_py(), np.uint64) for x in group["grams"]]
+        own = np.concatenate([unpack(x.as_py(), np.uint32) for x in group["own"]])
+        distinct, index = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.bincount(index, weights=own).astype(np.int64)
+        if k > 1:
+            total[total < CUT] = 0
+        all_histories, h_index = np.unique(np.concatenate(histories), return_inverse=True)
+        history_of = np.repeat(h_index, np.concatenate(follow))
+        of_gram = np.empty(len(distinct), np.int64)
+        of_gram[index] = history_of
+        after = np.bincount(of_gram, weights=total, minlength=len(all_histories)).astype(np.int64)
+        counts, sums = total[index], after[h_index]
+        edge, h_edge = np.cumsum([0, *map(len, grams)]), np.cumsum([0, *map(len, histories)])
+        n, once = len(group), int(k == 1)
         return pa.table(
-            {"id": group["id"], "held_out": group["held_out"], "n_tokens": block.counts.astype(np.int64), "n_known": known, "train_tokens": np.full(n, tokens), "base_score": base, "score": score}
+            [group["range"], group["unit"], group["k"]]
+            + [pa.array([pack(counts[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())]
+            + [pa.array([pack(sums[a:b]) for a, b in zip(h_edge[:-1], h_edge[1:], strict=True)], pa.binary())]
+            + [pa.array([once * int(x)] + [0] * (n - 1), pa.int64()) for x in (total.sum(), (total > 0).sum())],
+            names=["range", "unit", "k", "counts", "sums", "tokens", "distinct"],
         )
 
+    live = saved(census(rows.groupBy("unit").applyInArrow(lean_group(ask), SENT)), "lm-live")
+    sent = rows.groupBy("unit").cogroup(live.groupBy("unit")).applyInArrow(lean_group(send), "range int, unit int, k int, histories binary, follow binary, grams binary, own binary")
+    model = saved(sent.groupBy("range", "k").applyInArrow(lean_group(add_up), "range int, unit int, k int, counts binary, sums binary, tokens long, distinct long"), "lm-arcs")
+    tokens, distinct = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    parts = live.select("range", "unit", F.col("tag").alias("k"), "live", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("sums"))
+    parts = parts.unionByName(model.select("range", "unit", "k", F.lit(None).cast("binary").alias("live"), "counts", "sums"))
+
+    def score(group: pa.Table, told: pa.Table) -> pa.Table:
+        n = len(group)
+        if not n:
+            return pa.Table.from_pylist([], _result(group.schema.field("id").type))
+        block = Block(group["text"])
+        is_live = pa.compute.is_valid(told["live"])
+        found = told.filter(is_live).rename_columns(["range", "unit", "tag", "live", "counts", "sums"])
+        owned = told.filter(pa.compute.invert(is_live))
+        histories, arcs = {}, {}
+        words = np.zeros(len(block.vocabulary))
+        for k in range(1, order + 1):
+            keys, _, _, grams, _, _ = reach(group, block, k, found)
+            mine = owned.filter(pa.compute.equal(owned["k"], k)).sort_by("range")
+            counts = np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py(), np.int64) for x in mine["counts"])])
+            if k == 1:
+                words[grams[:, 0]] = counts
+                continue
+            sums = np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py(), np.int64) for x in mine["sums"])])
+            histories[k] = keys[sums > 0], sums[sums > 0]
+            arcs[k] = grams[counts > 0], counts[counts > 0]
+        probability = (words + 0.5) / (tokens + 0.5 * (distinct + 1))
+        automaton = Automaton(probability, histories, arcs)
+        own = block.place > 0
+        text = np.repeat(np.arange(n), block.counts + 1)[own]
+        base = np.bincount(text, weights=np.log10(probability)[block.seq[own]], minlength=n)
+        known = np.bincount(text, weights=words[block.seq[own]] > 0, minlength=n).astype(np.int64)
+        columns = [group["id"], group["held_out"], block.counts.astype(np.int64), known, np.full(n, tokens), base, automaton.traverse(block, order)]
+        return pa.table(columns, schema=_result(group.schema.field("id").type))
+
     schema = f"id {docs.select(id_col).dtypes[0][1]}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(counted.drop("tokens", "distinct").groupBy("block")).applyInArrow(traverse, schema)
+    return rows.groupBy("unit").cogroup(parts.groupBy("unit")).applyInArrow(lean_group(score), schema)
 
 
-def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+_GRAMS = pa.schema([(c, pa.int32()) for c in ("range", "unit", "k")] + [(c, pa.binary()) for c in ("histories", "follow", "grams", "own")])
+
 
+def _result(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("id", kind), ("held_out", pa.bool_())] + [(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")] + [("base_score", pa.float64()), ("score", pa.float64())])
 
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
