@@ -83,6 +83,14 @@ def test_nodes_are_those_of_equal_paths():
     assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in by.values() if len(x) > 1)
 
 
+def test_paths_that_differ_in_any_word_have_other_edges():
+    words = [f"w{i}" for i in range(20)]
+    texts = [" ".join(words)] + [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(20)] + [" ".join(words)]
+    piece = substrings.Piece(np.arange(22), np.arange(22), pa.array(texts).cast(pa.binary()))
+    edges = np.stack(piece.edges(np.arange(22)))
+    assert len({tuple(e) for e in edges.T}) == 21 and (edges[-1, 1:21] != edges[-1, 0]).all()  # by the second hash alone, too
+
+
 def test_other_ids_raise(spark):
     with pytest.raises(TypeError):
         substrings.cut_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -68,14 +69,21 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def give_back() -> None:
-    """Return the memory of dropped arrays to the system; workers are used again by later stages."""
+_given: list[float] = [0.0]
+
+
+def give_back(every: float = 0.0) -> None:
+    """Return the memory of dropped arrays to the system; workers are used again by later stages. Not again within
+    so many seconds."""
+    if time.monotonic() < _given[0] + every:
+        return
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # a C library without it
         pass
+    _given[0] = time.monotonic()
 
 
 def lean(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -97,13 +105,13 @@ def lean_group(each: Callable) -> Callable:
         try:
             return each(group)
         finally:
-            give_back()
+            give_back(0.5)
 
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
         try:
             return each(left, right)
         finally:
-            give_back()
+            give_back(0.5)
 
     return two if each.__code__.co_argcount == 2 else one
 

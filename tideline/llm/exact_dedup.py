@@ -1,97 +1,97 @@
 """Exact dedup over an extendible-hash index kept as files in the shared folder.
 
-Keys are the texts without blanks, addressed by the leading bits of their XXH64. The directory starts at depth 0
-and doubles while a bucket holds more distinct keys than its capacity; only overfull buckets split, so several
-directory slots may share one bucket. Copies of one text are a single key: they never overfill a bucket and are
-pre-aggregated before every shuffle. Each index file covers a range of buckets and is owned by one task. Texts whose
-64-bit hashes collide share a chain; they are told apart by grouping on the bytes themselves.
-
-Everything on the data path is DataFrame code; the driver sees only key counts per hash prefix (at most
-2**MAX_DEPTH rows).
-
-Defined results. Null text counts as empty; all empty texts are equal. A null id loses to any other id of the same
-length. Rows that repeat an id and a text are copies like any other: exactly one row of a group is kept. Empty
-tables give empty results. Other columns of the input are not read, whatever their names.
+Keys are the texts without blanks, addressed by the leading bits of their XXH64. The directory starts at the bits that
+evenly spread keys need and doubles, by aggregates over the hashes alone, as long as a bucket holds more distinct keys than its capacity; then
+buckets that needn't be so deep are merged back, so several directory slots share one bucket. Every key goes through
+its slot to its bucket. The tasks that own a bucket's keys group them on hash and bytes: texts of one hash form a chain
+whose members are told apart by their bytes, and the entry of a member holds how many rows have it and the row that
+stays, with all that is asked of that row. Copies of one text are a single key: they never overfill a bucket and are
+pre-aggregated before every shuffle. Index files cover ranges of buckets. Lookups go by slot, bucket, hash and, for the
+place in the chain, SHA-256.
+
+All is DataFrame code; the driver sees depths and numbers only. The directory has as many rows as slots; it is broadcast
+up to BROADCAST_SLOTS of them, and joined by slot beyond that.
+
+Defined results. Null text counts as empty; all empty texts are equal. Ids may be of any type that has an order. A null
+id loses to any other id of the same length. Rows that repeat an id and a text are copies like any other: exactly one
+row of a group is kept. Empty tables give empty results. Other columns of the input are not read by exact_groups,
+whatever their names, and carried along untouched by drop_copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BLANKS, saved, table, tasks, text_or_empty
 
-#: Distinct keys a bucket holds before it splits, and the deepest directory (2**20 slots of 16 bytes are broadcast).
-BUCKET_KEYS, MAX_DEPTH = 1 << 16, 20
+#: Distinct keys a bucket holds before it splits; bits the directory has at least; slots up to which it is broadcast.
+BUCKET_KEYS, FIRST_DEPTH, BROADCAST_SLOTS = 1 << 16, 4, 1 << 18
 
 
-def squeeze(column):
+def squeeze(column: Column) -> Column:
     return F.translate(column, BLANKS, "")
 
 
-def address(depth: int):
-    """Directory slot of hash h at a depth: its leading bits."""
-    return F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
-
-
-def double_directory(counts: dict[int, int], depth_max: int, capacity: int) -> list[tuple[int, int, int]]:
-    """(slot at the global depth, bucket, local depth) after splitting every overfull bucket of the histogram.
-
-    counts has the keys per slot at depth_max. A bucket is named by its first slot at depth_max."""
-    level = [dict(counts)]
-    for _ in range(depth_max):
-        up: dict[int, int] = {}
-        for slot, n in level[-1].items():
-            up[slot >> 1] = up.get(slot >> 1, 0) + n
-        level.append(up)
-    level.reverse()
-    leaves, todo = [], [(0, 0)]
-    while todo:
-        depth, slot = todo.pop()
-        if level[depth].get(slot, 0) > capacity and depth < depth_max:
-            todo += [(depth + 1, 2 * slot), (depth + 1, 2 * slot + 1)]
-        else:
-            leaves.append((depth, slot))
-    deepest = max(d for d, _ in leaves)
-    return sorted(
-        (s, slot << (depth_max - depth), depth)
-        for depth, slot in leaves
-        for s in range(slot << (deepest - depth), (slot + 1) << (deepest - depth))
-    )
+def slot_of(h: Column, depth: int) -> Column:
+    """Directory slot of a hash: its leading bits."""
+    return F.shiftrightunsigned(h, 64 - depth).cast("long") if depth else F.lit(0).cast("long")
+
+
+def grow_directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """((slot, bucket, local_depth) of every slot, depth) for distinct hashes h.
+
+    The depth doubles the directory until no slot holds more than capacity. A bucket is the widest run of slots, a power
+    of two of them, that doesn't; it is named by its first slot. Only a hash shared by more texts than capacity overfills
+    a bucket, as its 64 bits can't be split any further."""
+    keys = saved(keys, "exact-keys")
+    depth = max(FIRST_DEPTH, (keys.count() // capacity).bit_length())
+    while True:
+        counts = saved(keys.groupBy(slot_of(F.col("h"), depth).alias("slot")).agg(F.count("*").alias("n")), "exact-slots")
+        if depth >= 60 or not counts.filter(F.col("n") > capacity).limit(1).count():
+            break
+        depth += 2
+    # Nodes of all depths with their keys; the widest ones that fit are the buckets.
+    up = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("at")
+    shift = lambda name, column, bits: F.call_function(name, F.col(column) if isinstance(column, str) else column, bits)
+    above = shift("shiftright", "slot", F.lit(depth) - F.col("at")).alias("node")
+    nodes = counts.select("slot", "n", up).groupBy("at", above).agg(F.sum("n").alias("n"))
+    fits = nodes.filter(F.col("n") <= capacity).select("at", "node")
+    covered = counts.select("slot", up).select("slot", "at", above)
+    local = covered.join(fits, ["at", "node"]).groupBy("slot").agg(F.min("at").alias("local_depth"))
+    slots = counts.select("slot").join(local, "slot", "left").withColumn("local_depth", F.coalesce("local_depth", F.lit(depth)))
+    back = F.lit(depth) - F.col("local_depth")
+    directory = slots.select("slot", shift("shiftleft", shift("shiftright", "slot", back), back).alias("bucket"), "local_depth")
+    return saved(directory, "exact-directory"), depth
 
 
 class ExtendibleIndex:
-    """One row per distinct text: (h, sha, bucket, chain, n); built by build()."""
+    """One row per distinct text: (bucket, local_depth, h, chain, sha, n, kept); built by build()."""
 
     def __init__(self, entries: DataFrame, directory: DataFrame, depth: int):
         self.entries, self.directory, self.depth = entries, directory, depth
+        self.small = directory.limit(BROADCAST_SLOTS + 1).count() <= BROADCAST_SLOTS
+
+    def addressed(self, rows: DataFrame) -> DataFrame:
+        """Rows with a hash h, with the bucket that the directory gives for it."""
+        directory = F.broadcast(self.directory) if self.small else self.directory
+        return rows.withColumn("slot", slot_of(F.col("h"), self.depth)).join(directory, "slot").drop("slot")
 
     @classmethod
-    def build(cls, docs: DataFrame, probe: DataFrame, text: str = "text", capacity: int = BUCKET_KEYS) -> ExtendibleIndex:
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS, carry: list[str] | None = None) -> ExtendibleIndex:
+        """carry: columns of docs that the entry holds of the row that stays."""
         spark = docs.sparkSession
-        keys = probe.select("h").distinct()
-        wanted = max(0, (keys.count() // capacity).bit_length())
-        depth_max = min(MAX_DEPTH, wanted + 3 if wanted else 0)
-        histogram = {r.slot: r.n for r in keys.groupBy(address(depth_max).alias("slot")).agg(F.count("*").alias("n")).collect()}
-        rows = double_directory(histogram, depth_max, capacity)
-        depth = (len(rows) - 1).bit_length()
-        directory = spark.createDataFrame(rows, "slot int, bucket int, local_depth int")
-        # Grouping on the text compares bytes: texts with one hash stay apart, copies meet in a map-side hash table first.
-        chains = (
-            docs.select(squeeze(text_or_empty(text)).alias("body"))
-            .select(F.xxhash64("body").alias("h"), "body")
-            .groupBy("h", "body")
-            .agg(F.count("*").alias("n"))
-            .select("h", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), F.octet_length("body").alias("octets"), "n")
-        )
-        owned = (
-            chains.withColumn("slot", address(depth))
-            .join(F.broadcast(directory), "slot")
-            .repartitionByRange(tasks(spark), "bucket", "h", "sha")
-            .sortWithinPartitions("bucket", "h", "sha")
-            .select("bucket", "local_depth", "h", "sha", "octets", "n")
-        )
-        return cls(saved(owned, "exact-index"), directory, depth)
+        whole = text_or_empty(text)
+        rank = F.struct((-F.length(whole)).alias("less"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+        kept = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry or [])], F.lit(0).alias("pad"))
+        rows = docs.select(squeeze(whole).alias("body"), rank.alias("rank"), kept.alias("kept")).withColumn("h", F.xxhash64("body"))
+        index = cls(None, *grow_directory(rows.select("h").distinct(), capacity))
+        # The owner of a key groups on its bytes; partial aggregates bring one row a distinct text and task.
+        best = [F.min("rank").alias("rank"), F.min_by("kept", "rank").alias("kept")] if carry else [F.min("rank").alias("rank")]
+        members = index.addressed(rows).groupBy("bucket", "local_depth", "h", "body").agg(F.count("*").alias("n"), *best)
+        chained = members.select("bucket", "local_depth", "h", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "n", "rank", *(["kept"] if carry else []))
+        index.entries = saved(chained.repartitionByRange(tasks(spark), "bucket", "h").sortWithinPartitions("bucket", "h", "sha"), "exact-index")
+        return index
 
 
 def probe_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,27 +105,21 @@ def probe_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
     """One row per input row: id, h, length, keep_id, group_size, kept, text_sha256."""
-    probe = probe_rows(docs, id_col, text)
-    index = ExtendibleIndex.build(docs, probe, text, capacity)
-    best = probe.groupBy("h", "sha").agg(F.max(F.struct("length", (-F.col("id")).alias("minus_id"), (-F.col("row")).alias("minus_row"))).alias("best"))
-    keep = index.entries.join(best, ["h", "sha"]).select(
-        "h", "sha", F.col("n").alias("group_size"), (-F.col("best.minus_id")).alias("keep_id"), (-F.col("best.minus_row")).alias("keep_row")
-    )
-    return probe.join(keep, ["h", "sha"]).select(
-        "id", "h", "length", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256")
+    index = ExtendibleIndex.build(docs, id_col, text, capacity)
+    probe = index.addressed(probe_rows(docs, id_col, text))
+    found = saved(probe.join(index.entries.drop("local_depth"), ["bucket", "h", "sha"]).drop("local_depth"), "exact-found")
+    stays = (F.col("length") == -F.col("rank.less")) & F.col("id").eqNullSafe(F.col("rank.id"))
+    # Rows that repeat the id and the text of the one that stays: the first of them does.
+    first = found.filter(stays).groupBy("bucket", "h", "sha").agg(F.min("row").alias("first"))
+    return found.join(first, ["bucket", "h", "sha"]).select(
+        "id", "h", "length", F.col("rank.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The kept rows with all their columns."""
-    kept = exact_groups(docs, id_col, text).filter("kept").select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("length").alias("__n"))
-    kept = saved(kept, "exact-kept")
-    rows = docs.withColumns({"__k": F.xxhash64(squeeze(text_or_empty(text))), "__len": F.length(text_or_empty(text))})
-    same = (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__k") == F.col("__h")) & (F.col("__len") == F.col("__n"))
-    hits = rows.join(kept, same, "left_semi")
-    # Rows repeated with their id all match; the join has already brought them together.
-    first = Window.partitionBy(id_col, "__k", "__len").orderBy(id_col)
-    return hits.withColumn("__first", F.row_number().over(first)).filter("__first = 1").select(*docs.columns)
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
+    """The kept rows with all their columns, out of the index's entries."""
+    entries = ExtendibleIndex.build(docs, id_col, text, capacity, carry=docs.columns).entries
+    return entries.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,14 @@ are the repeats, so the trees are cut at DEPTH.
    single leaves of the whole tree and go no further.
 2. The suffixes that are left are split by prefixes of variable length: of two words, and where a sample of prefix
    counts says that so short a prefix would hold more than GROUP suffixes, of four, eight or all words. Groups share
-   tasks by hash. Each task builds the tree of its groups, level by level: a node's leaves are sorted by the next words,
-   nodes of one leaf are done, and the nodes that reach DEPTH with two leaves or more are the repeats. Within a node the
-   least place stays. Neighbouring repeats of a text join up to maximal ones.
+   tasks by hash. Each task builds the tree of its groups, level by level: a node's leaves are sorted by their next
+   edge, nodes of one leaf are done, and the nodes that reach DEPTH with two leaves or more are the repeats. Within a
+   node the least place stays. Neighbouring repeats of a text join up to maximal ones.
 
-Words travel as bytes, in dictionaries, and are compared as such: hashes only decide what meets and what needn't. A
-passage that fills a third of the corpus is one suffix a piece, in one leaf.
+Within a piece edges are words, compared by their bytes. Between pieces words would be sent DEPTH times over, so edges
+are the hashes of words 1-2, 3-4, 5-8 and 9-20 (32, 32, 32 and 64 bits) and a 64-bit hash of the whole path from another
+hash function of the words: paths are equal if all 224 bits are. A passage that fills a third of the corpus is one
+suffix a piece, in one leaf.
 
 A place is (id, start, hash of the text); null ids come after all others. Words that repeats cover are marked by
 places, gathered by text, and cut out where the texts are read again.
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,17 +92,17 @@ def first_of_equal(nodes: np.ndarray, ids: np.ndarray, starts: np.ndarray, texts
     return first, after
 
 
-def deep_nodes(word_at, suffixes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leaves, node of each) of all nodes of depth DEPTH with two leaves or more, of the tree over the suffixes.
+def deep_nodes(edge_at, suffixes: int, levels: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(leaves, node of each) of all nodes of full depth with two leaves or more, of the tree over the suffixes.
 
-    word_at(leaves, depth) gives the number of a path's word. The tree grows a level at a time: the leaves of a node
-    are sorted by their next word, and a node left with one leaf is not followed any further."""
+    edge_at(leaves, level) gives the next edge of each path, a number of 32 bits. The tree grows a level at a time: the
+    leaves of a node are sorted by their edge, and a node left with one leaf is not followed any further."""
     leaves, node = np.arange(suffixes), np.zeros(suffixes, np.int64)
-    for depth in range(DEPTH):
+    for level in range(levels):
         if not len(leaves):
             break
-        edge = node << np.int64(32) | word_at(leaves, depth).astype(np.int64)
-        order = np.argsort(edge, kind="stable" if depth > 4 else None)
+        edge = node << np.int64(32) | edge_at(leaves, level).astype(np.int64)
+        order = np.argsort(edge)
         e = edge[order]
         new = np.concatenate([[True], e[1:] != e[:-1]])
         of = np.cumsum(new) - 1
@@ -162,8 +165,20 @@ class Piece:
         chosen = self.begin[self.left][self.window[self.left] % U64(every) == 0]
         return [np.unique(run_hashes(self.sums, chosen, k), return_counts=True) for k in PREFIXES[:-1]]
 
+    def edges(self, at: np.ndarray) -> list[np.ndarray]:
+        """The edges of the paths from some suffixes, as columns of 32 bits."""
+        begin, out = self.begin[at], []
+        for low, high in zip((0, *PREFIXES[:-1]), PREFIXES, strict=True):
+            out.append(run_hashes(self.sums, begin + low, high - low))
+        data, offsets = batch_bytes(self.dictionary)
+        whole, cut = data.tobytes(), offsets.tolist()
+        other = np.array([xxhash.xxh64_intdigest(whole[a:b], 7) for a, b in zip(cut[:-1], cut[1:], strict=True)], U64)
+        out.append(run_hashes(prefix_sums(other[self.words]), begin, DEPTH))
+        columns = [(x >> U64(32)).astype(np.uint32) for x in out]
+        return columns + [x.astype(np.uint32) for x in out[-2:]]
+
     def groups(self, live: np.ndarray, heavy: list[np.ndarray], buckets: int) -> list[dict]:
-        """Rows for the buckets: the words of the suffixes that live, each in the group of its prefix."""
+        """Rows for the buckets: the edges of the suffixes that live, each in the group of its prefix."""
         at = self.left[live]
         if not len(at):
             return []
@@ -172,21 +187,18 @@ class Piece:
             split[split] = np.isin(key[split], crowded)
             key[split] = run_hashes(self.sums, self.begin[at[split]], k)
         bucket = (key % U64(buckets)).astype(np.int64)
-        order = np.lexsort((key, bucket))
+        order = np.argsort(bucket, kind="stable")
         at, bucket = at[order], bucket[order]
+        edges = self.edges(at)
         head = np.flatnonzero(np.diff(bucket, prepend=-1))
         out = []
         for a, b in zip(head.tolist(), [*head[1:].tolist(), len(at)], strict=True):
             mine = at[a:b]
-            paths = self.words[self.begin[mine][:, None] + np.arange(DEPTH, dtype=np.int32)]
-            used, paths = np.unique(paths, return_inverse=True)
             docs, which = np.unique(self.doc[mine], return_inverse=True)
             out.append(
                 {
                     "bucket": int(bucket[a]),
-                    "dictionary": _PACK.compress(b" ".join(self.dictionary.take(pa.array(used)).to_pylist()), asbytes=True),
-                    "octets": int(sum(map(len, self.dictionary.take(pa.array(used)).to_pylist())) + len(used) - 1),
-                    "paths": pack(paths.reshape(len(mine), DEPTH).T.ravel().astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)),
+                    "edges": [e[a:b].tobytes() for e in edges],
                     "starts": pack(self.start[mine].astype(np.uint32)),
                     "docs": pack(which.astype(np.uint32)),
                     "ids": pack(self.ids[docs]),
@@ -196,9 +208,6 @@ class Piece:
         return out
 
 
-_PACK = pa.Codec("zstd", compression_level=1)
-
-
 def _dictionary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
     """The words of a batch, encoded by their bytes."""
     size = ends - starts
@@ -222,23 +231,18 @@ class Bucket:
     """The suffixes of a bucket's groups from all pieces, and the trees over them."""
 
     def __init__(self, rows: list[dict]):
-        words = [_PACK.decompress(r["dictionary"], r["octets"], asbytes=True).split(b" ") for r in rows]
-        numbers: dict[bytes, int] = {}
-        paths, docs, starts, ids, hashes, base = [], [], [], [], [], 0
-        for r, d in zip(rows, words, strict=True):
-            number = np.array([numbers.setdefault(w, len(numbers)) for w in d], np.int32)
-            local = unpack(r["paths"], np.uint16 if len(d) <= 1 << 16 else np.uint32)
-            paths.append(number[local.reshape(DEPTH, -1)])
+        docs, starts, ids, hashes, base = [], [], [], [], 0
+        for r in rows:
             ids.append(unpack(r["ids"], np.int64))
             hashes.append(unpack(r["hashes"], np.int64))
             docs.append(unpack(r["docs"], np.uint32).astype(np.int64) + base)
             starts.append(unpack(r["starts"], np.uint32).astype(np.int64))
             base += len(ids[-1])
-        self.paths = np.concatenate(paths, axis=1)
+        self.edges = [np.concatenate([np.frombuffer(r["edges"][k], np.uint32) for r in rows]) for k in range(len(rows[0]["edges"]))]
         self.ids, self.hashes, self.doc, self.start = (np.concatenate(x) for x in (ids, hashes, docs, starts))
 
     def later_places(self) -> list[dict]:
-        leaves, node = deep_nodes(lambda x, d: self.paths[d][x], self.paths.shape[1])
+        leaves, node = deep_nodes(lambda x, level: self.edges[level][x], len(self.doc), len(self.edges))
         doc = self.doc[leaves]
         _, later = first_of_equal(node, self.ids[doc], self.start[leaves], self.hashes[doc])
         leaves = leaves[later]
@@ -248,11 +252,9 @@ class Bucket:
 
 
 _BUCKET = pa.schema(
-    [("bucket", pa.int32()), ("dictionary", pa.binary()), ("octets", pa.int64())]
-    + [(c, pa.binary()) for c in ("paths", "starts", "docs", "ids", "hashes")]
-    + [("marks", pa.list_(pa.struct(_PLACES)))]
+    [("bucket", pa.int32()), ("edges", pa.list_(pa.binary()))] + [(c, pa.binary()) for c in ("starts", "docs", "ids", "hashes")] + [("marks", pa.list_(pa.struct(_PLACES)))]
 )
-_BUCKET_SQL = "bucket int, dictionary binary, octets long, paths binary, starts binary, docs binary, ids binary, hashes binary, marks array<struct<id:bigint,text_hash:bigint,starts:binary,sizes:binary>>"
+_BUCKET_SQL = "bucket int, edges array<binary>, starts binary, docs binary, ids binary, hashes binary, marks array<struct<id:bigint,text_hash:bigint,starts:binary,sizes:binary>>"
 
 
 def _piece(group: pa.Table) -> Piece:
@@ -286,7 +288,7 @@ def repeat_places(rows: DataFrame, piece_bytes: int = PIECE_BYTES, group: int =
         unit, piece = part["unit"][0].as_py(), _piece(part)
         out = piece.asked(sizes).rows(unit, 0)
         for tag, (value, count) in enumerate(piece.sample(every), 1):
-            out += [(r, unit, tag, pack_sorted(value[a:b]), pack(count[a:b])) for r, a, b in ranges(value, 64, sizes[1])]
+            out += [(r, unit, tag, pack_sorted(value[a:b]), pack(count[a:b])) for r, a, b in ranges(value, 64, plan(suffixes // every)[1])]
         return sent_table(out)
 
     sent = saved(rows.groupBy("unit").applyInArrow(lean_group(ask), SENT), "substring-hashes")
@@ -306,7 +308,7 @@ def repeat_places(rows: DataFrame, piece_bytes: int = PIECE_BYTES, group: int =
     def meet(part: pa.Table) -> pa.Table:
         got = part.to_pylist()
         out = [m for r in got for m in r["marks"] or ()]
-        if got := [r for r in got if r["dictionary"] is not None]:
+        if got := [r for r in got if r["edges"] is not None]:
             out += Bucket(got).later_places()
         return pa.Table.from_pylist(out, pa.schema(_PLACES))
 
