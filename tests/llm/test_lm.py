@@ -73,31 +73,27 @@ def test_scores_match_brute_force(spark, order, block):
 def automaton(texts):
     """The automaton of a block whose texts are all training ones, with plain counts; and the block."""
     block = lm.Block(pa.array(texts).cast(pa.binary()))
+    count = block.training(np.ones(len(texts), bool))
+    words = count[1].astype(float)
     histories, arcs = {}, {}
-    for k in (1, 2, 3):
-        grams, _, index = block.grams(k)
-        count = np.bincount(index)
-        if k == 1:
-            words = np.zeros(len(block.vocabulary))
-            words[grams[:, 0]] = count
-            continue
-        kept = count >= lm.CUT
-        history, of = np.unique(grams[kept][:, :-1], axis=0, return_inverse=True)
-        histories[k] = history, np.bincount(of.ravel(), weights=count[kept])
-        arcs[k] = grams[kept], count[kept]
+    for k, rows in ((2, block.pairs), (3, np.column_stack([block.pairs[block.triples[:, 0]], block.triples[:, 1]]))):
+        kept = count[k] >= lm.CUT
+        history, of = np.unique(rows[kept][:, :-1], axis=0, return_inverse=True)
+        histories[k] = history, np.bincount(of.ravel(), weights=count[k][kept])
+        arcs[k] = rows[kept], count[k][kept]
     distinct = (words > 0).sum()
     return lm.Automaton((words + 0.5) / (words.sum() + 0.5 * (distinct + 1)), histories, arcs), block
 
 
 def test_probabilities_add_up():
     made, block = automaton([t or "" for _, t in rows()])
-    seen = np.unique(block.seq[block.place > 0])
+    seen = np.unique(block.index[1])
     unknown = 10 ** made.base[block.seq[0]]  # the start is no word: it weighs what an unknown word does
     root = (10 ** made.base[seen]).sum() + unknown
     assert root == pytest.approx(1)
     assert len(made.fail) > 10
     for state in range(len(made.fail)):
-        total = (10 ** made.log_probability(np.full(len(seen), state), seen)).sum()
+        total = (10 ** made.step(np.full(len(seen), state), seen)[0]).sum()
         down, at = 1.0, state
         while at:
             down, at = down * 10 ** made.penalty[at], made.fail[at]
@@ -106,7 +102,7 @@ def test_probabilities_add_up():
 
 def test_arcs_and_failure_arcs_are_followed():
     made, block = automaton(["a b c", "a b c", "a b d", "x b d", "x b d"])
-    number = {w: int(np.searchsorted(block.vocabulary, h)) for w, h in zip("abcdx", lm.word_hashes(np.frombuffer(b"abcdx", np.uint8), np.arange(5), np.arange(1, 6)))}
+    number = {w: int(np.flatnonzero(block.words == h)[0]) for w, h in zip("abcdx", lm.word_hashes(np.frombuffer(b"abcdx", np.uint8), np.arange(5), np.arange(1, 6)))}
     a, b, c, d = (number[w] for w in "abcd")
     ab, only_b = made.state(np.array([[a, b], [c, b]]))
     assert ab >= made.after and only_b == made.one[b] and made.fail[ab] == made.one[b] and made.fail[made.one[b]] == 0

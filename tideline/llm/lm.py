@@ -26,6 +26,8 @@ their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -41,15 +43,19 @@ from .words import _BASE, HashArray, batch_bytes, mix, separators, word_hashes,
 ORDER, STRENGTH, CUT = 3, {2: 8.0, 3: 2.0}, 2
 #: Bytes of text of a block; tokens of a stretch of a text.
 BLOCK_BYTES, STRETCH = 8 << 20, 512
+#: Bits by which the n-grams after one history (of 64 bits) are told apart.
+NAME_BITS = 40
 FOLDS, HELD_OUT = 5, 1
 U64 = np.uint64
 START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
 
 class Block:
-    """The tokens of some texts, each text as start, words, end. Words are numbered by their hashes."""
+    """The tokens of some texts, each text as start, words, end, and their distinct n-grams.
+
+    Words are numbered as they come; a pair is two words, a triple is a pair and the word after it."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, order: int = ORDER):
         data, offsets = batch_bytes(column)
         starts, ends, first = word_spans(data, offsets, separators("blank"))
         self.counts = np.diff(first) + 1
@@ -58,70 +64,67 @@ class Block:
         seq[self.begin[:-1]] = START
         seq[self.begin[1:] - 1] = END
         seq[np.arange(first[-1]) + np.repeat(2 * np.arange(len(self.counts)) + 1, np.diff(first))] = word_hashes(data, starts, ends)
-        self.vocabulary, seq = np.unique(seq, return_inverse=True)
-        self.seq = seq.astype(np.int32)
-        #: Place of each token in its text; the start is 0.
-        self.place = np.arange(len(seq)) - np.repeat(self.begin[:-1], self.counts + 1)
-
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct k-grams as rows of word numbers, where each ends, index of the k-gram that ends there)."""
-        at = np.flatnonzero(self.place >= max(1, k - 1))
-        code = self.seq[at].astype(np.int64)
-        words = [np.unique(code)] if k == 1 else []
-        if k == 1:
-            return words[0][:, None], at, np.searchsorted(words[0], code)
-        pairs, before = np.unique(self.seq[at - 1].astype(np.int64) << 32 | code, return_inverse=True)
-        if k == 2:
-            return np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1), at, before
-        whole, index = np.unique(self.seq[at - 2].astype(np.int64) << 32 | before, return_inverse=True)
-        last = pairs[whole & 0xFFFFFFFF]
-        return np.stack([whole >> 32, last >> 32, last & 0xFFFFFFFF], axis=1), at, index
-
-    def hashes(self, grams: np.ndarray) -> np.ndarray:
-        """Hash of each row of word numbers; rows of no words hash alike."""
-        code = np.full(len(grams), U64(grams.shape[1]))
-        for column in grams.T:
-            code = code * U64(_BASE) + self.vocabulary[column]
-        return mix(code)
+        self.words, self.seq = _numbered(seq)
+        starting = np.zeros(len(seq), bool)
+        starting[self.begin[:-1]] = True
+        #: By order: where n-grams end, and the number of the n-gram that ends there; their hashes.
+        self.at, self.index, self.hash = {1: np.flatnonzero(~starting)}, {}, {1: mix(self.words)}
+        self.index[1] = self.seq[self.at[1]]
+        self.pairs = self.triples = np.zeros((0, 2), np.int64)
+        if order > 1:
+            self.at[2] = self.at[1]
+            code, self.index[2] = _numbered(self.seq[self.at[2] - 1].astype(U64) << U64(32) | self.seq[self.at[2]].astype(U64))
+            self.pairs = np.stack([code >> U64(32), code & U64(0xFFFFFFFF)], axis=1).astype(np.int64)
+            self.hash[2] = mix(self.hash[1][self.pairs[:, 0]] * U64(_BASE) + self.words[self.pairs[:, 1]])
+        if order > 2:
+            inner = np.flatnonzero(~starting[self.at[2] - 1])
+            self.at[3] = self.at[2][inner]
+            code, self.index[3] = _numbered(self.index[2][inner - 1].astype(U64) << U64(32) | self.seq[self.at[3]].astype(U64))
+            self.triples = np.stack([code >> U64(32), code & U64(0xFFFFFFFF)], axis=1).astype(np.int64)
+            self.hash[3] = mix(self.hash[2][self.triples[:, 0]] * U64(_BASE) + self.words[self.triples[:, 1]])
+
+    def training(self, train: np.ndarray) -> dict[int, np.ndarray]:
+        """By order, how often the training texts hold each n-gram."""
+        chosen = np.repeat(train, self.counts + 1)
+        return {k: np.bincount(index[chosen[self.at[k]]], minlength=len(self.hash[k])) for k, index in self.index.items()}
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values as they come, number of each value's)."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
 class Automaton:
     """States and arcs that the texts of a block can reach. Arcs are found by (state, word)."""
 
     def __init__(self, base: np.ndarray, histories: dict[int, tuple[np.ndarray, np.ndarray]], arcs: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """base: probability of each word of the block. histories and arcs, by order of the n-gram: rows of word
-        numbers with S(h), with c*. A state of k words is a history of n-grams of order k + 1."""
-        words = len(base)
+        """base: probability of each word of the block. histories and arcs, by order of the n-gram: rows of words with
+        S(h), with c*. State 0 is the empty history, then come those of one word, then those of two."""
         self.base = np.log10(base)
-        #: State of each history: 0 is empty, then one-word histories, then those of two words.
-        self.one = np.zeros(words, np.int64)
-        self.fail, self.penalty = [np.zeros(1, np.int64)], [np.zeros(1)]
+        self.one = np.zeros(len(base), np.int64)
         singles, total = histories.get(2, (np.zeros((0, 1), np.int64), np.zeros(0)))
         self.one[singles[:, 0]] = np.arange(1, len(singles) + 1)
-        self.fail.append(np.zeros(len(singles), np.int64))
-        self.penalty.append(np.log10(STRENGTH[2] / (total + STRENGTH[2])))
         doubles, more = histories.get(3, (np.zeros((0, 2), np.int64), np.zeros(0)))
-        code = doubles[:, 0] << 32 | doubles[:, 1]
-        order = np.argsort(code)
-        doubles, more, self.two = doubles[order], more[order], code[order]
+        self.two = doubles[:, 0] << 32 | doubles[:, 1]
+        order = np.argsort(self.two)
+        doubles, more, self.two = doubles[order], more[order], self.two[order]
         self.after = 1 + len(singles)
-        self.fail.append(self.one[doubles[:, 1]])
-        self.penalty.append(np.log10(STRENGTH[3] / (more + STRENGTH[3])))
-        self.fail, self.penalty = np.concatenate(self.fail), np.concatenate(self.penalty)
-        # Arcs order by order: the weight of a longer one needs that of the shorter.
+        self.fail = np.concatenate([np.zeros(self.after, np.int64), self.one[doubles[:, 1]]])
+        self.penalty = np.concatenate([[0.0], np.log10(STRENGTH[2] / (total + STRENGTH[2])), np.log10(STRENGTH[3] / (more + STRENGTH[3]))])
         total_of = np.concatenate([[0.0], total, more])
         self.arc, self.weight, self.target = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        for k in sorted(arcs):
+        for k in sorted(arcs):  # the weight of a longer one needs that of the shorter
             grams, count = arcs[k]
             state = self.state(grams[:, :-1])
-            lower = 10 ** self.log_probability(self.fail[state], grams[:, -1])
+            lower = 10 ** self.step(self.fail[state], grams[:, -1])[0]
             weight = np.log10((count + STRENGTH[k] * lower) / (total_of[state] + STRENGTH[k]))
-            arc = np.concatenate([self.arc, state << 32 | grams[:, -1]])
-            order = np.argsort(arc)
-            target = np.concatenate([self.target, self.state(grams[:, -2:])])
-            self.arc, self.weight, self.target = arc[order], np.concatenate([self.weight, weight])[order], target[order]
-            self.find = HashArray(np.sort(hashed := mix(self.arc.astype(U64))))
-            self.at = np.argsort(hashed)
+            self.arc = np.concatenate([self.arc, state << 32 | grams[:, -1]])
+            self.weight = np.concatenate([self.weight, weight])
+            self.target = np.concatenate([self.target, self.state(grams[:, -2:])])
+            hashed = mix(self.arc.astype(U64))
+            self.order = np.argsort(hashed)
+            self.find = HashArray(hashed[self.order])
 
     def state(self, history: np.ndarray) -> np.ndarray:
         """State of the longest suffix of each history that is one."""
@@ -134,7 +137,7 @@ class Automaton:
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, next state) of a word in each state: its arc, or failure arcs until there is one."""
-        gained, state, todo = np.zeros(len(state)), state.copy(), np.arange(len(state))
+        gained, state, word, todo = np.zeros(len(state)), state.copy(), word.astype(np.int64), np.arange(len(state))
         while len(todo):
             here, next_word = state[todo], word[todo]
             arc = self.lookup(here, next_word)
@@ -153,10 +156,7 @@ class Automaton:
         if not len(self.arc):
             return np.full(len(state), -1)
         found = self.find.find(mix((state << 32 | word).astype(U64)))
-        return np.where(found >= 0, self.at[found], -1)
-
-    def log_probability(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return self.step(state, word.astype(np.int64))[0]
+        return np.where(found >= 0, self.order[found], -1)
 
     def traverse(self, block: Block, order: int = ORDER, stretch: int = STRETCH) -> np.ndarray:
         """Log10 probability of each text."""
@@ -176,7 +176,7 @@ class Automaton:
         for t in range(int(length.max(initial=0))):
             while active and length[active - 1] <= t:
                 active -= 1
-            gained, state[:active] = self.step(state[:active], block.seq[offset[:active] + early[:active] + t].astype(np.int64))
+            gained, state[:active] = self.step(state[:active], block.seq[offset[:active] + early[:active] + t])
             score[:active] += np.where(early[:active] + t >= low[:active], gained, 0.0)
         return np.bincount(text, weights=score, minlength=len(block.counts))
 
@@ -192,85 +192,79 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ord
     blocks = max(tasks(spark), size // block_bytes + 1)
     rows = rows.withColumn("unit", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     sizes = plan(size // 4 + 1)
-    higher = range(2, order + 1)
-
-    def counted(group: pa.Table, block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct k-grams of a block and how often its training texts hold them."""
-        train = np.repeat(~np.asarray(group["held_out"]), block.counts + 1)
-        grams, at, index = block.grams(k)
-        return grams, np.bincount(index[train[at]], minlength=len(grams))
 
     def ask(group: pa.Table) -> pa.Table:
-        unit, block, out = group["unit"][0].as_py(), Block(group["text"]), []
-        for k in higher:
-            grams, own = counted(group, block, k)
-            out += Asked(block.hashes(grams), own, sizes).rows(unit, k)
-        return sent_table(out)
-
-    def reach(group: pa.Table, block: Block, k: int, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(histories, their hashes, n-grams of each, n-grams that can live, own counts, hashes), by hash of the
-        history. A history that can have no n-gram left is left out; a word is the history of nothing but itself."""
-        grams, own = counted(group, block, k)
-        if k == 1:
-            whole = block.hashes(grams)
-            by = np.argsort(whole)
-            return grams[by], whole[by], np.ones(len(by), np.int64), grams[by], own[by], whole[by]
-        histories = grams[np.flatnonzero(np.concatenate([[True], (np.diff(grams[:, :-1], axis=0) != 0).any(1)]))][:, :-1] if len(grams) else grams[:, :-1]
-        if k > 2:  # what follows a history twice makes the history itself stand twice
-            lower, below = counted(group, block, k - 1)
-            live = Asked(block.hashes(lower), below, sizes).live(answers(found, k - 1))
-            code = lambda x: x[:, 0].astype(np.int64) << 32 | x[:, 1]
-            histories = histories[live[np.searchsorted(code(lower), code(histories))]]
-        live = Asked(block.hashes(grams), own, sizes).live(answers(found, k))
-        grams, own = grams[live], own[live]
-        keys = block.hashes(histories)
-        by = np.argsort(keys)
-        histories, keys = histories[by], keys[by]
-        whole, of = block.hashes(grams), block.hashes(grams[:, :-1])
-        place = np.minimum(np.searchsorted(keys, of), max(0, len(keys) - 1))
-        if len(keys):  # by chance a value of the census lives where its history's doesn't
-            there = keys[place] == of
-            grams, own, whole, place = grams[there], own[there], whole[there], place[there]
-        else:
-            grams, own, whole, place = grams[:0], own[:0], whole[:0], place[:0]
-        by = np.lexsort((whole, place))
-        return histories, keys, np.bincount(place, minlength=len(keys)), grams[by], own[by], whole[by]
+        block = Block(group["text"], order)
+        own = block.training(~np.asarray(group["held_out"]))
+        return sent_table([row for k in range(2, order + 1) for row in Asked(block.hash[k], own[k], sizes).rows(group["unit"][0].as_py(), k)])
+
+    def reach(group: pa.Table, block: Block, found: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By order: the histories that can be states, their hashes, how many n-grams follow each, these n-grams, their
+        own counts and hashes; histories by hash, n-grams by history, then hash. Of two words and more only what can
+        have CUT counts is there; a word is the history of nothing but itself."""
+        own = block.training(~np.asarray(group["held_out"]))
+        words = np.unique(block.index[1])
+        words = words[np.argsort(block.hash[1][words])]
+        yield 1, words, block.hash[1][words], np.ones(len(words), np.int64), words, own[1][words], block.hash[1][words]
+        if order == 1:
+            return
+        histories, of = np.unique(block.pairs[:, 0]), block.pairs[:, 0]
+        live = None
+        for k in range(2, order + 1):
+            if k > 2:  # what follows a history twice makes the history itself stand twice
+                histories, of = np.flatnonzero(live), block.triples[:, 0]
+            before = live
+            live = Asked(block.hash[k], own[k], sizes).live(answers(found, k))
+            grams = np.flatnonzero(live if before is None else live & before[of])
+            histories = histories[np.argsort(block.hash[k - 1][histories])]
+            rank = np.zeros(len(block.hash[k - 1]), np.int64)
+            rank[histories] = np.arange(len(histories))
+            place = rank[of[grams]]
+            by = np.lexsort((block.hash[k][grams], place))
+            grams = grams[by]
+            yield k, histories, block.hash[k - 1][histories], np.bincount(place, minlength=len(histories)), grams, own[k][grams], block.hash[k][grams]
 
     def send(group: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         if len(group):
-            unit, block = group["unit"][0].as_py(), Block(group["text"])
-            for k in range(1, order + 1):
-                _, keys, follow, _, own, whole = reach(group, block, k, found)
+            unit, block = group["unit"][0].as_py(), Block(group["text"], order)
+            for k, _, keys, follow, _, own, whole in reach(group, block, found):
                 edge = np.concatenate([[0], np.cumsum(follow)])
                 for r, a, b in ranges(keys, 64, sizes[1]):
                     mine = slice(edge[a], edge[b])
-                    out.append((r, unit, k, pack_sorted(keys[a:b]), pack(follow[a:b].astype(np.uint32)), pack(whole[mine]), pack(own[mine].astype(np.uint32))))
+                    names = pack(whole[mine] >> U64(64 - NAME_BITS)) if k > 1 else b""
+                    out.append((r, unit, k, pack_sorted(keys[a:b]), pack(follow[a:b].astype(np.uint32)) if k > 1 else b"", names, pack(own[mine].astype(np.uint32))))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_GRAMS), _GRAMS, strict=True)], schema=_GRAMS)
 
     def add_up(group: pa.Table) -> pa.Table:
         """Counts, cut-off and sums of a range of histories; for each block the counts of its n-grams and S of its histories."""
         k = group["k"][0].as_py()
         histories = [unpack_sorted(x.as_py()) for x in group["histories"]]
-        follow = [unpack(x.as_py(), np.uint32) for x in group["follow"]]
-        grams = [unpack(x.as_py(), np.uint64) for x in group["grams"]]
         own = np.concatenate([unpack(x.as_py(), np.uint32) for x in group["own"]])
-        distinct, index = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(index, weights=own).astype(np.int64)
-        if k > 1:
+        known, of = np.unique(np.concatenate(histories), return_inverse=True)
+        sizes_of = [len(x) for x in histories]
+        h_edge = np.cumsum([0, *sizes_of])
+        if k == 1:
+            total = np.bincount(of, weights=own).astype(np.int64)
+            counts, edge, sums = total[of], h_edge, np.zeros(len(of), np.int64)
+        else:
+            of_gram = np.repeat(of, np.concatenate([unpack(x.as_py(), np.uint32) for x in group["follow"]]))
+            names = [unpack(x.as_py(), U64) for x in group["grams"]]
+            edge, names = np.cumsum([0, *map(len, names)]), np.concatenate(names)
+            order = np.lexsort((names, of_gram))
+            new = np.ones(len(order), bool)
+            new[1:] = (names[order[1:]] != names[order[:-1]]) | (of_gram[order[1:]] != of_gram[order[:-1]])
+            head = np.flatnonzero(new)
+            total = np.add.reduceat(own[order].astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
             total[total < CUT] = 0
-        all_histories, h_index = np.unique(np.concatenate(histories), return_inverse=True)
-        history_of = np.repeat(h_index, np.concatenate(follow))
-        of_gram = np.empty(len(distinct), np.int64)
-        of_gram[index] = history_of
-        after = np.bincount(of_gram, weights=total, minlength=len(all_histories)).astype(np.int64)
-        counts, sums = total[index], after[h_index]
-        edge, h_edge = np.cumsum([0, *map(len, grams)]), np.cumsum([0, *map(len, histories)])
+            after = np.bincount(of_gram[order[head]], weights=total, minlength=len(known)).astype(np.int64)
+            counts = np.empty(len(order), np.int64)
+            counts[order] = total[np.cumsum(new) - 1]
+            sums = after[of]
         n, once = len(group), int(k == 1)
         return pa.table(
             [group["range"], group["unit"], group["k"]]
-            + [pa.array([pack(counts[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())]
-            + [pa.array([pack(sums[a:b]) for a, b in zip(h_edge[:-1], h_edge[1:], strict=True)], pa.binary())]
+            + [pa.array([pack(x[a:b]) for a, b in zip(e[:-1], e[1:], strict=True)], pa.binary()) for x, e in ((counts, edge), (sums, h_edge))]
             + [pa.array([once * int(x)] + [0] * (n - 1), pa.int64()) for x in (total.sum(), (total > 0).sum())],
             names=["range", "unit", "k", "counts", "sums", "tokens", "distinct"],
         )
@@ -286,29 +280,26 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ord
         n = len(group)
         if not n:
             return pa.Table.from_pylist([], _result(group.schema.field("id").type))
-        block = Block(group["text"])
+        block = Block(group["text"], order)
         is_live = pa.compute.is_valid(told["live"])
         found = told.filter(is_live).rename_columns(["range", "unit", "tag", "live", "counts", "sums"])
         owned = told.filter(pa.compute.invert(is_live))
-        histories, arcs = {}, {}
-        words = np.zeros(len(block.vocabulary))
-        for k in range(1, order + 1):
-            keys, _, _, grams, _, _ = reach(group, block, k, found)
+        histories, arcs, words = {}, {}, np.zeros(len(block.words))
+        for k, states, _, _, grams, _, _ in reach(group, block, found):
             mine = owned.filter(pa.compute.equal(owned["k"], k)).sort_by("range")
-            counts = np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py(), np.int64) for x in mine["counts"])])
+            counts, sums = (np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py(), np.int64) for x in mine[c])]) for c in ("counts", "sums"))
             if k == 1:
-                words[grams[:, 0]] = counts
+                words[grams] = counts
                 continue
-            sums = np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py(), np.int64) for x in mine["sums"])])
-            histories[k] = keys[sums > 0], sums[sums > 0]
-            arcs[k] = grams[counts > 0], counts[counts > 0]
+            states, grams = states[sums > 0], grams[counts > 0]
+            histories[k] = (states[:, None] if k == 2 else block.pairs[states]), sums[sums > 0]
+            arcs[k] = (block.pairs[grams] if k == 2 else np.column_stack([block.pairs[block.triples[grams, 0]], block.triples[grams, 1]])), counts[counts > 0]
         probability = (words + 0.5) / (tokens + 0.5 * (distinct + 1))
-        automaton = Automaton(probability, histories, arcs)
-        own = block.place > 0
-        text = np.repeat(np.arange(n), block.counts + 1)[own]
-        base = np.bincount(text, weights=np.log10(probability)[block.seq[own]], minlength=n)
-        known = np.bincount(text, weights=words[block.seq[own]] > 0, minlength=n).astype(np.int64)
-        columns = [group["id"], group["held_out"], block.counts.astype(np.int64), known, np.full(n, tokens), base, automaton.traverse(block, order)]
+        text, token = np.repeat(np.arange(n), block.counts), block.index[1]
+        base = np.bincount(text, weights=np.log10(probability)[token], minlength=n)
+        known = np.bincount(text, weights=words[token] > 0, minlength=n).astype(np.int64)
+        score = Automaton(probability, histories, arcs).traverse(block, order)
+        columns = [group["id"], group["held_out"], block.counts.astype(np.int64), known, np.full(n, tokens), base, score]
         return pa.table(columns, schema=_result(group.schema.field("id").type))
 
     schema = f"id {docs.select(id_col).dtypes[0][1]}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
