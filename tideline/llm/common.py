@@ -56,17 +56,25 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Write df as Parquet; its shuffle files go as soon as it is written, as nothing reads them afterwards."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    # Shuffle files of plans that nothing refers to go when the JVM collects; without this they would stay on disk.
-    spark.sparkContext._jvm.System.gc()
-    return out
+    path = scratch_path(df.sparkSession, label)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _given: list[float] = [0.0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import remove, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,11 +26,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge table (a, b) that isn't its component's least node.
 
-    Each round is written to the shared folder, so the plan stays short and a lost executor costs one round."""
+    Each round is written to the shared folder, so the plan stays short and a lost executor costs one round; the round
+    before it is removed."""
+    spark = edges.sparkSession
     state, edges = None, saved(edges.filter("a <> b").distinct(), "edges")
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == state or not mark[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = mark
+        old = edges.inputFiles()[0].rpartition("/")[0]
         edges = saved(_star(_star(edges, True), False), "edges")
+        remove(spark, old)
