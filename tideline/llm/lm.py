@@ -53,7 +53,7 @@ START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 class Block:
     """The tokens of some texts, each text as start, words, end, and their distinct n-grams.
 
-    Words are numbered as they come; a pair is two words, a triple is a pair and the word after it."""
+    Words are numbered by their hashes; a pair is two words, a triple is a pair and the word after it."""
 
     def __init__(self, column: pa.Array, order: int = ORDER):
         data, offsets = batch_bytes(column)
@@ -63,24 +63,26 @@ class Block:
         seq = np.empty(self.begin[-1], U64)
         seq[self.begin[:-1]] = START
         seq[self.begin[1:] - 1] = END
-        seq[np.arange(first[-1]) + np.repeat(2 * np.arange(len(self.counts)) + 1, np.diff(first))] = word_hashes(data, starts, ends)
-        self.words, self.seq = _numbered(seq)
         starting = np.zeros(len(seq), bool)
         starting[self.begin[:-1]] = True
+        inside = ~starting
+        inside[self.begin[1:] - 1] = False
+        seq[inside] = word_hashes(data, starts, ends)
+        del data, starts, ends, inside
+        self.words, self.seq = _numbered(seq)
+        del seq
         #: By order: where n-grams end, and the number of the n-gram that ends there; their hashes.
-        self.at, self.index, self.hash = {1: np.flatnonzero(~starting)}, {}, {1: mix(self.words)}
+        self.at, self.index, self.hash = {1: np.flatnonzero(~starting).astype(np.int32)}, {}, {1: mix(self.words)}
         self.index[1] = self.seq[self.at[1]]
-        self.pairs = self.triples = np.zeros((0, 2), np.int64)
+        self.pairs = self.triples = np.zeros((0, 2), np.int32)
         if order > 1:
             self.at[2] = self.at[1]
-            code, self.index[2] = _numbered(self.seq[self.at[2] - 1].astype(U64) << U64(32) | self.seq[self.at[2]].astype(U64))
-            self.pairs = np.stack([code >> U64(32), code & U64(0xFFFFFFFF)], axis=1).astype(np.int64)
+            self.pairs, self.index[2] = _pairs(self.seq[self.at[2] - 1], self.index[1])
             self.hash[2] = mix(self.hash[1][self.pairs[:, 0]] * U64(_BASE) + self.words[self.pairs[:, 1]])
         if order > 2:
             inner = np.flatnonzero(~starting[self.at[2] - 1])
             self.at[3] = self.at[2][inner]
-            code, self.index[3] = _numbered(self.index[2][inner - 1].astype(U64) << U64(32) | self.seq[self.at[3]].astype(U64))
-            self.triples = np.stack([code >> U64(32), code & U64(0xFFFFFFFF)], axis=1).astype(np.int64)
+            self.triples, self.index[3] = _pairs(self.index[2][inner - 1], self.index[1][inner])
             self.hash[3] = mix(self.hash[2][self.triples[:, 0]] * U64(_BASE) + self.words[self.triples[:, 1]])
 
     def training(self, train: np.ndarray) -> dict[int, np.ndarray]:
@@ -90,9 +92,15 @@ class Block:
 
 
 def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values as they come, number of each value's)."""
-    coded = pa.array(values).dictionary_encode()
-    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    """(distinct values, number of each value's)."""
+    distinct, number = np.unique(values, return_inverse=True)
+    return distinct, number.astype(np.int32)
+
+
+def _pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pairs of numbers, number of each pair's)."""
+    code, number = _numbered(left.astype(np.int64) << 32 | right)
+    return code.view(np.int32).reshape(-1, 2)[:, ::-1], number
 
 
 class Automaton:
@@ -106,7 +114,7 @@ class Automaton:
         singles, total = histories.get(2, (np.zeros((0, 1), np.int64), np.zeros(0)))
         self.one[singles[:, 0]] = np.arange(1, len(singles) + 1)
         doubles, more = histories.get(3, (np.zeros((0, 2), np.int64), np.zeros(0)))
-        self.two = doubles[:, 0] << 32 | doubles[:, 1]
+        self.two = doubles[:, 0].astype(np.int64) << 32 | doubles[:, 1]
         order = np.argsort(self.two)
         doubles, more, self.two = doubles[order], more[order], self.two[order]
         self.after = 1 + len(singles)
@@ -295,7 +303,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ord
             histories[k] = (states[:, None] if k == 2 else block.pairs[states]), sums[sums > 0]
             arcs[k] = (block.pairs[grams] if k == 2 else np.column_stack([block.pairs[block.triples[grams, 0]], block.triples[grams, 1]])), counts[counts > 0]
         probability = (words + 0.5) / (tokens + 0.5 * (distinct + 1))
-        text, token = np.repeat(np.arange(n), block.counts), block.index[1]
+        text, token = np.repeat(np.arange(n, dtype=np.int32), block.counts), block.index[1]
         base = np.bincount(text, weights=np.log10(probability)[token], minlength=n)
         known = np.bincount(text, weights=words[token] > 0, minlength=n).astype(np.int64)
         score = Automaton(probability, histories, arcs).traverse(block, order)
