@@ -72,6 +72,35 @@ def test_unigram_search_finds_the_best_sum():
         assert "".join(p for _, p in got) == t and sum(pieces[p] for _, p in got) == pytest.approx(best[-1], abs=1e-4)
 
 
+def test_window_stays_bounded_and_commits_between_words(words, monkeypatch):
+    """No boundary for hundreds of characters, then ordinary words: the window never holds much more than it takes at once."""
+    longest = []
+    common = S.Vocabulary._common
+    monkeypatch.setattr(S.Vocabulary, "_common", staticmethod(lambda last, *x: (longest.append(len(last)), common(last, *x))[1]))
+    for text in ("a" * 5000, "thinking" * 700, "ab" * 3000, "the" + "▁" * 900 + "end"):
+        got = list(words.search(text))
+        assert "".join(p for _, p in got) == text and words._ids(text) == words._ids(list(text))
+    assert max(longest) <= 2 * S.LOOK_EVERY + 4 * words.longest
+
+
+def test_encode_goes_through_the_search(words, monkeypatch):
+    seen = []
+    search = S.Vocabulary._final
+    monkeypatch.setattr(S.Vocabulary, "_final", lambda self, t: (seen.append(t), search(self, t))[1])
+    fresh = S.Vocabulary(open(S.MODEL_PATH, "rb").read())
+    fresh.encode("short words and " + "x" * 300)
+    assert {len(t) > S.KEPT for t in seen} == {True, False} and "".join(seen) == "▁short▁words▁and▁" + "x" * 300
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "ids", "n_tokens", "IDS_SHA256", "round_trip", "whole"]
+    df = spark.createDataFrame([(1, "a b", "1", "2", "3", "4", "5")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = S.encode_texts(df, keep=df.columns)
+    assert got.columns == [*names, "n_tokens_", "ids_sha256_", "round_trip_", "ids_"]
+    row = got.first()
+    assert tuple(row)[:7] == (1, "a b", "1", "2", "3", "4", "5") and row.n_tokens_ == len(row.ids_) > 0
+
+
 def test_rows(spark):
     data = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "▁"), (5, "x" * 20000)]
     got = {(r.id, r.n_tokens): r for r in S.encode_texts(spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, ids string")).collect()}

@@ -94,10 +94,29 @@ def give_back(every: float = 0.0) -> None:
     _given[0] = time.monotonic()
 
 
-def lean(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over batches that gives memory back when its partition ends."""
+#: What a worker keeps for the next partitions of the same stage, at most one thing.
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What make gives, kept in the worker until a function of another stage begins there."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _begin(keep: str | None) -> None:
+    if _kept and keep not in _kept:
+        _kept.clear()
+        give_back()
+
+
+def lean(each: Callable[[Iterator], Iterator], keep: str | None = None) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives memory back when its partition ends, but for what is kept under a key."""
 
     def run(batches: Iterator) -> Iterator:
+        _begin(keep)
         try:
             yield from each(batches)
         finally:
@@ -110,12 +129,14 @@ def lean_group(each: Callable) -> Callable:
     """The same for a function over one group, or over one group of each of two tables."""
 
     def one(group: pa.Table) -> pa.Table:
+        _begin(None)
         try:
             return each(group)
         finally:
             give_back(0.5)
 
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        _begin(None)
         try:
             return each(left, right)
         finally:

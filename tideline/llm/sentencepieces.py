@@ -2,13 +2,15 @@
 
 The search goes over the characters once. For each position it keeps the last piece of the best path up to there; only
 the positions within the longest piece can still be extended, so older ones are dropped as soon as the paths from all
-of these lead back through one boundary, and the ids before that boundary are final. A unigram model is searched for
+of these lead back through one boundary, and the ids before that boundary are final. All texts go through this one
+search, long and short. Of paths that tie, the one found first stays: that of the longest last piece. A unigram model is searched for
 the greatest sum of scores. The pieces of a BPE model have merge ranks instead, which are no weights of a sum: there
 each pair of neighbouring pieces weighs nothing if merging their joined text gives the same pair back, and is
 forbidden otherwise. Exactly one path satisfies this at every position, and it is the one that merging finds.
 
 Texts are cut where no piece of the vocabulary can cross (before a run of blanks, around characters that no piece
-holds): all paths meet there by construction, so ids of such segments are kept in a bounded table and looked up.
+holds): all paths meet there by construction. The ids that the search finds for short segments are kept in a bounded
+table of the worker, as long as it encodes, and looked up when the segment comes again.
 
 Defined results. Null text encodes to no ids, as does the empty text. Characters outside the vocabulary become byte
 pieces, or the unknown piece if the model has none. The escape character itself (U+2581) decodes to a blank, so such
@@ -22,6 +24,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free_name, kept, lean, table
 from .words import text_parts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Entries of the tables of segments and of pairs that a process keeps; characters after which the search looks for a common boundary.
-SEGMENTS, PAIRS, LOOK_EVERY = 160_000, 300_000, 64
+#: Entries of the tables of segments and of pairs that a worker keeps; longest segment kept; characters that the search takes at once.
+SEGMENTS, PAIRS, KEPT, LOOK_EVERY = 160_000, 300_000, 64, 64
 _PART_BYTES = 1 << 21
 ESCAPE = "▁"
 # Piece types and model types of the model format.
@@ -72,6 +75,15 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             at += size
 
 
+def _path(window: str, last: list, start: list, to: int) -> list[tuple[int, str]]:
+    """The pieces of the best path to a boundary."""
+    out = []
+    while to:
+        out.append((last[to], window[start[to] : to]))
+        to = start[to]
+    return out[::-1]
+
+
 class Vocabulary:
     """The pieces of a model and the search over them."""
 
@@ -141,97 +153,111 @@ class Vocabulary:
 
     def search(self, text: Iterable[str]) -> Iterator[tuple[int, str]]:
         """(id, text) of the pieces of a stream of characters, as soon as they are final; id -1 for unknown characters."""
-        window = ""  # what follows the last final boundary
-        ends: list[tuple[int, int, float]] = [(-2, 0, 0.0)]  # by position in the window: last piece, where it starts, score
-        looked = 0
-        for char in text:
-            window += char
-            i = len(window)
-            best = None
-            for size in range(min(self.longest, i), 0, -1):
-                piece = window[i - size :]
-                k = self.ids.get(piece, -1 if size == 1 else None)
-                before = ends[i - size]
-                if k is None or before is None:
-                    continue
-                if self.kind == UNIGRAM:
-                    total = before[2] + (self.scores[k] if k >= 0 else self.worst)
-                    if best is None or total > best[2]:
-                        best = (k, i - size, total)
-                elif i == size or before[0] == -2 or self.fits(before[0], k):
-                    best = (k, i - size, 0.0)
+        for pieces in self._final(text):
+            yield from pieces
+
+    def _final(self, text: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
+        """The pieces that become final each time the window has grown.
+
+        By position in the window, what follows the last final boundary: the last piece of the best path up to there
+        (None: there is no path, -2: the text begins there), where it starts, and its score."""
+        window, last, start, score = "", [-2], [0], [0.0]
+        at = reach = met = 0
+        longest, extend, source, ended = self.longest, self._sum_up if self.kind == UNIGRAM else self._fit_on, iter(text), False
+        while not ended:
+            part = "".join(islice(source, LOOK_EVERY))
+            ended = len(part) < LOOK_EVERY
+            window += part
+            last += [None] * len(part)
+            start += [0] * len(part)
+            score += [0.0] * len(part)
+            # A piece from a position must be seen whole.
+            stop = len(window) if ended else len(window) - longest + 1
+            if at < stop:
+                at, reach, met = extend(window, last, start, score, at, stop, reach, met)
+            if ended:
+                yield _path(window, last, start, len(window))
+            elif final := max(met, self._common(last, start, at, reach)):
+                yield _path(window, last, start, final)
+                window, last, start, score = window[final:], last[final:], [s - final for s in start[final:]], score[final:]
+                at, reach, met = at - final, reach - final, 0
+
+    def _fit_on(self, window: str, last: list, start: list, score: list, at: int, stop: int, reach: int, met: int) -> tuple[int, int, int]:
+        """Extend the only allowed path to each position by the pieces that begin there; (stop, furthest end, last
+        position past which no path leads)."""
+        pairs, fits, root, longest = self.pairs.get, self.fits, self.trie, self.longest
+        for at in range(at, stop):
+            before = last[at]
+            if before is None:
+                continue
+            if at == reach:
+                met = at
+            below, to = root, at
+            for char in window[at : at + longest]:
+                to += 1
+                node = below.get(char)
+                if node is None:
+                    if to == at + 1:  # a character that is no piece stands for itself
+                        last[to], start[to] = -1, at
+                        if to > reach:
+                            reach = to
                     break
-            ends.append(best)
-            if i - looked >= LOOK_EVERY:
-                looked = i
-                if common := self._common(ends):
-                    yield from self._path(window, ends, common)
-                    window, looked = window[common:], i - common
-                    # The piece before the boundary still decides what may follow it.
-                    ends = [(ends[common][0], 0, 0.0)] + [e and (e[0], e[1] - common, e[2]) for e in ends[common + 1 :]]
-        yield from self._path(window, ends, len(window))
-
-    def _common(self, ends: list) -> int:
-        """The last boundary through which the paths from all positions that can still be extended lead."""
-        n = len(ends) - 1
-        alive = [i for i in range(max(0, n - self.longest + 1), n + 1) if ends[i] is not None]
-        while len(set(alive)) > 1:
-            at = max(alive)
-            alive = [ends[i][1] if i == at else i for i in alive]
-        return alive[0] if alive and alive[0] <= n else 0
+                k, below = node
+                if k < 0:
+                    if to > at + 1:
+                        continue
+                elif before >= 0:
+                    allowed = pairs(before << 32 | k)
+                    if not (fits(before, k) if allowed is None else allowed):
+                        continue
+                last[to], start[to] = k, at
+                if to > reach:
+                    reach = to
+        return stop, reach, met
+
+    def _sum_up(self, window: str, last: list, start: list, score: list, at: int, stop: int, reach: int, met: int) -> tuple[int, int, int]:
+        """The same by the greatest sum of scores."""
+        for at in range(at, stop):
+            if last[at] is None:
+                continue
+            if at == reach:
+                met = at
+            below, to = self.trie, at
+            for char in window[at : at + self.longest]:
+                to += 1
+                k, below = below.get(char, (-1, {}))
+                if k < 0 and to > at + 1:
+                    if not below:
+                        break
+                    continue
+                total = score[at] + (self.scores[k] if k >= 0 else self.worst)
+                if last[to] is None or total > score[to]:
+                    last[to], start[to], score[to] = k, at, total
+                    reach = max(reach, to)
+        return stop, reach, met
 
     @staticmethod
-    def _path(window: str, ends: list, to: int) -> list[tuple[int, str]]:
-        out = []
-        while to:
-            k, start, _ = ends[to]
-            out.append((k, window[start:to]))
-            to = start
-        return out[::-1]
+    def _common(last: list, start: list, at: int, reach: int) -> int:
+        """The last boundary through which the best paths to all positions that can still be extended lead."""
+        alive = {i for i in range(at, reach + 1) if last[i] is not None}
+        while len(alive) > 1:
+            most = max(alive)
+            alive.discard(most)
+            alive.add(start[most])
+        return alive.pop() if alive else 0
 
     def _ids(self, text: str) -> list[int]:
         out = []
-        for k, part in self.search(text):
-            if k >= 0:
-                out.append(k)
-            elif self.bytes:
-                out += [self.bytes[b] for b in part.encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+        for pieces in self._final(text):
+            for k, part in pieces:
+                if k >= 0:
+                    out.append(k)
+                elif self.bytes:
+                    out += [self.bytes[b] for b in part.encode()]
+                elif not out or out[-1] != self.unknown:
+                    out.append(self.unknown)
         return out
 
-    def _segment(self, text: str) -> list[int]:
-        """The same search over a short text whose ends are boundaries: forward over the prefixes of pieces, no stream."""
-        n, pairs, fits = len(text), self.pairs.get, self.fits
-        last, start = [-2] * (n + 1), [0] * (n + 1)
-        for j in range(n):
-            before = last[j]
-            if before == -2 and j:
-                continue
-            below = self.trie
-            for e in range(j, n):
-                node = below.get(text[e])
-                if node is None:
-                    if e == j:
-                        last[e + 1], start[e + 1] = -1, j
-                    break
-                k, below = node
-                if k < 0:
-                    if e == j:
-                        last[e + 1], start[e + 1] = -1, j
-                    continue
-                if before >= 0:
-                    ok = pairs(before << 32 | k)
-                    if not (fits(before, k) if ok is None else ok):
-                        continue
-                last[e + 1], start[e + 1] = k, j
-        out, e = [], n
-        while e:
-            j = start[e]
-            out += [last[e]] if last[e] >= 0 else [self.bytes[b] for b in reversed(text[j:e].encode())]
-            e = j
-        return out[::-1]
-
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
@@ -242,12 +268,11 @@ class Vocabulary:
         for segment in self.segments.findall(text):
             ids = known.get(segment)
             if ids is None:
-                short = self.kind == BPE and len(segment) <= LOOK_EVERY
                 ids = self.older.get(segment)
                 if ids is None:
-                    found = self._segment(segment) if short else self._ids(segment)
+                    found = self._ids(segment)
                     ids = struct.pack(f"<{len(found)}i", *found)
-                if short:
+                if len(segment) <= KEPT:
                     if len(known) >= SEGMENTS:  # segments in use come back from the older half
                         self.older, self.known = known, {}
                         known = self.known
@@ -260,30 +285,20 @@ class Vocabulary:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-_loaded: dict[bytes, Vocabulary] = {}
-
-
-def vocabulary(model: bytes) -> Vocabulary:
-    """One per process, so that its tables stay warm from task to task."""
-    key = hashlib.sha1(model).digest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabulary(model)
-    return _loaded[key]
-
-
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, with_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
     """(id, n_tokens, ids_sha256, round_trip, ids) of every row; the digest is over little-endian 32-bit ids.
 
-    With keep, these columns of docs stand in place of id; none may be called as one of the new ones."""
+    With keep, these columns of docs stand in place of id; a new column whose name one of them has gets underscores
+    added to its own."""
     with open(model_path, "rb") as f:  # a file of the driver; its content goes with the tasks
         model = f.read()
     own = docs.select(*keep) if keep else docs.select(F.col(id_col).alias("id"))
-    names, n = own.columns, len(own.columns)
-    source = docs.select(*(keep or [F.col(id_col).alias("id")]), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    n, added = len(own.columns), [free_name(c, own.columns) for c in ("n_tokens", "ids_sha256", "round_trip", "ids")][: 3 + with_ids]
+    source = docs.select(*(keep or [F.col(id_col).alias("id")]), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(free_name("whole", own.columns)))
+    names, key = [*own.columns, *added], hashlib.sha256(model).hexdigest()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(model)
+        words = kept(key, lambda: Vocabulary(model))
         for batch in batches:
             for i, j in text_parts(batch.column(n), _PART_BYTES):
                 counts, digests, same, ids = [], [], [], []
@@ -296,10 +311,10 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mo
                 columns = [*batch.slice(i, j - i).columns[:n], pa.array(counts, pa.int64()), pa.array(digests), pa.array(same)]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
-                yield pa.record_batch(columns, names=[*names, "n_tokens", "ids_sha256", "round_trip", "ids"][: len(columns)])
+                yield pa.record_batch(columns, names=names)
 
-    new = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("round_trip", "boolean")
-    return source.mapInArrow(each, T.StructType(own.schema.fields + new.fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids))
+    new = [T.StructField(c, k) for c, k in zip(added, (T.LongType(), T.StringType(), T.BooleanType(), T.ArrayType(T.IntegerType())), strict=False)]
+    return source.mapInArrow(lean(each, key), T.StructType(own.schema.fields + new))
 
 
 def decode_ids(encoded: DataFrame, id_col: str = "id", ids: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
@@ -309,11 +324,11 @@ def decode_ids(encoded: DataFrame, id_col: str = "id", ids: str = "ids", model_p
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids).cast("array<int>").alias("ids"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(model)
+        words = Vocabulary(model)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([words.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
-    return source.mapInArrow(each, f"id {source.dtypes[0][1]}, text string")
+    return source.mapInArrow(lean(each), f"id {source.dtypes[0][1]}, text string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
