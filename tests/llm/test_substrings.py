@@ -64,7 +64,7 @@ def test_prefixes_grow_until_a_group_fits():
     live = np.ones(len(piece.left), bool)
     (a, _), (b, _), _ = [(v[c >= 40], c) for v, c in piece.sample(1)]
     assert len(a) == 2 and len(b) == 0  # "the same" and "same start" are crowded, no four words are
-    buckets = lambda heavy: sorted(len(substrings.unpack(x["starts"], np.uint32)) for x in piece.groups(live, heavy, 1 << 30))
+    buckets = lambda heavy: sorted(len(substrings.unpack(x["starts"], np.uint32)) for x in piece.groups(0, live, heavy, 1 << 30))
     none = np.zeros(0, np.uint64)
     assert buckets([none, none, none])[-1] == 50 and buckets([a, none, none])[-1] == 1
 

@@ -19,7 +19,7 @@ hash function of the words: paths are equal if all 224 bits are. A passage that
 suffix a piece, in one leaf.
 
 A place is (id, start, hash of the text); null ids come after all others. Words that repeats cover are marked by
-places, gathered by text, and cut out where the texts are read again.
+places, gathered by piece, and cut out where the texts are read again.
 
 Defined results. Ids are integers; other types raise TypeError. Null or blank texts have no words. Rows equal in id and
 text share their places: neither is earlier, and both lose the same words. Rows of one id with unequal texts are compared
@@ -30,8 +30,6 @@ names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .census import SENT, Asked, answers, census, plan, ranges, sent_table
-from .common import lean, lean_group, saved, table, tasks
+from .common import lean_group, saved, table, tasks
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 from .words import _BASE, batch_bytes, mix, separators, text_parts, word_hashes, word_spans
 
@@ -50,7 +48,6 @@ PIECE_BYTES, GROUP, SAMPLED = 8 << 20, 400_000, 64
 _PART_BYTES = 1 << 21
 LAST = np.int64((1 << 63) - 1)
 U64 = np.uint64
-_PLACES = [("id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary()), ("sizes", pa.binary())]
 
 
 def prefix_sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +150,9 @@ class Piece:
         gone[leaves[~first]] = True
         self.left = np.flatnonzero(~gone)
 
-    def marks(self) -> list[dict]:
+    def marks(self, unit: int) -> dict | None:
         head, start, size = joined(self.start[self.later], self.doc[self.later])
-        return _place_rows(self.doc[self.later][head], self.ids, self.hashes, start, size)
+        return _mark_row(unit, self.doc[self.later][head], self.ids, self.hashes, start, size) if len(head) else None
 
     def asked(self, sizes: tuple[int, int]) -> Asked:
         return Asked(self.window[self.left], np.ones(len(self.left)), sizes)
@@ -177,7 +174,7 @@ class Piece:
         columns = [(x >> U64(32)).astype(np.uint32) for x in out]
         return columns + [x.astype(np.uint32) for x in out[-2:]]
 
-    def groups(self, live: np.ndarray, heavy: list[np.ndarray], buckets: int) -> list[dict]:
+    def groups(self, unit: int, live: np.ndarray, heavy: list[np.ndarray], buckets: int) -> list[dict]:
         """Rows for the buckets: the edges of the suffixes that live, each in the group of its prefix."""
         at = self.left[live]
         if not len(at):
@@ -198,6 +195,7 @@ class Piece:
             out.append(
                 {
                     "bucket": int(bucket[a]),
+                    "unit": unit,
                     "edges": [e[a:b].tobytes() for e in edges],
                     "starts": pack(self.start[mine].astype(np.uint32)),
                     "docs": pack(which.astype(np.uint32)),
@@ -217,14 +215,10 @@ def _dictionary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Di
     return words.dictionary_encode()
 
 
-def _place_rows(doc: np.ndarray, ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[dict]:
-    """One row a text; doc is ascending."""
-    head = np.flatnonzero(np.concatenate([[True], np.diff(doc) != 0])) if len(doc) else []
-    edge = np.append(head, len(doc)).astype(int)
-    return [
-        {"id": int(ids[doc[a]]), "text_hash": int(hashes[doc[a]]), "starts": pack(start[a:b].astype(np.uint32)), "sizes": pack(size[a:b].astype(np.uint32))}
-        for a, b in zip(edge[:-1], edge[1:], strict=True)
-    ]
+def _mark_row(unit: int, doc: np.ndarray, ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> dict:
+    """Repeats in texts of one unit: runs of suffixes, and the texts they are in."""
+    docs, which = np.unique(doc, return_inverse=True)
+    return {"unit": unit, "ids": pack(ids[docs]), "hashes": pack(hashes[docs]), "docs": pack(which.astype(np.uint32)), "starts": pack(start.astype(np.uint32)), "sizes": pack(size.astype(np.uint32))}
 
 
 class Bucket:
@@ -238,23 +232,26 @@ class Bucket:
             docs.append(unpack(r["docs"], np.uint32).astype(np.int64) + base)
             starts.append(unpack(r["starts"], np.uint32).astype(np.int64))
             base += len(ids[-1])
+        self.unit = np.repeat([r["unit"] for r in rows], list(map(len, ids)))
         self.edges = [np.concatenate([np.frombuffer(r["edges"][k], np.uint32) for r in rows]) for k in range(len(rows[0]["edges"]))]
         self.ids, self.hashes, self.doc, self.start = (np.concatenate(x) for x in (ids, hashes, docs, starts))
 
-    def later_places(self) -> list[dict]:
+    def marks(self) -> list[dict]:
+        """A row for each unit that has repeats here."""
         leaves, node = deep_nodes(lambda x, level: self.edges[level][x], len(self.doc), len(self.edges))
         doc = self.doc[leaves]
         _, later = first_of_equal(node, self.ids[doc], self.start[leaves], self.hashes[doc])
         leaves = leaves[later]
-        leaves = leaves[np.lexsort((self.start[leaves], self.doc[leaves]))]
+        leaves = leaves[np.lexsort((self.start[leaves], self.doc[leaves]))]  # texts of a unit are next to each other
         head, start, size = joined(self.start[leaves], self.doc[leaves])
-        return _place_rows(self.doc[leaves][head], self.ids, self.hashes, start, size)
+        doc = self.doc[leaves][head]
+        edge = np.append(np.flatnonzero(np.diff(self.unit[doc], prepend=-1)), len(doc))
+        return [_mark_row(int(self.unit[doc[a]]), doc[a:b], self.ids, self.hashes, start[a:b], size[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
-_BUCKET = pa.schema(
-    [("bucket", pa.int32()), ("edges", pa.list_(pa.binary()))] + [(c, pa.binary()) for c in ("starts", "docs", "ids", "hashes")] + [("marks", pa.list_(pa.struct(_PLACES)))]
-)
-_BUCKET_SQL = "bucket int, edges array<binary>, starts binary, docs binary, ids binary, hashes binary, marks array<struct<id:bigint,text_hash:bigint,starts:binary,sizes:binary>>"
+_MARKS = pa.schema([("unit", pa.int32()), *((c, pa.binary()) for c in ("ids", "hashes", "docs", "starts", "sizes"))])
+_BUCKET = pa.schema([("bucket", pa.int32()), *_MARKS, ("edges", pa.list_(pa.binary()))])
+_MARKS_SQL = "unit int, ids binary, hashes binary, docs binary, starts binary, sizes binary"
 
 
 def _piece(group: pa.Table) -> Piece:
@@ -275,12 +272,9 @@ def _crowded(sampled: DataFrame, least: int) -> list[np.ndarray]:
     return [np.sort(values[tags == k]) for k in range(1, len(PREFIXES))]
 
 
-def repeat_places(rows: DataFrame, piece_bytes: int = PIECE_BYTES, group: int = GROUP, sampled: int = SAMPLED) -> DataFrame:
-    """(id, text_hash, starts, sizes): suffixes that are equal to one at an earlier place. rows: id, text_hash, text."""
+def repeat_marks(rows: DataFrame, size: int, group: int = GROUP, sampled: int = SAMPLED) -> DataFrame:
+    """Rows of _MARKS: by unit the suffixes that are equal to one at an earlier place. rows: unit, id, text_hash, text."""
     spark = rows.sparkSession
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    pieces = max(tasks(spark), size // piece_bytes + 1)
-    rows = rows.withColumn("unit", F.pmod(F.xxhash64("id", "text_hash"), F.lit(pieces)).cast("int"))
     suffixes = size // 5 + 1  # an estimate, for sizes only
     sizes, every = plan(suffixes), max(1, group // sampled)
 
@@ -299,21 +293,21 @@ def repeat_places(rows: DataFrame, piece_bytes: int = PIECE_BYTES, group: int =
     def deal(part: pa.Table, found: pa.Table) -> pa.Table:
         if not len(part):
             return pa.Table.from_pylist([], _BUCKET)
-        piece = _piece(part)
-        out = piece.groups(piece.asked(sizes).live(answers(found, 0)), heavy.value, buckets)
-        if marks := piece.marks():
-            out.append({"bucket": part["unit"][0].as_py() % buckets, "marks": marks})
+        piece, unit = _piece(part), part["unit"][0].as_py()
+        out = piece.groups(unit, piece.asked(sizes).live(answers(found, 0)), heavy.value, buckets)
+        if marks := piece.marks(unit):
+            out.append(marks | {"bucket": unit % buckets})  # needs no tree any more
         return pa.Table.from_pylist(out, _BUCKET)
 
     def meet(part: pa.Table) -> pa.Table:
         got = part.to_pylist()
-        out = [m for r in got for m in r["marks"] or ()]
+        out = [{c: r[c] for c in _MARKS.names} for r in got if r["edges"] is None]
         if got := [r for r in got if r["edges"] is not None]:
-            out += Bucket(got).later_places()
-        return pa.Table.from_pylist(out, pa.schema(_PLACES))
+            out += Bucket(got).marks()
+        return pa.Table.from_pylist(out, _MARKS)
 
-    dealt = rows.groupBy("unit").cogroup(live.groupBy("unit")).applyInArrow(lean_group(deal), _BUCKET_SQL)
-    return dealt.groupBy("bucket").applyInArrow(lean_group(meet), "id long, text_hash long, starts binary, sizes binary")
+    dealt = rows.groupBy("unit").cogroup(live.groupBy("unit")).applyInArrow(lean_group(deal), f"bucket int, {_MARKS_SQL}, edges array<binary>")
+    return dealt.groupBy("bucket").applyInArrow(lean_group(meet), _MARKS_SQL)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES, group: int = GROUP, sampled: int = SAMPLED) -> DataFrame:
@@ -323,31 +317,48 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pie
         raise TypeError(f"ids are integers here, not {kind}")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text"), F.col(id_col).isNull().alias("none"))
-    places = repeat_places(rows.select("id", "text_hash", "text"), piece_bytes, group, sampled)
-    marks = saved(places.groupBy("id", "text_hash").agg(F.collect_list(F.struct("starts", "sizes")).alias("marks")), "substring-marks")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pieces = max(tasks(docs.sparkSession), size // piece_bytes + 1)
+    rows = rows.withColumn("unit", F.pmod(F.xxhash64("id", "text_hash"), F.lit(pieces)).cast("int"))
+    marks = saved(repeat_marks(rows.drop("none"), size, group, sampled), "substring-marks")
+
+    def cut(part: pa.Table, found: pa.Table) -> pa.Table:
+        out = [_cut_part(part.slice(i, j - i), *_runs(part.slice(i, j - i), found.to_pylist())) for i, j in text_parts(part["text"].combine_chunks(), _PART_BYTES)]
+        return pa.concat_tables([_KEPT.empty_table(), *out])
+
+    kept = rows.groupBy("unit").cogroup(marks.groupBy("unit")).applyInArrow(lean_group(cut), "id long, n_words long, n_removed long, kept_sha256 string, kept_text binary")
+    return kept.withColumn("kept_text", F.col("kept_text").cast("string"))
+
+
+_KEPT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.binary())])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            sizes = np.maximum(1, np.diff(batch_bytes(batch.column(1))[1]))
-            while at < len(batch):
-                until = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), _PART_BYTES, "right")) + at)
-                yield _cut_part(batch.slice(at, until - at))
-                at = until
 
-    joined_rows = rows.join(marks, ["id", "text_hash"], "left").select(F.when(~F.col("none"), F.col("id")).alias("id"), "text", "marks")
-    return joined_rows.mapInArrow(lean(cut), "id long, n_words long, n_removed long, kept_sha256 string, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
+def _runs(part: pa.Table, marks: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first suffix, suffixes) of all runs in the rows of a part; rows equal in id and text have the same."""
+    rows: dict[tuple[int, int], list[int]] = {}
+    for i, key in enumerate(zip(part["id"].to_pylist(), part["text_hash"].to_pylist(), strict=True)):
+        rows.setdefault(key, []).append(i)
+    out = [(np.zeros(0, np.int64),) * 3]
+    for m in marks:
+        keys = zip(unpack(m["ids"], np.int64).tolist(), unpack(m["hashes"], np.int64).tolist(), strict=True)
+        which, starts, sizes = (unpack(m[c], np.uint32).astype(np.int64) for c in ("docs", "starts", "sizes"))
+        here = [(d, r) for d, key in enumerate(keys) for r in rows.get(key, ())]
+        if here:
+            doc, row = np.array(sorted(here)).T
+            low, high = np.searchsorted(which, doc), np.searchsorted(which, doc, "right")  # runs are in order of docs
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append((np.repeat(row, n), starts[at], sizes[at]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _cut_part(part: pa.RecordBatch) -> pa.RecordBatch:
-    data, offsets = batch_bytes(part.column(1))
+def _cut_part(part: pa.Table, row: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Table:
+    data, offsets = batch_bytes(part["text"])
     starts, ends, first = word_spans(data, offsets, separators("blank"))
     change = np.zeros(len(starts) + 1, np.int32)
-    for row, marks in enumerate(part.column(2).to_pylist()):
-        for m in marks or ():
-            begin = unpack(m["starts"], np.uint32).astype(np.int64) + first[row]
-            np.add.at(change, begin, 1)
-            np.add.at(change, begin + unpack(m["sizes"], np.uint32).astype(np.int64) + DEPTH - 1, -1)
+    begin = begin + first[row]
+    np.add.at(change, begin, 1)
+    np.add.at(change, begin + size + DEPTH - 1, -1)
     keep = np.cumsum(change[:-1]) == 0
     s, e = starts[keep], ends[keep]
     size = e - s
@@ -359,8 +370,8 @@ def _cut_part(part: pa.RecordBatch) -> pa.RecordBatch:
     flat = out.tobytes()
     texts = [flat[at[a] : max(at[a], at[b] - 1)] for a, b in zip(kept[:-1], kept[1:], strict=True)]
     n = np.diff(first)
-    columns = [part.column(0), pa.array(n.astype(np.int64)), pa.array((n - np.diff(kept)).astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-    return pa.record_batch([*columns, pa.array(texts, pa.binary())], names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+    ids = pa.array(part["id"].to_numpy(), mask=part["none"].to_numpy())
+    return pa.table([ids, n.astype(np.int64), (n - np.diff(kept)).astype(np.int64), [hashlib.sha256(t).hexdigest() for t in texts], pa.array(texts, pa.binary())], schema=_KEPT)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
