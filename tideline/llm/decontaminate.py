@@ -9,32 +9,36 @@ item by the longest common subsequence of words: at VERBATIM or more of the item
 it counts if the item's last words, its answer, are there as well. Failing both, VERBATIM of one passage of an item of
 several passages is a copy of that passage, kind 'passage'; the share remains that of the item.
 
-Documents are never compared with documents. A block takes BLOCK_ITEMS items at most and no more passages than the rank:
-the latent space then holds every passage whole, and a copy's cosine loses nothing to the projection. An item of more
-passages than that is a block by itself, whose rank follows its passages. So what is broadcast (vocabulary, latent
-vectors, items) is bounded by the rank or by the longest item, and the corpus is read twice a block. Words in more than MAX_SHARE of the
-documents weigh nothing, unless an item would be left with fewer than LEAST_TERMS weighted words.
+Documents are never compared with documents. Items are dealt to blocks of about BLOCK_ITEMS items, and a block's rank is
+no less than its passages: the latent space then holds every passage whole, and a copy's cosine loses nothing to the
+projection. A pass over the corpus takes PASS_BLOCKS blocks: one scan counts document frequencies for all of them, one
+searches. What is broadcast (vocabulary, latent vectors, items of a pass) is bounded by these numbers and by the longest
+item. Words in more than MAX_SHARE of the documents weigh nothing, unless an item would be left with fewer than
+LEAST_TERMS weighted words.
 
 Defined results. Null or wordless texts and items match nothing. A null id is an id like any other. Rows that repeat an
-id give a row each; items that repeat an id count as one item if equal, else each by itself. Empty tables give empty
-results. Other columns of the input are not read, whatever their names.
+id give a row each, or each its own decision; items that repeat an id count as one item if equal, else each by itself.
+Of windows that tie for an item, the one first in the text counts; equal items under several ids all match. Empty tables
+give empty results. Other columns of the input are not read, whatever their names; clean() carries them along.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import saved, table
+from .common import free_name, lean, saved, table
 from .words import HashArray, batch_bytes, separators, text_parts, word_hashes, word_spans
 
-#: Items a block; words of a passage and of half a window; passages a block and least bound of its rank; columns of the sketch beyond it.
-BLOCK_ITEMS, PASSAGE, HALF, RANK, OVERSAMPLE = 256, 48, 32, 256, 16
+#: Items a block and blocks a pass; words of a passage and of half a window; passages a block and least bound of its rank; columns of the sketch beyond it.
+BLOCK_ITEMS, PASS_BLOCKS, PASSAGE, HALF, RANK, OVERSAMPLE = 256, 4, 48, 32, 256, 16
 MAX_SHARE, LEAST_TERMS = 0.1, 6
 COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.2, 0.8, 0.6, 6, 0.8
 _PART_BYTES = 1 << 21
@@ -163,9 +167,9 @@ class Index:
         return [(text, i, *found) for (text, i), found in sorted(best.items())]
 
 
-def _frequencies(rows: DataFrame, index: Index) -> tuple[np.ndarray, int]:
+def _frequencies(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """(documents that hold each word of the vocabulary, all documents)."""
-    shared = rows.sparkSession.sparkContext.broadcast(index.vocabulary)
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = HashArray(shared.value)
@@ -181,8 +185,8 @@ def _frequencies(rows: DataFrame, index: Index) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(count)
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(count[some], texts))], names=["word", "n"])
 
-    got = rows.mapInArrow(each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(index.vocabulary))
+    got = rows.mapInArrow(lean(each), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(vocabulary))
     for r in got:
         if r.word >= 0:
             out[r.word] = r.n
@@ -231,58 +235,83 @@ def _latent_basis(spark: SparkSession, index: Index, rank: int) -> np.ndarray:
     return basis @ turn[:, ::-1][:, :kept]
 
 
-def _in_blocks(items: DataFrame, rank: int, block_items: int) -> DataFrame:
-    """Items in the order of their ids with the number of their block, which is full at block_items items or rank passages."""
+def _in_blocks(benchmark: DataFrame, item_id: str, item_text: str, rank: int, block_items: int) -> tuple[DataFrame, int]:
+    """(distinct items with their block, number of blocks). Blocks are dealt by hash, for block_items items and three
+    quarters of rank passages each on average; one that gets more passages than rank has a higher rank."""
+    items = benchmark.select(F.col(item_id).alias("item"), F.lower(F.coalesce(F.col(item_text).cast("string"), F.lit(""))).alias("text")).distinct()
+    passages = F.greatest(F.lit(1), F.octet_length("text") / (4 * PASSAGE))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(passages), F.lit(0.0))).first()
+    blocks = max(1, -(-n // block_items), int(-(-size // (0.75 * rank))))
+    return saved(items.withColumn("block", F.pmod(F.xxhash64(F.col("item").cast("string"), "text"), F.lit(blocks))), "benchmark-items"), blocks
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, rank: int, block_items: int) -> Iterator[tuple[Broadcast, pa.DataType]]:
+    """(fitted indexes, type of the item ids) by pass over the corpus: PASS_BLOCKS blocks, whose items are all that the
+    driver holds."""
+    spark = rows.sparkSession
+    items, blocks = _in_blocks(benchmark, item_id, item_text, rank, block_items)
+    for low in range(0, blocks, PASS_BLOCKS):
+        made = []
+        mine = items.filter(F.col("block").between(low, low + PASS_BLOCKS - 1)).orderBy("block", "item", "text").collect()
+        for block in sorted({r.block for r in mine}):
+            held = [r for r in mine if r.block == block and words_of(pa.array([r.text]))[1][-1]]
+            if held:
+                made.append(Index([r["item"] for r in held], [r.text for r in held]))
+        if not made:
+            continue
+        vocabulary = np.unique(np.concatenate([i.vocabulary for i in made]))
+        count, documents = _frequencies(rows, vocabulary)
+        for index in made:
+            index.weigh(count[np.searchsorted(vocabulary, index.vocabulary)], documents)
+            index.place(_latent_basis(spark, index, max(rank, len(index.owner))))
+        yield spark.sparkContext.broadcast(made), to_arrow_type(items.schema["item"].dataType)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, passages = 0, 0, 0
-        for batch in batches:
-            numbers = []
-            for i, j in text_parts(batch.column(1), _PART_BYTES):
-                for words in np.diff(words_of(batch.column(1)[i:j])[1]).tolist():
-                    more = max(1, words // PASSAGE)
-                    if held and (held == block_items or passages + more > rank):
-                        block, held, passages = block + 1, 0, 0
-                    held, passages = held + 1, passages + more
-                    numbers.append(block)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(numbers, pa.int64())], names=["item", "text", "block"])
 
-    return items.repartition(1).sortWithinPartitions("item", "text").mapInArrow(each, f"item {items.dtypes[0][1]}, text string, block long")
+def _lowered(docs: DataFrame, text: str) -> Column:
+    return F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(id, item, cosine, share, kind) of every document row and item that match."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary").alias("text"))
-    items = benchmark.select(F.col(item_id).alias("item"), F.lower(F.coalesce(F.col(item_text).cast("string"), F.lit(""))).alias("text")).distinct()
-    schema = f"id {rows.dtypes[0][1]}, item {items.dtypes[0][1]}, cosine double, share double, kind string"
-    # Items by block of the order of their ids; a block's items are all that the driver holds.
-    items = saved(_in_blocks(items, rank, block_items), "benchmark-items")
-    blocks = [r.block for r in items.select("block").distinct().orderBy("block").collect()]
-    out = spark.createDataFrame([], schema)
-    for block in blocks:
-        mine = [r for r in items.filter(F.col("block") == block).orderBy("item", "text").collect() if words_of(pa.array([r.text]))[1][-1]]
-        if not mine:
-            continue
-        index = Index([r["item"] for r in mine], [r.text for r in mine])
-        index.weigh(*_frequencies(rows, index))
-        index.place(_latent_basis(spark, index, max(rank, len(index.owner))))
-        out = out.unionByName(rows.mapInArrow(_matcher(spark.sparkContext.broadcast(index), items.schema["item"].dataType), schema))
-    return out
+    rows = docs.select(F.col(id_col).alias("id"), _lowered(docs, text).alias("text"))
+    schema = f"id {rows.dtypes[0][1]}, item {benchmark.select(item_id).dtypes[0][1]}, cosine double, share double, kind string"
+    found = [rows.mapInArrow(lean(_matcher(*made)), schema) for made in _passes(rows, benchmark, item_id, item_text, rank, block_items)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of docs that match no item, with all their columns. Each row is judged by itself: rows that share an id
+    with one that matches stay."""
+    name = free_name("lowered", docs.columns)
+    rows, n = docs.withColumn(name, _lowered(docs, text)), len(docs.columns)
+
+    def without(shared: Broadcast) -> Callable:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                for i, j in text_parts(batch.column(n), _PART_BYTES):
+                    for index in shared.value:
+                        keep[[i + found[0] for found in index.matches(batch.column(n)[i:j])]] = False
+                yield batch.filter(pa.array(keep))
+
+        return lean(each)
 
+    left = rows
+    for shared, _ in _passes(rows.select(F.lit(0), name), benchmark, item_id, item_text, rank, block_items):
+        left = left.mapInArrow(without(shared), rows.schema)
+    return left.select(*docs.columns)
 
-def _matcher(shared, item_type):
-    kind_of = to_arrow_type(item_type)
 
+def _matcher(shared: Broadcast, kind_of: pa.DataType) -> Callable:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
             for i, j in text_parts(batch.column(1), _PART_BYTES):
-                found = index.matches(batch.column(1)[i:j])
-                if found:
-                    text, item, cosine, share, kind = zip(*found, strict=True)
-                    columns = [batch.column(0)[i:j].take(pa.array(text)), pa.array([index.ids[k] for k in item], kind_of), pa.array(cosine, pa.float64()), pa.array(share, pa.float64()), pa.array(kind)]
-                    yield pa.record_batch(columns, names=["id", "item", "cosine", "share", "kind"])
+                for index in shared.value:
+                    found = index.matches(batch.column(1)[i:j])
+                    if found:
+                        text, item, cosine, share, kind = zip(*found, strict=True)
+                        columns = [batch.column(0)[i:j].take(pa.array(text)), pa.array([index.ids[k] for k in item], kind_of), pa.array(cosine, pa.float64()), pa.array(share, pa.float64()), pa.array(kind)]
+                        yield pa.record_batch(columns, names=["id", "item", "cosine", "share", "kind"])
 
     return each
 

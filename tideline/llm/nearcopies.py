@@ -5,13 +5,16 @@ SimHash fingerprints are linked as in operator 5. SimHash at 64 bits can't find
 bits. Candidates come from MinHash: BANDS keys a text, each of ROWS minima, so that a pair at 0.8 shares no key with a
 probability of 3 in a million (and less above). Every candidate is verified on the exact sets.
 
-Candidates are not all pairs of a key. First each text of a key meets the key's least node; what that links, with
-SimHash, becomes components. Then only pairs of a key whose components differ are compared. So a cluster of many copies
-costs one comparison a copy; texts that share a key without being alike still cost their pairs.
+Candidates are not all pairs of a key. First each text of a key meets the key's pivot, another one by chance for each
+key; what that links, with SimHash, becomes components. Then only pairs of a key whose components differ are looked at,
+and of these only those are made that BITS-bit maps of their shingles allow: a bit that just one of two maps has stands
+for a shingle that just one of the texts has, so the bits bound the similarity from above and no link is lost. So a
+cluster of many copies costs some comparisons a copy, and texts that share keys without being alike cost little more
+than the bound.
 
 A node is the 64-bit hash of a text. Sets are made again from the texts of candidates only and are never kept for all.
 
-Defined results. Null and blank texts have no shingles and link by SimHash alone; texts of fewer than five words are one
+Defined results. Null and blank texts have no shingles and link by SimHash alone, so all of them are one component; texts of fewer than five words are one
 shingle. Equal texts share a node. Null ids never are a component id unless all ids of a component are null. Empty
 tables give empty results. Other columns of the input are not read, whatever their names.
 """
@@ -22,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import saved, tasks, text_or_empty
+from .common import free_name, lean, saved, tasks, text_or_empty
 from .components import components
 from .words import batch_bytes, gram_hashes, mix, separators, text_parts, word_hashes, word_spans
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
+SHINGLE, SIMILARITY, BANDS, ROWS, BITS = 5, 0.8, 32, 5, 512
 #: Rows of a task that groups keys.
 TASK_ROWS = 2_000_000
 _PART_BYTES = 1 << 20
@@ -62,43 +65,53 @@ def band_keys(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return keys
 
 
+def bit_maps(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """(texts x BITS/64) maps with a bit for each shingle."""
+    out = np.zeros((len(edge) - 1, BITS), bool)
+    out[np.repeat(np.arange(len(edge) - 1), np.diff(edge)), (grams >> U64(7)) % U64(BITS)] = True
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def _sketches(source: DataFrame) -> DataFrame:
-    """(id, node, fp, n, keys) of every row of (id, node, text)."""
+    """(id, row, node, fp, n, keys, bits) of every row of (id, row, node, text)."""
+
+    names = ["id", "row", "node", "fp", "n", "keys", "bits"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in text_parts(batch.column(2), _PART_BYTES):
-                texts = batch.column(2)[i:j]
+            for i, j in text_parts(batch.column(3), _PART_BYTES):
+                texts = batch.column(3)[i:j]
                 grams, edge = shingle_sets(texts)
                 n = np.diff(edge)
                 keys = pa.ListArray.from_arrays(np.cumsum([0, *(n > 0) * BANDS]).astype(np.int32), band_keys(grams, edge).view(np.int64).ravel())
-                yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(simhash.fingerprints(texts)), pa.array(n), keys], names=["id", "node", "fp", "n", "keys"])
+                bits = pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * (BITS // 64), bit_maps(grams, edge).ravel())
+                yield pa.record_batch([*(batch.column(c)[i:j] for c in range(3)), pa.array(simhash.fingerprints(texts)), pa.array(n), keys, bits], names=names)
 
-    return source.mapInArrow(each, f"id {source.dtypes[0][1]}, node long, fp long, n long, keys array<long>")
+    return source.mapInArrow(lean(each), f"id {source.dtypes[0][1]}, row long, node long, fp long, n long, keys array<long>, bits array<long>")
 
 
 def _members(sketches: DataFrame) -> DataFrame:
-    """(key, node, n, least) of the nodes of all keys that two nodes or more share; least is the key's least node."""
+    """(key, node, n, pivot) of the nodes of all keys that two nodes or more share; each key has a pivot by chance."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if not rows:
             return
         key, node, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.lexsort((node, key))
+        order = np.lexsort((node, mix(node.view(U64) ^ mix(key.view(U64))), key))
         key, node, n = key[order], node[order], n[order]
         once = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(node) != 0)])
         key, node, n = key[once], node[once], n[once]
         head = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
         size = np.diff(np.append(head, len(key)))
-        least, shared = np.repeat(node[head], size), np.repeat(size > 1, size)
+        pivot, shared = np.repeat(node[head], size), np.repeat(size > 1, size)
         for a in range(0, len(key), 1 << 16):
-            cut = [x[a : a + (1 << 16)][shared[a : a + (1 << 16)]] for x in (key, node, n, least)]
-            yield pa.record_batch([pa.array(x) for x in cut], names=["key", "node", "n", "least"])
+            cut = [x[a : a + (1 << 16)][shared[a : a + (1 << 16)]] for x in (key, node, n, pivot)]
+            yield pa.record_batch([pa.array(x) for x in cut], names=["key", "node", "n", "pivot"])
 
     parts = max(tasks(sketches.sparkSession), BANDS * sketches.count() // TASK_ROWS + 1)
     keyed = sketches.select(F.explode("keys").alias("key"), "node", "n").repartition(parts, "key")
-    return keyed.mapInArrow(each, "key long, node long, n long, least long")
+    return keyed.mapInArrow(lean(each), "key long, node long, n long, pivot long")
 
 
 def _alike(pairs: DataFrame, source: DataFrame, similarity: float) -> DataFrame:
@@ -121,14 +134,19 @@ def _alike(pairs: DataFrame, source: DataFrame, similarity: float) -> DataFrame:
 
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = source.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    made = saved(texts.mapInArrow(sets, "node long, grams binary"), "near-sets")
+    made = saved(texts.mapInArrow(lean(sets), "node long, grams binary"), "near-sets")
     a, b = (made.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(verified, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(lean(verified), "a long, b long")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component_id) of every row; component_id is the least id reachable over links."""
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text)).alias("node"), text_or_empty(text).cast("binary").alias("text"))
+def _may_link(similarity: float) -> Column:
+    """Whether sizes and maps of two sets (n_a, bits_a, n_b, bits_b) allow for the similarity."""
+    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("bits_a")[0].bitwiseXOR(F.col("bits_b")[0])))
+    return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (apart <= (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def _near_rows(source: DataFrame, similarity: float) -> DataFrame:
+    """(id, row, node, root) of every row of (id, row, node, text); rows with one root are linked."""
     sketches = saved(_sketches(source), "near-sketches")
     # SimHash links between the least nodes of the fingerprints, and from each node to the least of its fingerprint.
     classes = saved(sketches.groupBy("fp").agg(F.min("node").alias("least")), "near-classes")
@@ -137,14 +155,38 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     edges = edges.unionByName(sketches.join(classes, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
 
     members = saved(_members(sketches), "near-members")
-    star = saved(members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    star = members.filter("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    star = saved(star.distinct(), "near-pairs")
     roots = components(edges.unionByName(_alike(star, source, similarity)))
-    placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root")]) for x in "ab")
-    apart = left.join(right, "key").filter("node_a < node_b and root_a <> root_b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    pairs = saved(apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "near-pairs")
+    maps = sketches.join(members.select("node").distinct(), "node", "left_semi").select("node", "bits").dropDuplicates(["node"])
+    placed = saved(members.drop("pivot").join(roots, "node", "left").join(maps, "node").select("key", "node", "n", "bits", F.coalesce("root", "node").alias("root")), "near-placed")
+    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "bits", "root")]) for x in "ab")
+    wanted = (left.key == right.key) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(similarity)
+    apart = left.join(right, wanted).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    pairs = saved(apart.distinct().join(star, ["a", "b"], "left_anti"), "near-pairs")
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(known.unionByName(_alike(pairs, source, similarity)))
+    return sketches.join(roots, "node", "left").select("id", "row", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _source(docs: DataFrame, id_col: str, text: str, row: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), row.alias("row"), F.xxhash64(text_or_empty(text)).alias("node"), text_or_empty(text).cast("binary").alias("text"))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component_id) of every row; component_id is the least id reachable over links."""
+    rows = _near_rows(_source(docs, id_col, text, F.lit(0).cast("long")), similarity)
+    return rows.join(rows.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component, with all its columns: that of the least id, null ids last; of rows that share it, one.
 
-    rooted = sketches.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
+    Rows are told apart by a number of their own, so rows that share an id, or have none, go or stay each by itself."""
+    number = free_name("row", docs.columns)
+    numbered = saved(docs.withColumn(number, F.monotonically_increasing_id()), "near-docs")
+    rows = saved(_near_rows(_source(numbered, id_col, text, F.col(number)), similarity), "near-rows")
+    rank = F.struct(F.col("id").isNull(), "id", "row")
+    stays = rows.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row").alias("row"))
+    gone = saved(rows.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(number)), "near-gone")
+    return numbered.join(gone, number, "left_anti").select(*docs.columns)
