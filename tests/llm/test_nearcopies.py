@@ -74,6 +74,27 @@ def test_links_that_miss_the_least_of_a_key(spark):
     assert {x.component_id for x in nearcopies.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
 
 
+def test_bit_maps_lose_no_link(spark):
+    """Pairs at and below the similarity, sets of one and of thousands of shingles: what is linked always passes."""
+    r = random.Random(2)
+    for n in (5, 6, 30, 400, 3000):
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        texts = [" ".join(base)]
+        for k in (0, 1, 2, n // 100, n // 60, n // 40, n // 8):
+            other = list(base)
+            for at in r.sample(range(n), min(n, k)):
+                other[at] = "changed"
+            texts.append(" ".join(other))
+        grams, edge = nearcopies.shingle_sets(pa.array(texts).cast(pa.binary()))
+        maps = nearcopies.bit_maps(grams, edge)
+        sets = [shingles(t) for t in texts]
+        rows = [(i, len(sets[0]), len(sets[i]), maps[0].tolist(), maps[i].tolist()) for i in range(len(texts))]
+        df = spark.createDataFrame(rows, "i int, n_a long, n_b long, bits_a array<long>, bits_b array<long>")
+        passed = {x.i for x in df.filter(nearcopies._may_link(0.8)).collect()}
+        linked = {i for i, s in enumerate(sets) if 5 * len(s & sets[0]) >= 4 * len(s | sets[0])}
+        assert linked <= passed and (n != 400 or len(passed) < len(texts))
+
+
 def test_sets_are_exact():
     texts = [None, "", "a b", "a b c d e f", "A b C d e f", "a b a b a b a b a b a b a b"]
     grams, edge = nearcopies.shingle_sets(pa.array(texts).cast(pa.binary()))

@@ -7,8 +7,8 @@ probability of 3 in a million (and less above). Every candidate is verified on t
 
 Candidates are not all pairs of a key. First each text of a key meets the key's pivot, another one by chance for each
 key; what that links, with SimHash, becomes components. Then only pairs of a key whose components differ are looked at,
-and of these only those are made that BITS-bit maps of their shingles allow: a bit that just one of two maps has stands
-for a shingle that just one of the texts has, so the bits bound the similarity from above and no link is lost. So a
+and of these only those are made that BITS-bit maps of their shingles allow: a bit that differs between two maps stands
+for a shingle at least that just one of the texts has, so the bits bound the similarity from above and no link is lost. So a
 cluster of many copies costs some comparisons a copy, and texts that share keys without being alike cost little more
 than the bound.
 
@@ -66,10 +66,9 @@ def band_keys(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def bit_maps(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """(texts x BITS/64) maps with a bit for each shingle."""
-    out = np.zeros((len(edge) - 1, BITS), bool)
-    out[np.repeat(np.arange(len(edge) - 1), np.diff(edge)), (grams >> U64(7)) % U64(BITS)] = True
-    return np.packbits(out, axis=1).view(np.int64)
+    """(texts x BITS/64) maps: whether the shingles at each of BITS places are odd in number."""
+    place = np.repeat(np.arange(len(edge) - 1) * BITS, np.diff(edge)) + ((grams >> U64(7)) % U64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=(len(edge) - 1) * BITS) & 1).astype(bool)).view(np.int64).reshape(-1, BITS // 64)
 
 
 def _sketches(source: DataFrame) -> DataFrame:
