@@ -89,6 +89,47 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - 4
 
 
+def test_rejection_follows_left_out_texts():
+    """Brute force of the rule, texts of two languages and other letters, and long and short clean ones."""
+    r = random.Random(5)
+    words = {"aa": ["the", "house", "with", "thing", "over", "water"], "bb": ["der", "schule", "nicht", "auf", "haus", "zwei"]}
+    prose = lambda k, n: " ".join(r.choices(words[k], k=n))
+    train = {k: [prose(k, 60) for _ in range(40)] for k in words}
+    model = L.Model(list(train), [L.kneser_ney(*L.symbols(*L.batch_bytes(pa.array(t)))) for t in train.values()])
+    left = [(k, prose(k, r.randrange(1, 200))) for k in words for _ in range(100)]
+    e, n, _, v = model.entropies(pa.array([t for _, t in left]), True)
+    model.calibrate(e, np.array([["aa", "bb"].index(k) for k, _ in left]), n, v)
+    logs = model.log_probabilities(*(lambda s: (s[0], L.own_positions(s[1])[0]))(L.symbols(*L.batch_bytes(pa.array([left[0][1]])))))
+    assert v[0] == pytest.approx(logs.astype(float).var(0), rel=1e-4) and e[0] == pytest.approx(-logs.mean(0), rel=1e-5)
+    clean = [prose(k, m) for k in words for m in (1, 2, 5, 30, 300, 3000) for _ in range(20)]
+    odd = ["".join(r.choices("qxzjkvy ", k=m)) for m in (60, 400, 4000)] + ["éà ôù " * 50, "THE" + "%x$q# " * 90]
+    e, n, letters = model.entropies(pa.array(clean + odd))
+    best, score, rejected = model.decide(e, n, letters)
+    want = [low > model.mean[b] + L.REJECT_SIGMAS * (model.texts[b] ** 2 + model.symbols[b] ** 2 / m) ** 0.5 for low, b, m in zip(e.min(1), e.argmin(1), n)]
+    assert rejected.tolist() == want and not any(want[: len(clean)]) and all(want[len(clean) :])
+    assert score == pytest.approx([1 / sum(np.exp((row.min() - x) * m) for x in row) for row, m in zip(e, n)])
+
+
+def test_equal_entropies_go_to_the_first(spark):
+    rows = [(i, "same words here", k) for i in range(1, 60) for k in ("bb", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x.lang_pred for x in L.predict(df, L.fit(df)).collect()} == {"aa"}
+
+
+def test_sample_is_bounded_and_fair(spark):
+    """The least hashes of the ids of each language, a fifth of them left out, against a plain count."""
+    rows = labelled()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, x string")
+    model = L.fit(df, sample_rows=20)
+    hashed = {x.doc_id: x.h for x in df.select("doc_id", L.F.xxhash64(L.F.col("doc_id").cast("string")).alias("h")).collect()}
+    held = {x.doc_id for x in df.filter(L.held_out("doc_id")).collect()}
+    for k, lang in enumerate(model.langs):
+        chosen = sorted((i for i, _, g, _ in rows if g == lang and i not in held), key=lambda i: (hashed[i], i))[:20]
+        texts = [t for place, i in enumerate(chosen, 1) for j, t, _, _ in rows if j == i and place % L.CALIBRATE_EVERY != 1]
+        brute = L.kneser_ney(*L.symbols(*L.batch_bytes(pa.array(texts))))
+        assert np.exp(model.floor[k]) == pytest.approx(brute["floor"], rel=1e-5) and len(chosen) == 20
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in L.predict(df, L.fit(df)).collect()] == [("und", 0.0)]

@@ -4,12 +4,15 @@ Each language gets a model of order ORDER over lower-cased letters, with runs of
 fitted on a bounded sample of labelled rows (SAMPLE_ROWS a language, the least hashes of their ids); everything else
 covers all rows and whole texts. The models are merged into one sorted array of n-gram hashes per order; beside each
 hash stand the interpolated log-probabilities under all languages, and beside each context hash the backoff weights.
-A text goes to the language of the lowest cross-entropy per symbol. Part of the sample is left out of the fit and
-calibrates the rejection: a text is rejected when its cross-entropy is further above the mean of its language's left-out
-texts than REJECT_SIGMAS deviations, wider for short texts.
-
-Defined results. Null text, or text without a letter, is 'und' with score 0 and rejected. Equal scores go to the
-language that sorts first. A null id is held out. Rows without a label are never learned from. Repeated rows get equal
+A text goes to the language of the lowest cross-entropy per symbol; the score is the posterior of that language, all
+being as likely beforehand. Part of the sample is left out of the fit and calibrates the rejection: cross-entropies of
+clean texts of n symbols spread about their language's mean with the variance d**2 + s**2 / n, where d is what the
+left-out texts differ by and s what their symbols do. A text that lies more than REJECT_SIGMAS such deviations above the
+mean is rejected. Were the spread normal, that would take one clean text in 10**15; tails are heavier, but no left-out
+text of the given tables comes near (see README for what is rejected).
+
+Defined results. Null text, or text without a letter, is 'und' with score 0 and rejected. Equal cross-entropies go to
+the language that sorts first. A null id is held out. Rows without a label are never learned from. Repeated rows get equal
 results. Without any row to learn from, every text is 'und'. Other columns of the input are not read, whatever their
 names.
 """
@@ -23,15 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, lean, lean_group, table
 from .words import HashArray, batch_bytes, mix, text_parts
 
 #: Order of the models (16 bits a symbol in a 64-bit code), labelled rows of a language, every which of them calibrates.
 ORDER, SAMPLE_ROWS, CALIBRATE_EVERY = 4, 500, 5
-#: Deviations above the mean at which a text is rejected, and the symbols below which they widen.
-REJECT_SIGMAS, SURE_SYMBOLS, FLOOR_SIGMA = 8.0, 400, 0.25
-#: Symbols that count as evidence for the score; more are as sure.
-SCORE_SYMBOLS = 60
+#: Deviations above the mean at which a text is rejected; least deviations between texts and between symbols; between
+#: texts where fewer than FEW were left out; symbols from which on a left-out text tells how texts differ.
+REJECT_SIGMAS, FLOOR_TEXTS, FLOOR_SYMBOLS, UNSURE_TEXTS, FEW, LONG = 8.0, 0.02, 1.0, 0.25, 20, 200
 _PART_BYTES = 1 << 20
 U64 = np.uint64
 ASTRAL = 0xFFFD
@@ -123,7 +125,7 @@ class Model:
     def __init__(self, langs: list[str], parts: list[dict]):
         self.langs, self.grams, self.logp, self.contexts, self.logw = langs, {}, {}, {}, {}
         self.floor = np.log([p["floor"] for p in parts]).astype(np.float32)
-        self.mean = self.sigma = np.zeros(len(langs))
+        self.mean, self.texts, self.symbols = np.full(len(langs), np.log(64.0)), np.ones(len(langs)), np.full(len(langs), 2.0)
         before = None
         for n in range(1, ORDER + 1):
             contexts = np.unique(np.concatenate([p[n][2] for p in parts]))
@@ -160,33 +162,45 @@ class Model:
         out[left] += self.floor
         return out
 
-    def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cross-entropy by text and language in nats a symbol, symbols, whether there is a letter)."""
+    def entropies(self, column: pa.Array, variances: bool = False) -> tuple[np.ndarray, ...]:
+        """(cross-entropy by text and language in nats a symbol, symbols, whether there is a letter), and with variances
+        how the symbols of each text vary about it."""
         data, offsets = batch_bytes(column)
         syms, edges = symbols(data, offsets)
         at, counts = own_positions(edges)
-        total = np.zeros((len(counts), len(self.langs)))
+        total, squares = np.zeros((len(counts), len(self.langs))), np.zeros((len(counts), len(self.langs)))
         letters = np.zeros(len(counts), bool)
         some = np.flatnonzero(counts)
         if len(some):
             begin = np.concatenate([[0], np.cumsum(counts)[:-1]])[some]
-            total[some] = np.add.reduceat(self.log_probabilities(syms, at), begin, axis=0, dtype=np.float64)
+            logs = self.log_probabilities(syms, at)
+            total[some] = np.add.reduceat(logs, begin, axis=0, dtype=np.float64)
+            if variances:
+                squares[some] = np.add.reduceat(logs.astype(np.float64) ** 2, begin, axis=0)
             letters[some] = np.maximum.reduceat(syms[at], begin) > 0
-        return -total / np.maximum(counts, 1)[:, None], counts, letters
-
-    def calibrate(self, entropies: np.ndarray, labels: np.ndarray) -> None:
-        own = [entropies[labels == k, k] for k in range(len(self.langs))]
-        self.mean = np.array([x.mean() if len(x) else np.log(64.0) for x in own])
-        self.sigma = np.array([max(FLOOR_SIGMA, x.std()) if len(x) else 1.0 for x in own])
+        n = np.maximum(counts, 1)[:, None]
+        out = -total / n, counts, letters
+        return (*out, squares / n - (total / n) ** 2) if variances else out
+
+    def calibrate(self, entropies: np.ndarray, labels: np.ndarray, counts: np.ndarray, variances: np.ndarray) -> None:
+        """From left-out texts: the mean of each language, by its longer texts, and how texts and symbols deviate."""
+        for k in range(len(self.langs)):
+            own = labels == k
+            if not own.any():
+                continue
+            long = own & (counts >= LONG) if (own & (counts >= LONG)).sum() >= FEW else own
+            self.mean[k] = np.average(entropies[long, k], weights=counts[long])
+            apart = 1.4826 * np.median(np.abs(entropies[long, k] - self.mean[k]))
+            self.texts[k] = max(FLOOR_TEXTS, apart) if long.sum() >= FEW else max(UNSURE_TEXTS, apart)
+            self.symbols[k] = max(FLOOR_SYMBOLS, np.sqrt(np.average(variances[own, k], weights=counts[own])))
 
     def decide(self, entropies: np.ndarray, counts: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language index or -1, score, rejected)."""
         best = entropies.argmin(1)
         low = entropies[np.arange(len(best)), best]
-        gap = (entropies - low[:, None]) * np.minimum(counts, SCORE_SYMBOLS)[:, None]
-        score = 1.0 / np.exp(-gap).sum(1)
-        width = np.maximum(1.0, np.sqrt(SURE_SYMBOLS / np.maximum(counts, 1)))
-        rejected = ~letters | (low > self.mean[best] + REJECT_SIGMAS * self.sigma[best] * width)
+        score = 1.0 / np.exp((low[:, None] - entropies) * counts[:, None]).sum(1)
+        deviation = np.sqrt(self.texts[best] ** 2 + self.symbols[best] ** 2 / np.maximum(counts, 1))
+        rejected = ~letters | (low > self.mean[best] + REJECT_SIGMAS * deviation)
         return np.where(letters, best, -1), np.where(letters, score, 0.0), rejected
 
 
@@ -221,7 +235,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
         out |= {f: [model[n][i].tobytes() for n in range(1, ORDER + 1)] for i, f in enumerate(fields)}
         return pa.table(out)
 
-    got = sample.groupBy("lang").applyInArrow(one, "lang string, n long, floor double, " + ", ".join(f"{f} binary" for f in fields)).collect()
+    got = sample.groupBy("lang").applyInArrow(lean_group(one), "lang string, n long, floor double, " + ", ".join(f"{f} binary" for f in fields)).collect()
     parts: dict[str, dict] = {}
     for r in got:
         part = parts.setdefault(r.lang, {"floor": r.floor})
@@ -234,12 +248,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entropy, _, letters = shared.value.entropies(batch.column(1))
-            yield pa.record_batch([batch.column(0), pa.array(letters), pa.array(entropy.tolist(), pa.list_(pa.float64()))], names=["lang", "letters", "e"])
+            entropy, counts, letters, variances = shared.value.entropies(batch.column(1), True)
+            lists = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (entropy, variances)]
+            yield pa.record_batch([batch.column(0), pa.array(letters), pa.array(counts), *lists], names=["lang", "letters", "n", "e", "v"])
 
-    rest = sample.filter(F.col("place") % CALIBRATE_EVERY == 1).select("lang", "text").mapInArrow(left_out, "lang string, letters boolean, e array<double>").filter("letters").collect()
+    rest = sample.filter(F.col("place") % CALIBRATE_EVERY == 1).select("lang", "text").mapInArrow(lean(left_out), "lang string, letters boolean, n long, e array<double>, v array<double>").filter("letters").collect()
     if rest:
-        model.calibrate(np.array([r.e for r in rest]), np.array([langs.index(r.lang) for r in rest]))
+        model.calibrate(np.array([r.e for r in rest]), np.array([langs.index(r.lang) for r in rest]), np.array([r.n for r in rest]), np.array([r.v for r in rest]))
     shared.unpersist()
     return model
 
@@ -249,7 +264,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text:
     columns = keep if keep is not None else [id_col]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    source = docs.select(*columns, F.col(text).cast("string").cast("binary").alias("__text"))
+    source = docs.select(*columns, F.col(text).cast("string").cast("binary").alias(free_name("whole", columns)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -268,8 +283,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text:
                     yield pa.record_batch(own, names=columns).filter(pa.array(~rejected))
 
     if keep is None:
-        return source.mapInArrow(each, f"id {source.dtypes[0][1]}, lang_pred string, score double, rejected boolean")
-    return source.mapInArrow(each, docs.select(*columns).schema)
+        return source.mapInArrow(lean(each), f"id {source.dtypes[0][1]}, lang_pred string, score double, rejected boolean")
+    return source.mapInArrow(lean(each), docs.select(*columns).schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
