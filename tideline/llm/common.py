@@ -133,14 +133,14 @@ def lean_group(each: Callable) -> Callable:
         try:
             return each(group)
         finally:
-            give_back(0.5)
+            give_back(3.0)
 
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
         _begin(None)
         try:
             return each(left, right)
         finally:
-            give_back(0.5)
+            give_back(3.0)
 
     return two if each.__code__.co_argcount == 2 else one
 

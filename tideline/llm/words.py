@@ -120,8 +120,8 @@ class HashArray:
     def __init__(self, keys: np.ndarray):
         bits = max(1, int(len(keys) * 4).bit_length())
         self.shift, self.size = U64(64 - bits), len(keys)
-        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << self.shift).astype(np.int32)
-        self.run = int(np.diff(np.append(self.start, len(keys))).max())
+        held = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.start, self.run = (np.cumsum(held) - held).astype(np.int32), int(held.max())
         self.keys = np.append(keys, ~U64(0))
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
