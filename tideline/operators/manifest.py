@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import seek
+
 # Fixed values of the storage layout.
 LEVELS, L0_FILES, L1_BYTES, LEVEL_GROWTH = 7, 4, 10 * 1024 * 1024, 10
 MAX_FILE_BYTES, MAX_OUTPUT_LEVEL, SEEK_BYTES, LEAST_SEEKS = 2 * 1024 * 1024, 2, 16384, 100
 GRANDPARENT_BYTES = 10 * MAX_FILE_BYTES
+MAX_NUMBER = "18446744073709551615"
 
 
 def level_limit(level: Column) -> Column:
@@ -36,12 +39,13 @@ def pick_compaction(files: DataFrame) -> DataFrame:
 
 def find_file(files: DataFrame, targets: DataFrame) -> DataFrame:
     """For each target t and level, the first file whose largest key is at or after t: level, t, largest, number."""
-    levels = files.select("level").distinct()
-    asked = targets.select("t").distinct().join(F.broadcast(levels), how="cross").select("level", F.col("t").alias("x"), F.lit(1).alias("ask"), "t", F.lit(None).cast("long").alias("number"))
-    there = files.select("level", F.col("largest").alias("x"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("t"), "number")
-    w = Window.partitionBy("level").orderBy(F.col("x").desc(), F.col("ask").asc(), F.col("number").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("ask") == 0, F.struct(F.col("x").alias("largest"), F.col("number").alias("number"))), ignorenulls=True).over(w)
-    return asked.unionByName(there).withColumn("f", found).filter("ask = 1 and f is not null").select("level", "t", "f.largest", "f.number")
+    levels = [r.level for r in files.select("level").distinct().orderBy("level").collect()]  # seven at most
+    if not levels:
+        return targets.select(F.lit(0).alias("level"), "t", "t", F.lit(0).alias("number")).toDF("level", "t", "largest", "number").limit(0)
+    asked = targets.select("t").distinct().withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    found = seek(files, "largest", asked, "t", name="largest", by="level").filter("largest is not null")
+    first = files.groupBy("level", "largest").agg(F.min("number").alias("number"))
+    return found.join(first, ["level", "largest"]).select("level", "t", "largest", "number")
 
 
 def overlaps(files: DataFrame, ranges: DataFrame, bins: int = 64) -> DataFrame:
@@ -139,22 +143,15 @@ def next_file_number(next_number: int, *used: DataFrame) -> DataFrame:
 
 
 def parse_name(name: Column) -> tuple[Column, Column]:
-    """(number, type) of a file name; nulls if it is none of ours. Digits fit 18 places, as numbers do."""
-    n = lambda pattern: F.regexp_extract(name, pattern, 1).cast("long")
-    kinds = [
-        (name == "CURRENT", F.lit(0), "current"),
-        (name == "LOCK", F.lit(0), "lock"),
-        (name.isin("LOG", "LOG.old"), F.lit(0), "info_log"),
-        (name.rlike(r"^MANIFEST-[0-9]{1,18}$"), n(r"^MANIFEST-([0-9]{1,18})$"), "manifest"),
-        (name.rlike(r"^[0-9]{1,18}\.log$"), n(r"^([0-9]{1,18})\.log$"), "log"),
-        (name.rlike(r"^[0-9]{1,18}\.(sst|ldb)$"), n(r"^([0-9]{1,18})\.(?:sst|ldb)$"), "table"),
-        (name.rlike(r"^[0-9]{1,18}\.dbtmp$"), n(r"^([0-9]{1,18})\.dbtmp$"), "temp"),
-    ]
-    number = type_ = None
-    for when, value, kind in kinds:
-        number = F.when(when, value.cast("long")) if number is None else number.when(when, value.cast("long"))
-        type_ = F.when(when, kind) if type_ is None else type_.when(when, kind)
-    return number, type_
+    """(number, type) of a file name; nulls if it is none of ours. Numbers are unsigned and of 64 bits, as decimal(20,0)."""
+    digits = F.regexp_extract(name, r"([0-9]+)", 1)
+    number = F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 20, digits.cast("decimal(38,0)"))
+    fits = number <= F.lit(MAX_NUMBER).cast("decimal(38,0)")
+    kinds = [(r"^MANIFEST-[0-9]+$", "manifest"), (r"^[0-9]+\.log$", "log"), (r"^[0-9]+\.(sst|ldb)$", "table"), (r"^[0-9]+\.dbtmp$", "temp")]
+    plain = F.when(name == "CURRENT", "current").when(name == "LOCK", "lock").when(name.isin("LOG", "LOG.old"), "info_log")
+    numbered = F.coalesce(*[F.when(name.rlike(pattern) & fits, kind) for pattern, kind in kinds])
+    kind = F.coalesce(plain, numbered)
+    return F.when(plain.isNotNull(), F.lit(0)).when(numbered.isNotNull(), number).cast("decimal(20,0)"), kind
 
 
 def format_name(number: Column, kind: str) -> Column:

@@ -25,7 +25,7 @@ def latest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
 
 def internal_order(log: DataFrame) -> DataFrame:
     """Position of every entry in the order key ascending, sequence descending, op descending."""
-    return positions(log, "k", F.col("seq").desc(), F.col("op").desc())
+    return positions(log, "k", "-seq", "-op")
 
 
 def get_status(log: DataFrame, targets: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -35,12 +35,12 @@ def get_status(log: DataFrame, targets: DataFrame, snapshot: int | None = None)
     return targets.join(found, "k", "left").select("k", status.alias("status"), F.when(F.col("op") == 1, F.col("v")).alias("v"))
 
 
-def range_scan(log: DataFrame, low: int, high: int, snapshot: int | None = None) -> DataFrame:
+def range_scan(log: DataFrame, low: object, high: object, snapshot: int | None = None) -> DataFrame:
     return latest(log.filter(F.col("k").between(low, high)), snapshot)
 
 
 def reverse_scan(log: DataFrame) -> DataFrame:
-    return positions(latest(log), "k", descending=True)
+    return positions(latest(log), "-k")
 
 
 def first_last(log: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def merge_sources(*sources: DataFrame) -> DataFrame:
     merged = rows[0]
     for r in rows[1:]:
         merged = merged.unionByName(r)
-    return positions(merged, "k", F.col("src"), F.col("id"))
+    return positions(merged, "k", "src", "id")
 
 
 def compaction(log: DataFrame, snapshot: int) -> DataFrame:

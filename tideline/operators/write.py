@@ -28,7 +28,7 @@ def batch_ops(ops: DataFrame) -> DataFrame:
 def sequence_batches(ops: DataFrame, start: int, *order: str) -> DataFrame:
     """Ordinal of each operation in its batch and its sequence: batches in order of id, from start on."""
     ordinal = F.row_number().over(Window.partitionBy("batch_id").orderBy(*order)).cast("long") - 1
-    rows = positions(ops, "batch_id", *map(F.col, order), name="seq")
+    rows = positions(ops, "batch_id", *order, name="seq")
     return rows.withColumns({"ordinal": ordinal, "seq": (F.col("seq") + (start - 1)).cast("long")})
 
 

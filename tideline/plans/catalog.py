@@ -4,6 +4,8 @@ Views: the change log takes each event as an entry of its user (errors delete);
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..operators import layout, manifest, order, read, write
 #: Snapshot, key range, log numbers and query range of the catalogue.
 SNAPSHOT, LOW, HIGH, LOG_NUMBER, PREV_LOG, NEXT_FILE, RANGE = 5000, 10, 60, 12000, 77, 900, (400, 450)
 FLUSH_BYTES = 600
+#: Half of the number that file numbers of the catalogue begin at, beside small ones: some fit 64 bits, some don't.
+MAX_HALF = Decimal(9223372036854775800)
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -67,7 +71,8 @@ def customers(spark, d):
 
 def names(spark, d):
     n = F.col("s_suppkey")
-    made = [F.concat(F.lit("MANIFEST-"), F.lpad(n.cast("string"), 6, "0")), *[F.concat(F.lpad(n.cast("string"), 6, "0"), F.lit(e)) for e in (".log", ".ldb", ".sst", ".dbtmp", ".txt", "")], F.concat(F.lit("a"), n.cast("string"), F.lit(".log"))]
+    large = (F.lit(MAX_HALF) * 2 + n).cast("decimal(38,0)").cast("string")
+    made = [F.concat(large, F.lit(".log")), F.concat(F.lit("MANIFEST-"), F.lpad(n.cast("string"), 6, "0")), *[F.concat(F.lpad(n.cast("string"), 6, "0"), F.lit(e)) for e in (".log", ".ldb", ".sst", ".dbtmp", ".txt", "")], F.concat(F.lit("a"), n.cast("string"), F.lit(".log"))]
     fixed = [F.lit(x) for x in ("CURRENT", "LOCK", "LOG", "LOG.old", "MANIFEST-x", "foo")]
     return _t(spark, d, "supplier").select(F.explode(F.array(*made, *fixed)).alias("name")).distinct()
 
@@ -144,7 +149,7 @@ QUERIES = {
     "pick_compaction_level": lambda s, d: manifest.pick_compaction(files(s, d)),
     "range_overlap": lambda s, d: manifest.overlaps(files(s, d), ranges(s, d)).groupBy("range_id", "level").agg(F.count("*").alias("files")),
     "overlap_closure": lambda s, d: manifest.overlap_closure(runs(s, d), *RANGE),
-    "memtable_output_level": lambda s, d: manifest.output_level(files(s, d).filter("level > 1"), ranges(s, d)),
+    "memtable_output_level": lambda s, d: manifest.output_level(files(s, d), ranges(s, d)),
     "allowed_seeks": lambda s, d: manifest.allowed_seeks(files(s, d)),
     "manifest_replay": lambda s, d: manifest.replay(edits(s, d)),
     "manifest_scalars": scalars,
@@ -187,15 +192,15 @@ _SCORES = f"""{_FILES},
 s AS (SELECT CAST(x AS INTEGER) AS level, count(number) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes FROM range(6) t(x) LEFT JOIN f ON f.level = x GROUP BY x),
 q AS (SELECT *, CASE WHEN level = 0 THEN files / 4.0::DOUBLE ELSE bytes / (10485760.0::DOUBLE * pow(10.0::DOUBLE, greatest(level - 1, 0)::DOUBLE)) END AS score FROM s)"""
 _NAMES = """nm AS (SELECT DISTINCT unnest([
-  'MANIFEST-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.log', lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.ldb',
+  CAST(18446744073709551600::HUGEINT + s_suppkey AS VARCHAR) || '.log', 'MANIFEST-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.log', lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.ldb',
   lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.sst', lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.dbtmp', lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.txt',
   lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), 'a' || s_suppkey || '.log', 'CURRENT', 'LOCK', 'LOG', 'LOG.old', 'MANIFEST-x', 'foo']) AS name FROM supplier),
+fp AS (SELECT name, TRY_CAST(regexp_extract(name, '[0-9]+') AS HUGEINT) AS n, CASE WHEN regexp_full_match(name, 'MANIFEST-[0-9]+') THEN 'manifest' WHEN regexp_full_match(name, '[0-9]+\\.log') THEN 'log'
+    WHEN regexp_full_match(name, '[0-9]+\\.(sst|ldb)') THEN 'table' WHEN regexp_full_match(name, '[0-9]+\\.dbtmp') THEN 'temp' END AS kind FROM nm),
 fn AS (SELECT name,
-  CASE WHEN name IN ('CURRENT', 'LOCK', 'LOG', 'LOG.old') THEN 0
-    WHEN regexp_full_match(name, 'MANIFEST-[0-9]+|[0-9]+\\.(log|sst|ldb|dbtmp)') THEN CAST(regexp_extract(name, '[0-9]+') AS BIGINT) END AS number,
-  CASE WHEN name = 'CURRENT' THEN 'current' WHEN name = 'LOCK' THEN 'lock' WHEN name LIKE 'LOG%' THEN 'info_log' WHEN regexp_full_match(name, 'MANIFEST-[0-9]+') THEN 'manifest'
-    WHEN regexp_full_match(name, '[0-9]+\\.log') THEN 'log' WHEN regexp_full_match(name, '[0-9]+\\.(sst|ldb)') THEN 'table' WHEN regexp_full_match(name, '[0-9]+\\.dbtmp') THEN 'temp' END AS type
-  FROM nm)""".replace("\\\\", "\\")
+  CAST(CASE WHEN name IN ('CURRENT', 'LOCK', 'LOG', 'LOG.old') THEN 0 WHEN kind IS NOT NULL AND n <= 18446744073709551615 THEN n END AS DECIMAL(20, 0)) AS number,
+  CASE WHEN name = 'CURRENT' THEN 'current' WHEN name = 'LOCK' THEN 'lock' WHEN name LIKE 'LOG%' THEN 'info_log' WHEN n <= 18446744073709551615 THEN kind END AS type
+  FROM fp)"""
 
 SQL = {
     "kv_internal_order": f"WITH {_LOG} SELECT *, row_number() OVER (ORDER BY k, seq DESC, op DESC) AS pos FROM l",
@@ -250,7 +255,7 @@ i AS (SELECT *, sum(CASE WHEN ahead IS NULL OR smallest > ahead THEN 1 ELSE 0 EN
 SELECT number, smallest, largest FROM i WHERE number IS NOT NULL AND island = (SELECT island FROM i WHERE number IS NULL)""",
     "memtable_output_level": f"""WITH {_FILES}, {_RANGES},
 h AS (SELECT range_id, count(*) FILTER (level = 0) AS c0, count(*) FILTER (level = 1) AS c1, count(*) FILTER (level = 2) AS c2, coalesce(sum(file_size) FILTER (level = 2), 0) AS b2, coalesce(sum(file_size) FILTER (level = 3), 0) AS b3
-  FROM r LEFT JOIN (SELECT * FROM f WHERE level > 1) ON lo <= largest AND smallest <= hi GROUP BY range_id)
+  FROM r LEFT JOIN f ON lo <= largest AND smallest <= hi GROUP BY range_id)
 SELECT range_id, CASE WHEN c0 > 0 OR c1 > 0 OR b2 > 20971520 THEN 0 WHEN c2 > 0 OR b3 > 20971520 THEN 1 ELSE 2 END AS level FROM h""",
     "allowed_seeks": f"WITH {_FILES} SELECT number, greatest(100, file_size // 16384) AS allowed_seeks FROM f",
     "manifest_replay": f"WITH {_EDITS} SELECT level, number, edit_no FROM rep",

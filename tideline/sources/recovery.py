@@ -84,11 +84,11 @@ def recover(spark: SparkSession, path: str) -> Recovered:
         raise Corruption(f"live tables are missing: {sorted(missing)}")
     live = {f[1] for f in state.added}
     rows = there.filter("type in ('log', 'table')").select("path", "number", "type").collect()
-    logs = sorted(r.number for r in rows if r.type == "log" and (r.number >= state.log_number or r.number == prev))
-    paths = {r.number: r.path for r in rows}
+    logs = sorted(int(r.number) for r in rows if r.type == "log" and (r.number >= state.log_number or r.number == prev))
+    paths = {int(r.number): r.path for r in rows}
     empty = spark.createDataFrame([], kvlog.ENTRY)
     tables = kvlog.scan_tables(spark, [paths[n] for n in sorted(live)]) if live else empty
     tail = kvlog.scan_logs(spark, [paths[n] for n in logs]) if logs else empty
     last = tail.agg(F.max("seq")).first()[0] or 0
-    used = max([*live, *(r.number for r in rows), 0])
+    used = max([*live, *(int(r.number) for r in rows), 0])
     return Recovered(tables.unionByName(tail), files, state.log_number, prev, max(state.next_file, used + 1), max(state.last_sequence, last))
