@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout, manifest, order, read, write
@@ -61,8 +61,32 @@ def sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    """Sorted runs: the parts of each brand by name."""
-    return _t(spark, d, "part").select(F.col("p_brand").alias("run"), F.col("p_name").alias("key"), F.concat_ws("/", "p_type", F.col("p_partkey").cast("string")).alias("value"))
+    """Sorted runs of byte keys: how the documents of each source begin, beyond ASCII and up to 0xff; deletes have no value."""
+    start = F.substring(F.coalesce("text", F.lit("")), 1, 9).cast("binary")
+    end = F.unhex(F.when(F.col("doc_id") % 5 == 0, "FF").when(F.col("doc_id") % 5 == 1, "").otherwise(F.lpad(F.hex(F.col("doc_id") % 256), 2, "0")))
+    key = F.when(F.col("doc_id") % 11 == 0, F.concat(F.unhex(F.lit("FFFF")), start, end)).otherwise(F.concat(start, end))
+    value = F.when(F.col("doc_id") % 7 > 0, F.col("doc_id").cast("string").cast("binary"))
+    return _t(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("run"), key.alias("key"), value.alias("value"))
+
+
+def in_hex(df: DataFrame, *columns: str) -> DataFrame:
+    """Binary columns as hexadecimal digits, whose order is that of the bytes."""
+    return df.withColumns({c: F.hex(c) for c in columns})
+
+
+def byte_log(spark: SparkSession, d: str) -> DataFrame:
+    """The change log under byte keys of two to five bytes, with all values of a byte."""
+    return log(spark, d).withColumn("k", byte_key(F.col("k")))
+
+
+def byte_key(n) -> Column:
+    tail = F.when(n % 3 == 0, "FF").when(n % 3 == 1, "").otherwise("00C3A9")
+    return F.unhex(F.concat(F.lpad(F.hex(n * 7919 % 65536), 4, "0"), tail))
+
+
+def byte_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Keys to look for, some of which the log has: of as many customers as there are, by their numbers."""
+    return _t(spark, d, "customer").select(byte_key(F.col("c_custkey")).alias("t")).distinct()
 
 
 def customers(spark, d):
@@ -111,13 +135,8 @@ def log_lengths(spark, d):
 def _probe(spark, d):
     rows = _t(spark, d, "part").select(F.col("p_brand").alias("group"), F.col("p_name").alias("key"))
     others = _t(spark, d, "part").select(F.col("p_brand").alias("group"), F.concat(F.lit("absent "), F.col("p_name")).alias("key"))
-    got = layout.bloom_probe(rows, rows.withColumn("m", F.lit(1)).unionByName(others.withColumn("m", F.lit(0))))
-    return got.withColumn("member", (~F.col("key").startswith("absent ")).cast("int")).groupBy("member").agg(F.count("*").alias("probes"), F.count_if("may_hold").alias("hits"))
-
-
-def _crc(spark, d):
-    e = entries(spark, d)
-    return e.groupBy("run").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: F.concat(x["key"], x["value"]))).alias("block")).select("run", F.crc32(F.col("block").cast("binary")).alias("crc"), F.octet_length("block").cast("long").alias("bytes"))
+    got = layout.bloom_probe(rows, rows.unionByName(others))
+    return got.withColumn("member", (~F.col("key").cast("string").startswith("absent ")).cast("int")).groupBy("member").agg(F.count("*").alias("probes"), F.count_if("may_hold").alias("hits"))
 
 
 QUERIES = {
@@ -130,6 +149,14 @@ QUERIES = {
     "kv_seek": lambda s, d: order.seek(read.latest(log(s, d)), "k", customers(s, d).select(F.col("k").alias("t")), "t"),
     "kv_seek_before": lambda s, d: order.seek(read.latest(log(s, d)), "k", customers(s, d).select(F.col("k").alias("t")), "t", before=True),
     "kv_next_prev": lambda s, d: order.neighbours(_t(s, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k"),
+    "bytes_internal_order": lambda s, d: in_hex(read.internal_order(byte_log(s, d)), "k"),
+    "bytes_get_status": lambda s, d: in_hex(read.get_status(byte_log(s, d), byte_targets(s, d).withColumnRenamed("t", "k"), SNAPSHOT), "k"),
+    "bytes_range_scan": lambda s, d: in_hex(read.range_scan(byte_log(s, d), bytearray(b"\x40"), bytearray(b"\xc3\xff")), "k"),
+    "bytes_reverse_scan": lambda s, d: in_hex(read.reverse_scan(byte_log(s, d)), "k"),
+    "bytes_seek": lambda s, d: in_hex(order.seek(read.latest(byte_log(s, d)), "k", byte_targets(s, d), "t"), "t", "found"),
+    "bytes_seek_before": lambda s, d: in_hex(order.seek(read.latest(byte_log(s, d)), "k", byte_targets(s, d), "t", before=True), "t", "found"),
+    "bytes_next_prev": lambda s, d: in_hex(order.neighbours(byte_log(s, d), "k"), "k", "prev", "next"),
+    "bytes_merge": lambda s, d: in_hex(read.merge_sources(byte_log(s, d).select("k", F.col("seq").alias("id")), byte_targets(s, d).select(F.col("t").alias("k"), F.lit(0).cast("long").alias("id"))), "k"),
     "kv_first_last": lambda s, d: read.first_last(log(s, d)),
     "merge_sources": lambda s, d: read.merge_sources(_t(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("id")), _t(s, d, "events").select(F.col("event_id").alias("k"), F.col("user_id").alias("id"))),
     "find_file": lambda s, d: manifest.find_file(files(s, d), customers(s, d).select(F.col("k").alias("t"))),
@@ -139,12 +166,12 @@ QUERIES = {
     "batch_append": append,
     "flush_cut": lambda s, d: write.flush_cuts(sized(s, d), FLUSH_BYTES),
     "entry_bytes": lambda s, d: sized(s, d).groupBy("k").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")),
-    "block_cut": lambda s, d: layout.block_cuts(entries(s, d), "run", 512),
-    "restart_points": lambda s, d: layout.restart_points(entries(s, d), "run"),
-    "shared_prefix": lambda s, d: layout.shared_prefixes(entries(s, d), "run"),
+    "block_cut": lambda s, d: in_hex(layout.block_cuts(entries(s, d), "run", 512), "first_key", "last_key"),
+    "restart_points": lambda s, d: in_hex(layout.restart_points(entries(s, d), "run"), "key", "value"),
+    "shared_prefix": lambda s, d: in_hex(layout.shared_prefixes(entries(s, d), "run"), "key", "value", "prev"),
     "block_bytes": lambda s, d: layout.block_sizes(entries(s, d), "run"),
-    "separator": lambda s, d: layout.separators(entries(s, d), "run"),
-    "successor": lambda s, d: entries(s, d).select("key", layout.ascii_successor(F.col("key")).alias("successor")).distinct(),
+    "separator": lambda s, d: in_hex(layout.separators(entries(s, d), "run"), "start", "limit", "separator"),
+    "successor": lambda s, d: in_hex(entries(s, d).select("key", layout.successor(F.col("key")).alias("successor")).distinct(), "key", "successor"),
     "level_scores": lambda s, d: manifest.level_scores(files(s, d)),
     "pick_compaction_level": lambda s, d: manifest.pick_compaction(files(s, d)),
     "range_overlap": lambda s, d: manifest.overlaps(files(s, d), ranges(s, d)).groupBy("range_id", "level").agg(F.count("*").alias("files")),
@@ -162,7 +189,7 @@ QUERIES = {
     "obsolete_files": lambda s, d: manifest.obsolete_files(parsed(s, d), files(s, d).filter("level = 0"), 40, 7).select("name", "number", "type"),
     "varint_bytes": varints,
     "bloom_probe": _probe,
-    "block_crc": _crc,
+    "block_crc": lambda s, d: layout.blocks(entries(s, d), "run", 512).select("run", "block", "bytes", "crc"),
     "log_fragments": lambda s, d: layout.log_fragments(log_lengths(s, d), "log"),
     "compaction_rewrite": lambda s, d: read.compaction(log(s, d), SNAPSHOT),
 }
@@ -176,7 +203,13 @@ _OPS = "o AS (SELECT l_orderkey AS batch_id, CASE WHEN l_returnflag = 'R' THEN 0
 _EDITS = """e AS (SELECT event_id AS edit_no, CAST(user_id % 7 AS INTEGER) AS level, user_id * 31 + event_id % 17 AS number,
   CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS kind FROM events),
 rep AS (SELECT level, number, edit_no FROM e QUALIFY row_number() OVER (PARTITION BY level, number ORDER BY edit_no DESC, kind DESC) = 1 AND kind = 1)"""
-_ENTRIES = "n AS (SELECT p_brand AS run, p_name AS key, p_type || '/' || p_partkey AS value FROM part)"
+_ENTRIES = """e0 AS (SELECT doc_id, coalesce(source, '') AS run, hex(encode(left(coalesce(text, ''), 9))) AS s,
+  CASE doc_id % 5 WHEN 0 THEN 'FF' WHEN 1 THEN '' ELSE printf('%02X', doc_id % 256) END AS z FROM documents),
+n AS (SELECT run, CASE WHEN doc_id % 11 = 0 THEN 'FFFF' ELSE '' END || s || z AS key, CASE WHEN doc_id % 7 > 0 THEN hex(encode(CAST(doc_id AS VARCHAR))) END AS value FROM e0)"""
+
+
+def _byte_key(n: str) -> str:
+    return f"(printf('%04X', {n} * 7919 % 65536) || CASE {n} % 3 WHEN 0 THEN 'FF' WHEN 1 THEN '' ELSE '00C3A9' END)"
 
 
 def _var(x: str) -> str:
@@ -185,9 +218,14 @@ def _var(x: str) -> str:
 
 _SIZED = f"""z AS (SELECT user_id AS k, event_id AS seq, kb, vb, {_var("(kb + 8)")} + kb + 8 + {_var("vb")} + vb AS bytes
   FROM (SELECT *, strlen(CAST(user_id AS VARCHAR)) AS kb, strlen(props) AS vb FROM events))"""
+# Keys and values are hexadecimal digits: two a byte.
 _SHARED = f"""{_ENTRIES},
-p AS (SELECT *, lag(key) OVER w AS prev, row_number() OVER w - 1 AS place FROM n WINDOW w AS (PARTITION BY run ORDER BY key, value)),
-c AS (SELECT *, CAST(CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(prev), length(key)) + 1), lambda i: left(prev, i) = left(key, i))) END AS BIGINT) AS shared FROM p)"""
+p AS (SELECT *, lag(key) OVER w AS prev, row_number() OVER w - 1 AS place FROM n WINDOW w AS (PARTITION BY run ORDER BY key, value NULLS FIRST)),
+c AS (SELECT *, length(key) // 2 AS kb, coalesce(length(value) // 2, 0) AS vb,
+  CAST(CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(prev), length(key)) // 2 + 1), lambda i: left(prev, 2 * i) = left(key, 2 * i))) END AS BIGINT) AS shared FROM p)"""
+_BYTES = f"""{_LOG}, bl AS (SELECT {_byte_key('k')} AS k, seq, op, v FROM l),
+bv AS (SELECT k, seq, v FROM bl QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, op DESC) = 1 AND op = 1),
+bt AS (SELECT DISTINCT {_byte_key('c_custkey')} AS t FROM customer)"""
 _SCORES = f"""{_FILES},
 s AS (SELECT CAST(x AS INTEGER) AS level, count(number) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes FROM range(6) t(x) LEFT JOIN f ON f.level = x GROUP BY x),
 q AS (SELECT *, CASE WHEN level = 0 THEN files / 4.0::DOUBLE ELSE bytes / (10485760.0::DOUBLE * pow(10.0::DOUBLE, greatest(level - 1, 0)::DOUBLE)) END AS score FROM s)"""
@@ -230,7 +268,7 @@ y AS (SELECT k, rn, seq, bytes, bytes AS held, CAST(0 AS BIGINT) AS flush FROM x
   FROM y JOIN x ON x.k = y.k AND x.rn = y.rn + 1)
 SELECT k, flush, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(seq) AS min_seq, max(seq) AS max_seq FROM y GROUP BY k, flush""",
     "entry_bytes": f"WITH {_SIZED} SELECT k, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM z GROUP BY k",
-    "block_cut": f"""WITH RECURSIVE {_SHARED}, x AS (SELECT run, place, key, shared, strlen(key) AS kb, strlen(value) AS vb FROM c),
+    "block_cut": f"""WITH RECURSIVE {_SHARED}, x AS (SELECT run, place, key, shared, kb, vb FROM c),
 y AS (SELECT run, place, key, CAST(0 AS BIGINT) AS block, CAST(1 AS BIGINT) AS cnt, 1 + {_var("kb")} + {_var("vb")} + kb + vb AS held FROM x WHERE place = 0
   UNION ALL SELECT run, place, key, CASE WHEN fresh THEN block + 1 ELSE block END, CASE WHEN fresh THEN 1 ELSE cnt + 1 END,
     CASE WHEN fresh THEN 0 ELSE held END + {_var("common")} + {_var("(kb - common)")} + {_var("vb")} + kb - common + vb
@@ -239,13 +277,24 @@ y AS (SELECT run, place, key, CAST(0 AS BIGINT) AS block, CAST(1 AS BIGINT) AS c
 SELECT run, block, count(*) AS entries, CAST(max(held) + 4 * ceil(count(*) / 16.0) + 4 AS BIGINT) AS bytes, min(key) AS first_key, max(key) AS last_key FROM y GROUP BY run, block""",
     "restart_points": f"WITH {_SHARED} SELECT run, key, value, place // 16 AS restart, place % 16 AS \"offset\" FROM p",
     "shared_prefix": f"WITH {_SHARED} SELECT run, key, value, prev, shared FROM c",
-    "block_bytes": f"""WITH {_SHARED}, x AS (SELECT run, place // 64 AS block, CASE WHEN place % 64 % 16 = 0 THEN 0 ELSE shared END AS sh, strlen(key) AS kb, strlen(value) AS vb FROM c)
+    "block_bytes": f"""WITH {_SHARED}, x AS (SELECT run, place // 64 AS block, CASE WHEN place % 64 % 16 = 0 THEN 0 ELSE shared END AS sh, kb, vb FROM c)
 SELECT run, block, count(*) AS entries, CAST(sum({_var("sh")} + {_var("(kb - sh)")} + {_var("vb")} + kb - sh + vb) + 4 * ceil(count(*) / 16.0) + 4 AS BIGINT) AS bytes FROM x GROUP BY run, block""",
-    "separator": """WITH k AS (SELECT DISTINCT p_brand AS run, p_name AS lim FROM part),
+    "separator": f"""WITH {_ENTRIES}, k AS (SELECT DISTINCT run, key AS lim FROM n),
 p AS (SELECT run, lag(lim) OVER (PARTITION BY run ORDER BY lim) AS start, lim FROM k),
-c AS (SELECT *, CAST(len(list_filter(range(1, least(length(start), length(lim)) + 1), lambda i: left(start, i) = left(lim, i))) AS BIGINT) + 1 AS d FROM p WHERE start IS NOT NULL)
-SELECT run, start, lim AS "limit", CASE WHEN d <= length(start) AND d <= length(lim) AND ascii(substr(start, d, 1)) + 1 < ascii(substr(lim, d, 1)) THEN left(start, d - 1) || chr(ascii(substr(start, d, 1)) + 1) ELSE start END AS separator FROM c""",
-    "successor": "SELECT DISTINCT p_name AS key, chr(ascii(p_name) + 1) AS successor FROM part",
+c AS (SELECT *, CAST(len(list_filter(range(1, least(length(start), length(lim)) // 2 + 1), lambda i: left(start, 2 * i) = left(lim, 2 * i))) AS BIGINT) * 2 + 1 AS d FROM p WHERE start IS NOT NULL),
+b AS (SELECT *, TRY_CAST('0x' || substr(start, d, 2) AS INTEGER) AS x, TRY_CAST('0x' || substr(lim, d, 2) AS INTEGER) AS y FROM c)
+SELECT run, start, lim AS "limit", CASE WHEN d <= length(start) AND d <= length(lim) AND x < 255 AND x + 1 < y THEN left(start, d - 1) || printf('%02X', x + 1) ELSE start END AS separator FROM b""",
+    "successor": f"""WITH {_ENTRIES}, k AS (SELECT DISTINCT key, length(key) - length(regexp_replace(key, '^(FF)+', '')) AS d FROM n)
+SELECT key, CASE WHEN d = length(key) THEN key ELSE left(key, d) || printf('%02X', CAST('0x' || substr(key, d + 1, 2) AS INTEGER) + 1) END AS successor FROM k""",
+    "bytes_internal_order": f"WITH {_BYTES} SELECT *, row_number() OVER (ORDER BY k, seq DESC, op DESC) AS pos FROM bl",
+    "bytes_get_status": f"""WITH {_BYTES}, g AS (SELECT * FROM bl WHERE seq <= {SNAPSHOT} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, op DESC) = 1)
+SELECT t AS k, CASE WHEN op IS NULL THEN 'NOT_FOUND' WHEN op = 0 THEN 'DELETED' ELSE 'FOUND' END AS status, CASE WHEN op = 1 THEN v END AS v FROM bt LEFT JOIN g ON k = t""",
+    "bytes_range_scan": f"WITH {_BYTES} SELECT * FROM bv WHERE k BETWEEN '40' AND 'C3FF'",
+    "bytes_reverse_scan": f"WITH {_BYTES} SELECT *, row_number() OVER (ORDER BY k DESC) AS pos FROM bv",
+    "bytes_seek": f"WITH {_BYTES} SELECT t, min(k) AS found FROM bt LEFT JOIN bv ON k >= t GROUP BY t",
+    "bytes_seek_before": f"WITH {_BYTES} SELECT t, max(k) AS found FROM bt LEFT JOIN bv ON k < t GROUP BY t",
+    "bytes_next_prev": f"WITH {_BYTES} SELECT k, lag(k) OVER (ORDER BY k) AS prev, lead(k) OVER (ORDER BY k) AS next FROM (SELECT DISTINCT k FROM bl)",
+    "bytes_merge": f"WITH {_BYTES} SELECT *, row_number() OVER (ORDER BY k, src, id) AS pos FROM (SELECT k, 0 AS src, seq AS id FROM bl UNION ALL SELECT t, 1, 0 FROM bt)",
     "level_scores": f"WITH {_SCORES} SELECT level, files, bytes, score FROM q",
     "pick_compaction_level": f"WITH {_SCORES} SELECT level, score FROM q ORDER BY score DESC, level LIMIT 1",
     "range_overlap": f"WITH {_FILES}, {_RANGES} SELECT range_id, level, count(*) AS files FROM r JOIN f ON lo <= largest AND smallest <= hi GROUP BY range_id, level",
