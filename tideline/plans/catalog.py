@@ -4,12 +4,16 @@ Views: the change log takes each event as an entry of its user (errors delete);
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout, manifest, order, read, write
+from ..sources import kvlog, recovery, store
+from ..sources.files import HadoopFiles
 
 #: Snapshot, key range, log numbers and query range of the catalogue.
 SNAPSHOT, LOW, HIGH, LOG_NUMBER, PREV_LOG, NEXT_FILE, RANGE = 5000, 10, 60, 12000, 77, 900, (400, 450)
@@ -132,6 +136,67 @@ def log_lengths(spark, d):
     return _t(spark, d, "documents").select(F.col("source").alias("log"), F.col("doc_id").alias("ordinal"), F.octet_length("text").cast("long").alias("bytes"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads again: under the shared folder that the session names; in
+    local mode, where there is one machine, a temporary one if none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/tideline-files/{uuid.uuid4().hex}"
+
+
+def byte_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The byte-keyed log with its values as bytes."""
+    value = F.when(F.col("op") == 1, F.col("v").cast("decimal(20,4)").cast("string").cast("binary"))
+    return byte_log(spark, d).withColumn("v", value)
+
+
+def _entries_in_hex(df: DataFrame) -> DataFrame:
+    return df.select(F.hex("key").alias("k"), "seq", "op", F.when(F.col("op") == 1, F.hex("value")).alias("v"))
+
+
+def table_files(spark, d):
+    """Table files: compressed blocks, filters, index; every entry comes back."""
+    path = _folder(spark)
+    store.write_tables(HadoopFiles(spark, path), byte_entries(spark, d), 1, 64 << 10, bits_per_key=10, compression=kvlog.SNAPPY)
+    return _entries_in_hex(kvlog.scan_tables(spark, f"{path}/*.ldb"))
+
+
+def table_get(spark, d):
+    """Point gets at a snapshot in table files, through filters and index: the newest of what the files have."""
+    path = _folder(spark)
+    store.write_tables(HadoopFiles(spark, path), byte_entries(spark, d), 1, 64 << 10, bits_per_key=10)
+    keys = [bytes(r.t) for r in byte_targets(spark, d).filter("substring(hex(t), 1, 1) = '7'").collect()]
+    return _entries_in_hex(kvlog.get_from_tables(spark, f"{path}/*.ldb", keys, SNAPSHOT))
+
+
+def log_files(spark, d):
+    """Log files: checked fragments of batches; every entry comes back."""
+    path = _folder(spark)
+    store.write_logs(HadoopFiles(spark, path), byte_entries(spark, d), 1, logs=3)
+    return _entries_in_hex(kvlog.scan_logs(spark, f"{path}/*.log"))
+
+
+def recovered(spark, d):
+    """A store of tables, logs, manifest and CURRENT, opened again: the newest live values."""
+    path, rows = _folder(spark), byte_entries(spark, d)
+    store.write_store(HadoopFiles(spark, path), rows.filter(F.col("seq") <= SNAPSHOT), rows.filter(F.col("seq") > SNAPSHOT), bits_per_key=10, compression=kvlog.SNAPPY)
+    found = recovery.recover(spark, path).entries.select(F.col("key").alias("k"), "seq", "op", F.col("value").alias("v"))
+    return in_hex(read.latest(found), "k", "v")
+
+
+def manifest_files(spark, d):
+    """Edits written as a manifest and read again, replayed: the live files."""
+    path = _folder(spark)
+    events = edits(spark, d).orderBy("edit_no").collect()  # files, not data
+    made = [kvlog.Edit(deleted=[(e.level, e.number)]) if not e.kind else kvlog.Edit(added=[(e.level, e.number, e.edit_no, b"a", b"b")]) for e in events]
+    numbers = spark.createDataFrame([(i, e.edit_no) for i, e in enumerate(events)], "edit_no long, no long")
+    store.write_manifest(HadoopFiles(spark, path), 1, made)
+    return manifest.replay(kvlog.scan_manifests(spark, f"{path}/MANIFEST-000001").join(numbers, "edit_no").withColumn("edit_no", F.col("no")))
+
+
 def _probe(spark, d):
     rows = _t(spark, d, "part").select(F.col("p_brand").alias("group"), F.col("p_name").alias("key"))
     others = _t(spark, d, "part").select(F.col("p_brand").alias("group"), F.concat(F.lit("absent "), F.col("p_name")).alias("key"))
@@ -157,6 +222,11 @@ QUERIES = {
     "bytes_seek_before": lambda s, d: in_hex(order.seek(read.latest(byte_log(s, d)), "k", byte_targets(s, d), "t", before=True), "t", "found"),
     "bytes_next_prev": lambda s, d: in_hex(order.neighbours(byte_log(s, d), "k"), "k", "prev", "next"),
     "bytes_merge": lambda s, d: in_hex(read.merge_sources(byte_log(s, d).select("k", F.col("seq").alias("id")), byte_targets(s, d).select(F.col("t").alias("k"), F.lit(0).cast("long").alias("id"))), "k"),
+    "table_files": table_files,
+    "table_get": table_get,
+    "log_files": log_files,
+    "recovered": recovered,
+    "manifest_files": manifest_files,
     "kv_first_last": lambda s, d: read.first_last(log(s, d)),
     "merge_sources": lambda s, d: read.merge_sources(_t(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("id")), _t(s, d, "events").select(F.col("event_id").alias("k"), F.col("user_id").alias("id"))),
     "find_file": lambda s, d: manifest.find_file(files(s, d), customers(s, d).select(F.col("k").alias("t"))),
@@ -226,6 +296,7 @@ c AS (SELECT *, length(key) // 2 AS kb, coalesce(length(value) // 2, 0) AS vb,
 _BYTES = f"""{_LOG}, bl AS (SELECT {_byte_key('k')} AS k, seq, op, v FROM l),
 bv AS (SELECT k, seq, v FROM bl QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, op DESC) = 1 AND op = 1),
 bt AS (SELECT DISTINCT {_byte_key('c_custkey')} AS t FROM customer)"""
+_VALUES = "w AS (SELECT k, seq, op, CASE WHEN op = 1 THEN hex(encode(CAST(CAST(v AS DECIMAL(20, 4)) AS VARCHAR))) END AS v FROM bl)"
 _SCORES = f"""{_FILES},
 s AS (SELECT CAST(x AS INTEGER) AS level, count(number) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes FROM range(6) t(x) LEFT JOIN f ON f.level = x GROUP BY x),
 q AS (SELECT *, CASE WHEN level = 0 THEN files / 4.0::DOUBLE ELSE bytes / (10485760.0::DOUBLE * pow(10.0::DOUBLE, greatest(level - 1, 0)::DOUBLE)) END AS score FROM s)"""
@@ -295,6 +366,12 @@ SELECT t AS k, CASE WHEN op IS NULL THEN 'NOT_FOUND' WHEN op = 0 THEN 'DELETED'
     "bytes_seek_before": f"WITH {_BYTES} SELECT t, max(k) AS found FROM bt LEFT JOIN bv ON k < t GROUP BY t",
     "bytes_next_prev": f"WITH {_BYTES} SELECT k, lag(k) OVER (ORDER BY k) AS prev, lead(k) OVER (ORDER BY k) AS next FROM (SELECT DISTINCT k FROM bl)",
     "bytes_merge": f"WITH {_BYTES} SELECT *, row_number() OVER (ORDER BY k, src, id) AS pos FROM (SELECT k, 0 AS src, seq AS id FROM bl UNION ALL SELECT t, 1, 0 FROM bt)",
+    "table_files": f"WITH {_BYTES}, {_VALUES} SELECT * FROM w",
+    "table_get": f"""WITH {_BYTES}, {_VALUES} SELECT w.* FROM w JOIN bt ON k = t WHERE seq <= {SNAPSHOT} AND left(t, 1) = '7'
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, op DESC) = 1""",
+    "log_files": f"WITH {_BYTES}, {_VALUES} SELECT * FROM w",
+    "recovered": f"WITH {_BYTES}, {_VALUES}, n AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, op DESC) = 1) SELECT k, seq, v FROM n WHERE op = 1",
+    "manifest_files": f"WITH {_EDITS} SELECT level, number, edit_no FROM rep",
     "level_scores": f"WITH {_SCORES} SELECT level, files, bytes, score FROM q",
     "pick_compaction_level": f"WITH {_SCORES} SELECT level, score FROM q ORDER BY score DESC, level LIMIT 1",
     "range_overlap": f"WITH {_FILES}, {_RANGES} SELECT range_id, level, count(*) AS files FROM r JOIN f ON lo <= largest AND smallest <= hi GROUP BY range_id, level",
