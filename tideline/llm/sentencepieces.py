@@ -264,21 +264,25 @@ class Vocabulary:
         text = (" " * self.prefix + text).replace(" ", ESCAPE)
         if self.segments is None or not self.bytes:
             return np.array(self._ids(text), np.int32)
-        known, out = self.known, []
-        for segment in self.segments.findall(text):
-            ids = known.get(segment)
-            if ids is None:
-                ids = self.older.get(segment)
+        segments = self.segments.findall(text)
+        found = list(map(self.known.get, segments))
+        if None in found:
+            for at, ids in enumerate(found):
                 if ids is None:
-                    found = self._ids(segment)
-                    ids = struct.pack(f"<{len(found)}i", *found)
-                if len(segment) <= KEPT:
-                    if len(known) >= SEGMENTS:  # segments in use come back from the older half
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[segment] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+                    found[at] = self._new(segments[at])
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def _new(self, segment: str) -> bytes:
+        """Ids of a segment that the newer half of the table lacks; segments in use come back from the older half."""
+        ids = self.known.get(segment) or self.older.get(segment)
+        if ids is None:
+            found = self._ids(segment)
+            ids = struct.pack(f"<{len(found)}i", *found)
+        if len(segment) <= KEPT:
+            if len(self.known) >= SEGMENTS:
+                self.older, self.known = self.known, {}
+            self.known[segment] = ids
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
