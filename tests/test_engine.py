@@ -13,7 +13,7 @@ def test_model(spark, tmp_path):
     path = f"{tmp_path}/db"
     with pytest.raises(InvalidArgument):
         Engine.open(spark, path)
-    db = Engine.open(spark, path, Options(create_if_missing=True))
+    db = Engine.open(spark, path, Options(create_if_missing=True, auto_compact=False))
     states, model, seq = {0: {}}, {}, 0
     for step in range(4):
         ops = [(r.randrange(4) and 1, b"k%02d" % r.randrange(25), b"v%d" % r.randrange(999)) for _ in range(30)]
@@ -45,11 +45,56 @@ def test_model(spark, tmp_path):
     assert bytes(again.seek(b"k05").first().k) == next(k for k in keys if k >= b"k05")
     assert bytes(again.seek_before(b"k05").first().k) == [k for k in keys if k < b"k05"][-1]
     assert again.put(b"new", b"1") == seq + 1 and again.get(b"new") == b"1" and again.delete(b"new") == seq + 2 and again.get(b"new") is None
-    assert '"level": 1' in again.describe() and again.scores().count() == 6
+    assert '"ordering": "bytewise"' in again.describe() and again.scores().count() == 6
     with pytest.raises(InvalidArgument):
         Engine.open(spark, path, Options(error_if_exists=True))
 
 
+def test_flushes_and_compacts_by_itself(spark, tmp_path):
+    """A small write buffer: writes flush, runs go to the level that the files allow, levels are compacted by score,
+    deletes go at the bottom, and every live value stays."""
+    r = random.Random(5)
+    db = Engine.open(spark, f"{tmp_path}/db", Options(create_if_missing=True, write_buffer=600))
+    model = {}
+    for _ in range(7):
+        ops = [(r.randrange(5) and 1, b"\xc3k\xff%02d" % r.randrange(40), b"v%d" % r.randrange(99)) for _ in range(45)]
+        db.batch(ops)
+        model |= {k: v if op else None for op, k, v in ops}
+    files = db.live()
+    assert not db._live_logs() and any(e["level"] > 0 for e in files) and sum(e["level"] == 0 for e in files) < 4
+    for level in {e["level"] for e in files} - {0}:
+        spans = sorted((bytes(e["smallest"]), bytes(e["largest"])) for e in files if e["level"] == level)
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    live = {k: v for k, v in model.items() if v is not None}
+    assert {bytes(x.k): bytes(x.v) for x in db.scan().collect()} == live
+    db.compact()
+    assert {bytes(x.k) for x in db.log().collect()} == set(live)  # deletes are gone from the only run
+    low = Engine.open(spark, f"{tmp_path}/other", Options(create_if_missing=True))
+    low.put(b"b", b"1")
+    low.flush()
+    low.put(b"b", b"2")
+    low.flush()
+    assert sorted(e["level"] for e in low.live()) == [1, 2] and low.get(b"b") == b"2"
+
+
+def test_walks_both_ways(spark, tmp_path):
+    db = Engine.open(spark, f"{tmp_path}/db", Options(create_if_missing=True))
+    keys = sorted([b"", b"\0", b"a", b"a\0", b"a\xff", b"\xc3\xa9", b"\xff", b"\xff\xff"])
+    db.batch([(1, k, b"v") for k in keys] + [(1, b"gone", b"v"), (0, b"gone", None)])
+    one = lambda df: [bytes(x.k) for x in df.collect()]
+    assert one(db.first()) == keys[:1] and one(db.last()) == keys[-1:]
+    assert [bytes(x.k) for x in db.reverse().orderBy("pos").collect()] == keys[::-1]
+    for i, k in enumerate(keys[:4]):
+        assert one(db.next(k)) == keys[i + 1 : i + 2] and one(db.prev(k)) == (keys[i - 1 : i] if i else [])
+    assert one(db.next(keys[-1])) == [] and one(db.seek(b"gone")) == [b"\xc3\xa9"]
+    got = {bytes(x.k): (x.prev and bytes(x.prev), x.next and bytes(x.next)) for x in db.neighbours().collect()}
+    assert [got[k][1] for k in keys[:-1]] == keys[1:] and got[keys[-1]][1] is None
+    targets = [b"\0\0", b"b", b"\xff\xff\xff"]
+    t = spark.createDataFrame([(bytearray(x),) for x in targets], "t binary")
+    assert {bytes(x.t): x.found and bytes(x.found) for x in db.seek_many(t).collect()} == {b"\0\0": b"a", b"b": b"\xc3\xa9", b"\xff\xff\xff": None}
+    assert {bytes(x.t): bytes(x.found) for x in db.seek_many(t, before=True).collect()} == {b"\0\0": b"\0", b"b": b"a\xff", b"\xff\xff\xff": b"\xff\xff"}
+
+
 def test_missing_table_is_refused(spark, tmp_path):
     import shutil
 
@@ -93,6 +138,23 @@ def test_seek_and_positions_random(spark):
     assert [(x.prev, x.next) for x in order.neighbours(k, "k").orderBy("k").collect()] == list(zip([None, *keys], [*keys[1:], None]))
 
 
+def test_positions_of_any_type_and_hot_keys(spark):
+    """Binary and string keys, nulls, empty ones, and a key of most rows, against Python's sort."""
+    r = random.Random(4)
+    rows = [(bytes(r.randrange(256) for _ in range(r.randrange(4))), "".join(r.choices("aéz日", k=r.randrange(3))), i) for i in range(400)] + [(b"hot", "hot", 1000 + i) for i in range(600)] + [(None, None, 2000)]
+    df = spark.createDataFrame([(k if k is None else bytearray(k), s, i) for k, s, i in rows], "b binary, s string, i long").repartition(7)
+
+    def check(order_by, key):
+        want = {x[2]: n for n, x in enumerate(sorted(rows, key=key), 1)}
+        assert {x.i: x.pos for x in order.positions(df, *order_by).collect()} == want
+
+    check(("b", "-i"), lambda x: (x[0] is not None, x[0] or b"", -x[2]))
+    check(("-s", "i"), lambda x: (x[1] is None, [-ord(c) for c in x[1] or ""] + [1], x[2]))
+    ranges = order.Ranges(df, "b", "-i", count=8)
+    held = [x["count"] for x in df.withColumn("_range", ranges.column()).groupBy("_range").count().collect()]
+    assert len(held) == len(ranges.bounds) + 1 and max(held) < 300  # the hot key is cut by what follows it
+
+
 def test_stream(spark, tmp_path):
     log = tmp_path / "log"
     rows = [(1, 5, 1, "new"), (1, 3, 1, "old"), (2, 4, 0, None)]

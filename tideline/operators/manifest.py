@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import seek
+from .order import Ranges, literal, seek
 
 # Fixed values of the storage layout.
 LEVELS, L0_FILES, L1_BYTES, LEVEL_GROWTH = 7, 4, 10 * 1024 * 1024, 10
@@ -48,34 +48,50 @@ def find_file(files: DataFrame, targets: DataFrame) -> DataFrame:
     return found.join(first, ["level", "largest"]).select("level", "t", "largest", "number")
 
 
-def overlaps(files: DataFrame, ranges: DataFrame, bins: int = 64) -> DataFrame:
-    """Pairs of ranges (range_id, lo, hi) and files whose closed intervals meet; null bounds are open.
-
-    Both sides go to the bins of the key space that they touch, and a pair counts in the first bin the two share."""
-    ends = files.agg(F.min("smallest").alias("a"), F.max("largest").alias("b")).first()
-    if ends.a is None:
-        return ranges.join(files, F.lit(False))
-    width = max(1, (ends.b - ends.a) // bins + 1)
-    in_bins = lambda lo, hi: F.sequence(F.floor((lo - ends.a) / width).cast("int"), F.floor((hi - ends.a) / width).cast("int"))
-    lo, hi = F.greatest(F.coalesce("lo", F.lit(ends.a)), F.lit(ends.a)), F.least(F.coalesce("hi", F.lit(ends.b)), F.lit(ends.b))
-    r = ranges.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi").withColumn("_bin", F.explode(in_bins(F.col("_lo"), F.col("_hi"))))
-    f = files.withColumn("_bin", F.explode(in_bins(F.col("smallest"), F.col("largest"))))
-    first = F.floor((F.greatest("_lo", "smallest") - ends.a) / width).cast("int")
-    pairs = r.join(f, "_bin").filter((F.col("_lo") <= F.col("largest")) & (F.col("smallest") <= F.col("_hi")) & (F.col("_bin") == first))
-    return pairs.drop("_bin", "_lo", "_hi")
-
-
-def overlap_closure(files: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
-    """Files of level 0 in the connected component of intervals that holds the range: islands over a running maximum."""
-    zero = files.filter("level = 0")
-    ends = zero.agg(F.min("smallest").alias("a"), F.max("largest").alias("b")).first()
-    query = files.sparkSession.createDataFrame([(None, ends.a if lo is None else lo, ends.b if hi is None else hi)], "number long, smallest long, largest long")
-    rows = zero.select("number", "smallest", "largest").unionByName(query)
-    w = Window.orderBy("smallest", "largest", F.col("number").asc_nulls_first())  # level 0 holds a few files by design
-    ahead = F.max("largest").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = rows.withColumn("_new", F.when(ahead.isNull() | (F.col("smallest") > ahead), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w))
-    own = islands.filter("number is null").select("_island")
-    return islands.filter("number is not null").join(own, "_island", "left_semi").select("number", "smallest", "largest")
+def overlaps(files: DataFrame, ranges: DataFrame, bins: int | None = None) -> DataFrame:
+    """Pairs of ranges (range_id, lo, hi) and files whose closed intervals meet; null bounds are open. Keys of any type.
+
+    Both sides go to the bins of the key space that they touch, and a pair counts in the first bin the two share. Bins
+    hold about as many file bounds each, as many bins as there are shuffle partitions."""
+    bounds = files.select(F.col("smallest").alias("k")).unionByName(files.select(F.col("largest").alias("k")))
+    cut = Ranges(bounds, "k", count=bins)
+    last = F.lit(len(cut.bounds))
+    low = F.when(F.col("lo").isNull(), 0).otherwise(cut.of(F.col("lo")))
+    high = F.when(F.col("hi").isNull(), last).otherwise(cut.of(F.col("hi")))
+    r = ranges.filter("lo is null or hi is null or lo <= hi").withColumn("_from", low).withColumn("_bin", F.explode(F.sequence("_from", high)))
+    f = files.withColumn("_first", cut.of(F.col("smallest"))).withColumn("_bin", F.explode(F.sequence("_first", cut.of(F.col("largest")))))
+    meet = (F.col("lo").isNull() | (F.col("lo") <= F.col("largest"))) & (F.col("hi").isNull() | (F.col("smallest") <= F.col("hi")))
+    pairs = r.join(f, "_bin").filter(meet & (F.col("_bin") == F.greatest("_from", "_first")))
+    return pairs.drop("_bin", "_from", "_first")
+
+
+def overlap_closure(files: DataFrame, lo: object, hi: object) -> DataFrame:
+    """Files of level 0 in the connected component of intervals that holds the range; null bounds are open.
+
+    In order of their first keys, intervals begin a new component where they lie beyond all ends before them: the ends
+    before them in their range of keys, and the greatest end of all earlier ranges. The range belongs to the last
+    component that begins at or before it, and takes in all that begin before the next one."""
+    zero = files.filter("level = 0").select("number", "smallest", "largest")
+    kind = zero.schema["smallest"].dataType
+    ends = zero.agg(F.min("smallest"), F.max("largest")).first()
+    lo, hi = (ends[0] if lo is None else lo), (ends[1] if hi is None else hi)
+    if lo is None or hi is None:
+        return zero
+    asked = files.sparkSession.range(1).select(literal(lo, kind).alias("smallest"), literal(hi, kind).alias("largest"))
+    cut = Ranges(zero, "smallest")
+    rows = zero.select("smallest", "largest").unionByName(asked).withColumn("_range", cut.of(F.col("smallest")))
+    most = {r._range: r.most for r in rows.groupBy("_range").agg(F.max("largest").alias("most")).collect()}
+    before, held = [], None
+    for i in range(len(cut.bounds) + 1):
+        before.append(held)
+        held = max((x for x in (held, most.get(i)) if x is not None), default=None)
+    inside = F.max("largest").over(Window.partitionBy("_range").orderBy("smallest", "largest").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.greatest(inside, cut.lookup(before, kind))
+    starts = rows.withColumn("_ahead", ahead).filter(F.col("_ahead").isNull() | (F.col("smallest") > F.col("_ahead")))
+    at = literal(lo, kind)
+    low, high = starts.agg(F.max(F.when(F.col("smallest") <= at, F.col("smallest"))), F.min(F.when(F.col("smallest") > at, F.col("smallest")))).first()
+    found = zero.filter(F.col("smallest") >= literal(low, kind))
+    return found if high is None else found.filter(F.col("smallest") < literal(high, kind))
 
 
 def output_level(files: DataFrame, ranges: DataFrame) -> DataFrame:

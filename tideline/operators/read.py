@@ -59,7 +59,10 @@ def merge_sources(*sources: DataFrame) -> DataFrame:
     return positions(merged, "k", "src", "id")
 
 
-def compaction(log: DataFrame, snapshot: int) -> DataFrame:
-    """What a rewrite keeps for readers at the snapshot or later: all above it and the newest at or below it."""
+def compaction(log: DataFrame, snapshot: int, drop_deletes: bool = False) -> DataFrame:
+    """What a rewrite keeps for readers at the snapshot or later: all above it and the newest at or below it. With
+    drop_deletes, for a rewrite with nothing older below it, that newest one goes if it is a delete."""
     below = newest(log, snapshot)
+    if drop_deletes:
+        below = below.filter("op = 1")
     return log.filter(F.col("seq") > snapshot).select("k", "seq", "op", "v").unionByName(below.select("k", "seq", "op", "v"))
