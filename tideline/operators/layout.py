@@ -38,10 +38,11 @@ def _places(n: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Bytes two binary keys share from the left."""
+    """Bytes two binary keys share from the left; none with a null."""
     n = F.least(F.octet_length(a), F.octet_length(b))
     first = F.array_position(F.transform(_places(n), lambda i: _at(a, i) != _at(b, i)), True)
-    return F.coalesce(F.when(first == 0, n).otherwise(first - 1), F.lit(0)).cast("long")
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, F.when(first == 0, n).otherwise(first - 1)).otherwise(0).cast("long")
 
 
 def shared_prefixes(entries: DataFrame, group: str) -> DataFrame:

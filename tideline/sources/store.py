@@ -6,8 +6,6 @@ it, by a rename."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +29,15 @@ def log_name(number: int) -> str:
     return f"{number:06d}.log"
 
 
-def _encoded(rows: DataFrame, encode, names: list[str]) -> DataFrame:
-    """A row a partition that has rows: encode(rows) gives the row's values."""
+def _encoded(rows: DataFrame, encode) -> DataFrame:
+    """A row a range: encode(rows) gives the row's values for the entries (k, seq, op, v) of the range, in any order."""
     schema = pa.schema([("content", pa.binary()), ("smallest", pa.binary()), ("largest", pa.binary()), ("last", pa.int64())])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(encode(held), schema, strict=True)], schema=schema)
+    def one(group: pa.Table) -> pa.Table:
+        held = [(bytes(k), s, o, bytes(v or b"")) for k, s, o, v in zip(*(group[c].to_pylist() for c in ("k", "seq", "op", "v")), strict=True)]
+        return pa.table([pa.array([v], f.type) for v, f in zip(encode(held), schema, strict=True)], schema=schema)
 
-    return rows.select(*names).mapInArrow(each, _FILE)
+    return rows.select("_range", "k", "seq", "op", "v").groupBy("_range").applyInArrow(one, _FILE)
 
 
 def write_tables(files: Files, entries: DataFrame, first: int, file_bytes: int = manifest.MAX_FILE_BYTES, **options) -> list[tuple[int, int, bytes, bytes, int]]:
@@ -49,16 +46,14 @@ def write_tables(files: Files, entries: DataFrame, first: int, file_bytes: int =
     rows = entries.select("k", "seq", "op", F.coalesce("v", F.lit(b"")).alias("v"))
     size = rows.agg(F.sum(entry_size(F.octet_length("k"), F.octet_length("v")))).first()[0] or 0
     ranges = Ranges(rows, "k", count=int(size // file_bytes) + 1)
-    parts = len(ranges.bounds) + 1
-    # A key stays whole, as a level's tables must not share one.
-    ordered = rows.withColumn("_range", ranges.column()).repartitionByRange(parts, "_range").sortWithinPartitions("_range", "k", F.desc("seq"), F.desc("op"))
 
     def encode(held: list[tuple]) -> tuple:
-        keys = [(codec.internal_key(bytes(k), s, o), bytes(v)) for k, s, o, v in held]
+        keys = [(codec.internal_key(k, s, o), v) for k, s, o, v in sorted(held, key=lambda r: (r[0], -r[1], -r[2]))]
         return kvlog.write_table(keys, **options), keys[0][0], keys[-1][0], max(r[1] for r in held)
 
     out = []
-    for r in _encoded(ordered, encode, ["k", "seq", "op", "v"]).toLocalIterator():
+    # A key stays whole, as a level's tables must not share one.
+    for r in _encoded(rows.withColumn("_range", ranges.column()), encode).toLocalIterator():
         files.write(table_name(first + len(out)), bytes(r.content))
         out.append((first + len(out), len(r.content), bytes(r.smallest), bytes(r.largest), r.last))
     return sorted(out, key=lambda f: kvlog._place(f[2]))
@@ -68,22 +63,19 @@ def write_logs(files: Files, entries: DataFrame, first: int, logs: int = 1, batc
     """(number, last sequence) of the logs, numbered from first on, that hold entries (k, seq, op, v) in order of sequence;
     sequences without a gap share a batch."""
     ranges = Ranges(entries, "seq", count=logs)
-    ordered = entries.withColumn("_range", ranges.column()).repartitionByRange(len(ranges.bounds) + 1, "_range").sortWithinPartitions("_range", "seq", F.desc("op"))
-
     def encode(held: list[tuple]) -> tuple:
         records, batch, start = [], [], None
-        for k, s, o, v in held:
+        for k, s, o, v in sorted(held, key=lambda r: (r[1], -r[2])):
             if batch and (s != start + len(batch) or len(batch) == batch_rows):
                 records.append(kvlog.write_batch(start, batch))
                 batch = []
             start = start if batch else s
-            batch.append((o, bytes(k), bytes(v or b"") if o else b""))
+            batch.append((o, k, v if o else b""))
         records.append(kvlog.write_batch(start, batch))
-        return kvlog.write_log(records), b"", b"", held[-1][1]
+        return kvlog.write_log(records), b"", b"", max(r[1] for r in held)
 
     out = []
-    found = sorted(_encoded(ordered, encode, ["k", "seq", "op", "v"]).toLocalIterator(), key=lambda r: r.last)
-    for r in found:
+    for r in _encoded(entries.withColumn("_range", ranges.column()), encode).orderBy("last").toLocalIterator():
         files.write(log_name(first + len(out)), bytes(r.content))
         out.append((first + len(out), r.last))
     return out
