@@ -56,18 +56,35 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write df as Parquet; its shuffle files go as soon as it is written, as nothing reads them afterwards."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+#: Settings while a table is written: shuffle files go as soon as it is, as nothing reads them afterwards; Arrow batches
+#: of texts stay small on both sides, whatever the length of the texts.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session's settings for a while."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
-        df.write.mode(mode).parquet(path)
+        yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write df as Parquet."""
+    with settings(df.sparkSession, WRITING):
+        df.write.mode(mode).parquet(path)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
