@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, tasks
+from .common import lean, saved, table, tasks
 from .components import components
 from .words import _LOWER, batch_bytes, separators, text_parts, word_spans
 
@@ -75,7 +75,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
                 yield pa.record_batch([ids[i:j], pa.array(fingerprints(texts[i:j]))], names=["id", "fp"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").cast("binary").alias("text"))
-    return source.mapInArrow(each, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(lean(each), f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def links(codes: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS)
     spark = codes.sparkSession
     keyed = block_keys(codes, radius, group_rows)
     parts = max(tasks(spark), (radius + 1) * codes.count() // TASK_ROWS + 1)
-    return keyed.repartition(parts, "key").mapInArrow(each, "a long, b long")
+    return keyed.repartition(parts, "key").mapInArrow(lean(each), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
