@@ -26,6 +26,17 @@ def test_ids_equal_the_library(words):
         assert words.decode(words.encode(t).tolist()) == library.decode(library.encode(t)) or "▁" in t or "\x00" in t
 
 
+def test_checked_round_trip_is_that_of_decoding(words):
+    for t in [*texts(), "a\ufffdb", "\ud7ff", "x▁y", "  two  "]:
+        ids, same = words.encode_checked(t)
+        assert same == (words.decode(ids.tolist()) == t)
+    fresh = S.Vocabulary(open(S.MODEL_PATH, "rb").read())
+    fresh.raw = [b"?" if r == b"ing" else r for r in fresh.raw]  # a piece that doesn't come back
+    for t in ("sing", "song", "a thing or two", "sing"):
+        ids, same = fresh.encode_checked(t)
+        assert same == (fresh.decode(ids.tolist()) == t)
+
+
 def test_stream_commits_early_and_agrees(words):
     text = " ".join(["thinking", "unbelievable", "日本", "internationalisation"] * 200).replace(" ", S.ESCAPE)
     seen = 0

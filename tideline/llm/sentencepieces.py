@@ -121,9 +121,12 @@ class Vocabulary:
         lone = "\n" not in inner
         stop = f"{ESCAPE}\n" if lone else ESCAPE
         self.segments = None if crossing else re.compile(f"{ESCAPE}*[^{stop}]+|{ESCAPE}+" + "|\n" * lone)
-        self.pairs: dict[int, bool] = {}
+        #: By left piece, whether a right piece may follow it, as far as known; and how many are known.
+        self.after: list[dict[int, bool]] = [{} for _ in self.pieces]
+        self.pairs = 0
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.lossy: set[str] = set()
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE merging: again and again the best-scored neighbours, leftmost first."""
@@ -142,13 +145,15 @@ class Vocabulary:
         """Whether merging the joined text of two pieces gives the pair back; unknown characters (-1) never merge."""
         if left < 0 or right < 0:
             return True
-        key = left << 32 | right
-        found = self.pairs.get(key)
+        found = self.after[left].get(right)
         if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
+            if self.pairs >= PAIRS:
+                for held in self.after:
+                    held.clear()
+                self.pairs = 0
             a, b = self.pieces[left], self.pieces[right]
-            found = self.pairs[key] = a + b not in self.ids and self.merge(a + b) == [a, b]
+            found = self.after[left][right] = a + b not in self.ids and self.merge(a + b) == [a, b]
+            self.pairs += 1
         return found
 
     def search(self, text: Iterable[str]) -> Iterator[tuple[int, str]]:
@@ -163,9 +168,11 @@ class Vocabulary:
         (None: there is no path, -2: the text begins there), where it starts, and its score."""
         window, last, start, score = "", [-2], [0], [0.0]
         at = reach = met = 0
-        longest, extend, source, ended = self.longest, self._sum_up if self.kind == UNIGRAM else self._fit_on, iter(text), False
+        longest, extend, taken, ended = self.longest, self._sum_up if self.kind == UNIGRAM else self._fit_on, 0, False
+        source = None if isinstance(text, str) else iter(text)
         while not ended:
-            part = "".join(islice(source, LOOK_EVERY))
+            part = "".join(islice(source, LOOK_EVERY)) if source else text[taken : taken + LOOK_EVERY]
+            taken += len(part)
             ended = len(part) < LOOK_EVERY
             window += part
             last += [None] * len(part)
@@ -185,30 +192,34 @@ class Vocabulary:
     def _fit_on(self, window: str, last: list, start: list, score: list, at: int, stop: int, reach: int, met: int) -> tuple[int, int, int]:
         """Extend the only allowed path to each position by the pieces that begin there; (stop, furthest end, last
         position past which no path leads)."""
-        pairs, fits, root, longest = self.pairs.get, self.fits, self.trie, self.longest
+        after, fits, root, longest = self.after, self.fits, self.trie, self.longest
         for at in range(at, stop):
             before = last[at]
             if before is None:
                 continue
             if at == reach:
                 met = at
+            first = root.get(window[at])
+            if first is None or first[0] < 0:  # a character that is no piece stands for itself
+                to = at + 1
+                last[to], start[to] = -1, at
+                if to > reach:
+                    reach = to
+                if first is None:
+                    continue
+            allowed = after[before].get if before >= 0 else None
             below, to = root, at
             for char in window[at : at + longest]:
-                to += 1
                 node = below.get(char)
                 if node is None:
-                    if to == at + 1:  # a character that is no piece stands for itself
-                        last[to], start[to] = -1, at
-                        if to > reach:
-                            reach = to
                     break
+                to += 1
                 k, below = node
                 if k < 0:
-                    if to > at + 1:
-                        continue
-                elif before >= 0:
-                    allowed = pairs(before << 32 | k)
-                    if not (fits(before, k) if allowed is None else allowed):
+                    continue
+                if allowed is not None:
+                    ok = allowed(k)
+                    if not (fits(before, k) if ok is None else ok):
                         continue
                 last[to], start[to] = k, at
                 if to > reach:
@@ -259,18 +270,25 @@ class Vocabulary:
         return out
 
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_checked(text)[0]
+
+    def encode_checked(self, text: str) -> tuple[np.ndarray, bool]:
+        """(ids, whether they decode to the text). Decoding goes piece by piece, so it gives the text back if it does so
+        for every segment; the escape character itself comes back as a blank."""
         if not text:
-            return np.zeros(0, np.int32)
-        text = (" " * self.prefix + text).replace(" ", ESCAPE)
+            return np.zeros(0, np.int32), True
+        escaped = (" " * self.prefix + text).replace(" ", ESCAPE)
         if self.segments is None or not self.bytes:
-            return np.array(self._ids(text), np.int32)
-        segments = self.segments.findall(text)
+            ids = self._ids(escaped)
+            return np.array(ids, np.int32), self.decode(ids) == text
+        segments = self.segments.findall(escaped)
         found = list(map(self.known.get, segments))
         if None in found:
             for at, ids in enumerate(found):
                 if ids is None:
                     found[at] = self._new(segments[at])
-        return np.frombuffer(b"".join(found), np.int32)
+        same = ESCAPE not in text and self.lossy.isdisjoint(segments)
+        return np.frombuffer(b"".join(found), np.int32), same
 
     def _new(self, segment: str) -> bytes:
         """Ids of a segment that the newer half of the table lacks; segments in use come back from the older half."""
@@ -278,9 +296,13 @@ class Vocabulary:
         if ids is None:
             found = self._ids(segment)
             ids = struct.pack(f"<{len(found)}i", *found)
+            if b"".join(map(self.raw.__getitem__, found)) != segment.replace(ESCAPE, " ").encode():
+                self.lossy.add(segment)
         if len(segment) <= KEPT:
             if len(self.known) >= SEGMENTS:
                 self.older, self.known = self.known, {}
+                if len(self.lossy) > SEGMENTS:  # no more than the tables can refer to
+                    self.lossy &= self.older.keys()
             self.known[segment] = ids
         return ids
 
@@ -307,10 +329,10 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mo
             for i, j in text_parts(batch.column(n), _PART_BYTES):
                 counts, digests, same, ids = [], [], [], []
                 for one in batch.column(n)[i:j].to_pylist():
-                    got = words.encode(one)
+                    got, back = words.encode_checked(one)
                     counts.append(len(got))
-                    digests.append(hashlib.sha256(got.tobytes()).hexdigest())
-                    same.append(words.decode(got.tolist()) == one)
+                    digests.append(hashlib.sha256(got).hexdigest())
+                    same.append(back)
                     ids.append(got)
                 columns = [*batch.slice(i, j - i).columns[:n], pa.array(counts, pa.int64()), pa.array(digests), pa.array(same)]
                 if with_ids:
