@@ -6,7 +6,8 @@ buckets that needn't be so deep are merged back, so several directory slots shar
 its slot to its bucket. The tasks that own a bucket's keys group them on hash and bytes: texts of one hash form a chain
 whose members are told apart by their bytes, and the entry of a member holds how many rows have it and the row that
 stays, with all that is asked of that row. Copies of one text are a single key: they never overfill a bucket and are
-pre-aggregated before every shuffle. Index files cover ranges of buckets. Lookups go by slot, bucket, hash and, for the
+pre-aggregated before every shuffle. Index files are sorted by bucket; they cover ranges of buckets, but where entries
+carry whole rows. Lookups go by slot, bucket, hash and, for the
 place in the chain, SHA-256.
 
 All is DataFrame code; the driver sees depths and numbers only. The directory has as many rows as slots; it is broadcast
@@ -90,7 +91,9 @@ class ExtendibleIndex:
         best = [F.min("rank").alias("rank"), F.min_by("kept", "rank").alias("kept")] if carry else [F.min("rank").alias("rank")]
         members = index.addressed(rows).groupBy("bucket", "local_depth", "h", "body").agg(F.count("*").alias("n"), *best)
         chained = members.select("bucket", "local_depth", "h", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "n", "rank", *(["kept"] if carry else []))
-        index.entries = saved(chained.repartitionByRange(tasks(spark), "bucket", "h").sortWithinPartitions("bucket", "h", "sha"), "exact-index")
+        # Entries that carry whole rows stay where their owners made them; moving them again would cost as much as the texts.
+        placed = chained if carry else chained.repartitionByRange(tasks(spark), "bucket", "h")
+        index.entries = saved(placed.sortWithinPartitions("bucket", "h", "sha"), "exact-index")
         return index
 
 
