@@ -125,6 +125,8 @@ def test_stretches_carry_the_state():
     whole = made.traverse(block, stretch=1 << 30)
     for stretch in (1, 2, 3, 64):
         assert np.allclose(made.traverse(block, stretch=stretch), whole)
+    count = block.training(np.ones(len(texts), bool))
+    assert np.allclose(made.traverse(block, {k: np.flatnonzero(count[k] >= lm.CUT) for k in (2, 3)}), whole)  # arcs by number
 
 
 def test_a_text_that_stands_twice_scores_apart(spark):

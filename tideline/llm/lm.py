@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .census import SENT, Asked, answers, census, plan, ranges, sent_table
 from .common import lean_group, saved, table, tasks
 from .packing import pack, pack_sorted, unpack, unpack_sorted
-from .words import _BASE, HashArray, batch_bytes, mix, separators, word_hashes, word_spans
+from .words import _BASE, batch_bytes, mix, separators, word_hashes, word_spans
 
 #: Order of the model; smoothing strength K by order of the n-gram; least count of n-grams of two words or more.
 ORDER, STRENGTH, CUT = 3, {2: 8.0, 3: 2.0}, 2
@@ -104,7 +104,7 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Automaton:
-    """States and arcs that the texts of a block can reach. Arcs are found by (state, word)."""
+    """States and arcs that the texts of a block can reach."""
 
     def __init__(self, base: np.ndarray, histories: dict[int, tuple[np.ndarray, np.ndarray]], arcs: dict[int, tuple[np.ndarray, np.ndarray]]):
         """base: probability of each word of the block. histories and arcs, by order of the n-gram: rows of words with
@@ -121,18 +121,34 @@ class Automaton:
         self.fail = np.concatenate([np.zeros(self.after, np.int64), self.one[doubles[:, 1]]])
         self.penalty = np.concatenate([[0.0], np.log10(STRENGTH[2] / (total + STRENGTH[2])), np.log10(STRENGTH[3] / (more + STRENGTH[3]))])
         total_of = np.concatenate([[0.0], total, more])
-        self.arc, self.weight, self.target = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        rows, self.weight, self.target = [], np.zeros(0), np.zeros(0, np.int64)
+        self.first = {}  # by order, the number of its first arc
         for k in sorted(arcs):  # the weight of a longer one needs that of the shorter
             grams, count = arcs[k]
-            state = self.state(grams[:, :-1])
-            lower = 10 ** self.step(self.fail[state], grams[:, -1])[0]
-            weight = np.log10((count + STRENGTH[k] * lower) / (total_of[state] + STRENGTH[k]))
-            self.arc = np.concatenate([self.arc, state << 32 | grams[:, -1]])
-            self.weight = np.concatenate([self.weight, weight])
+            state, word = self.state(grams[:, :-1]), grams[:, -1]
+            below = self.base[word]
+            if k == 3:
+                shorter = self._code(self.one[grams[:, 1]], word)
+                found = self._search(self._code(self.one[arcs[2][0][:, 0]], arcs[2][0][:, 1]), shorter)
+                below = np.where(found >= 0, self.weight[found] if len(self.weight) else 0.0, self.penalty[self.fail[state]] + below)
+            self.first[k] = len(self.weight)
+            rows.append(self._code(state, word))
+            self.weight = np.concatenate([self.weight, np.log10((count + STRENGTH[k] * 10**below) / (total_of[state] + STRENGTH[k]))])
             self.target = np.concatenate([self.target, self.state(grams[:, -2:])])
-            hashed = mix(self.arc.astype(U64))
-            self.order = np.argsort(hashed)
-            self.find = HashArray(hashed[self.order])
+        self.arc = np.concatenate([np.zeros(0, np.int64), *rows])
+
+    @staticmethod
+    def _code(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return state.astype(np.int64) << 32 | word
+
+    @staticmethod
+    def _search(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Number of each code, or -1."""
+        if not len(codes):
+            return np.full(len(wanted), -1)
+        order = np.argsort(codes)
+        at = np.minimum(np.searchsorted(codes[order], wanted), len(codes) - 1)
+        return np.where(codes[order[at]] == wanted, order[at], -1)
 
     def state(self, history: np.ndarray) -> np.ndarray:
         """State of the longest suffix of each history that is one."""
@@ -143,31 +159,37 @@ class Automaton:
             out = np.where(self.two[at] == code, self.after + at, out)
         return out
 
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, next state) of a word in each state: its arc, or failure arcs until there is one."""
+    def step(self, state: np.ndarray, word: np.ndarray, arcs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, next state) of a word in each state: its arc, or failure arcs until there is one.
+
+        arcs: where it is known, the arcs of the word from the states of its last word and of its last two, or -1."""
         gained, state, word, todo = np.zeros(len(state)), state.copy(), word.astype(np.int64), np.arange(len(state))
         while len(todo):
-            here, next_word = state[todo], word[todo]
-            arc = self.lookup(here, next_word)
-            hit = (arc >= 0) & (here > 0)
+            here = state[todo]
+            arc = self._search(self.arc, self._code(here, word[todo])) if arcs is None else np.where(here >= self.after, arcs[1][todo], arcs[0][todo])
             root = here == 0
+            hit = (arc >= 0) & ~root
             gained[todo[hit]] += self.weight[arc[hit]]
             state[todo[hit]] = self.target[arc[hit]]
-            gained[todo[root]] += self.base[next_word[root]]
-            state[todo[root]] = self.one[next_word[root]]
-            todo, here = todo[~hit & ~root], here[~hit & ~root]
+            home = todo[root]
+            gained[home] += self.base[word[home]]
+            state[home] = self.one[word[home]]
+            left = ~(hit | root)
+            todo, here = todo[left], here[left]
             gained[todo] += self.penalty[here]
             state[todo] = self.fail[here]
         return gained, state
 
-    def lookup(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        if not len(self.arc):
-            return np.full(len(state), -1)
-        found = self.find.find(mix((state << 32 | word).astype(U64)))
-        return np.where(found >= 0, self.order[found], -1)
-
-    def traverse(self, block: Block, order: int = ORDER, stretch: int = STRETCH) -> np.ndarray:
-        """Log10 probability of each text."""
+    def traverse(self, block: Block, numbers: dict[int, np.ndarray] | None = None, order: int = ORDER, stretch: int = STRETCH) -> np.ndarray:
+        """Log10 probability of each text. numbers: by order, the block's numbers of the arcs' n-grams; a token's arcs are
+        then found by the numbers of the pair and the triple that it ends, else by state and word."""
+        arcs_at = None
+        if numbers is not None:
+            arcs_at = [np.full(len(block.seq), -1, np.int32) for _ in range(2)]
+            for k, mine in numbers.items():
+                arc_of = np.full(len(block.hash[k]), -1, np.int32)
+                arc_of[mine] = self.first[k] + np.arange(len(mine))
+                arcs_at[k - 2][block.at[k]] = arc_of[block.index[k]]
         text = np.repeat(np.arange(len(block.counts)), -(-block.counts // stretch))
         part = np.arange(len(text)) - np.repeat(np.cumsum(np.bincount(text)) - np.bincount(text), np.bincount(text)) if len(text) else text
         low = 1 + part * stretch  # places in the text, from its first token on
@@ -184,7 +206,8 @@ class Automaton:
         for t in range(int(length.max(initial=0))):
             while active and length[active - 1] <= t:
                 active -= 1
-            gained, state[:active] = self.step(state[:active], block.seq[offset[:active] + early[:active] + t])
+            at = offset[:active] + early[:active] + t
+            gained, state[:active] = self.step(state[:active], block.seq[at], arcs_at and (arcs_at[0][at], arcs_at[1][at]))
             score[:active] += np.where(early[:active] + t >= low[:active], gained, 0.0)
         return np.bincount(text, weights=score, minlength=len(block.counts))
 
@@ -292,7 +315,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ord
         is_live = pa.compute.is_valid(told["live"])
         found = told.filter(is_live).rename_columns(["range", "unit", "tag", "live", "counts", "sums"])
         owned = told.filter(pa.compute.invert(is_live))
-        histories, arcs, words = {}, {}, np.zeros(len(block.words))
+        histories, arcs, numbers, words = {}, {}, {}, np.zeros(len(block.words))
         for k, states, _, _, grams, _, _ in reach(group, block, found):
             mine = owned.filter(pa.compute.equal(owned["k"], k)).sort_by("range")
             counts, sums = (np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py(), np.int64) for x in mine[c])]) for c in ("counts", "sums"))
@@ -300,13 +323,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ord
                 words[grams] = counts
                 continue
             states, grams = states[sums > 0], grams[counts > 0]
+            numbers[k] = grams
             histories[k] = (states[:, None] if k == 2 else block.pairs[states]), sums[sums > 0]
             arcs[k] = (block.pairs[grams] if k == 2 else np.column_stack([block.pairs[block.triples[grams, 0]], block.triples[grams, 1]])), counts[counts > 0]
         probability = (words + 0.5) / (tokens + 0.5 * (distinct + 1))
         text, token = np.repeat(np.arange(n, dtype=np.int32), block.counts), block.index[1]
         base = np.bincount(text, weights=np.log10(probability)[token], minlength=n)
         known = np.bincount(text, weights=words[token] > 0, minlength=n).astype(np.int64)
-        score = Automaton(probability, histories, arcs).traverse(block, order)
+        score = Automaton(probability, histories, arcs).traverse(block, numbers, order)
         columns = [group["id"], group["held_out"], block.counts.astype(np.int64), known, np.full(n, tokens), base, score]
         return pa.table(columns, schema=_result(group.schema.field("id").type))
 
