@@ -271,3 +271,16 @@ def test_stores_are_written_and_recovered(spark, tmp_path):
     store.snapshot(files, recovery.snapshot_edit(recovery.read_edits(spark, str(tmp_path))), 50)
     assert recovery.manifest_name(spark, str(tmp_path)) == "MANIFEST-000050"
     assert recovery.recover(spark, str(tmp_path)).entries.count() == 399
+
+
+def test_history_of_edits_in_many_manifests(spark, tmp_path):
+    """Manifests of a bounded size, each encoded by a task: the driver never holds all edits."""
+    r = random.Random(7)
+    rows = [(n, r.randrange(7), r.randrange(90), r.randrange(2), n, bytearray(b"a"), bytearray(b"\xff")) for n in range(1, 1500)]
+    events = spark.createDataFrame(rows, "edit_no long, level int, number long, kind int, file_size long, smallest binary, largest binary")
+    written = store.write_history(HadoopFiles(spark, str(tmp_path)), events.repartition(5), 1, file_bytes=8192)
+    assert written > 3 and {f"MANIFEST-{n:06d}" for n in range(1, written + 1)} == {p.name for p in tmp_path.glob("MANIFEST*")}
+    found = kvlog.scan_manifests(spark, f"{tmp_path}/MANIFEST-*").orderBy("file", "edit_no").collect()
+    assert [(f.last_sequence, f.level, f.number, f.kind) for f in found] == [x[:4] for x in rows]
+    assert all(f.file_size == f.last_sequence and bytes(f.largest) == b"\xff" for f in found if f.kind)
+    assert store.write_history(HadoopFiles(spark, f"{tmp_path}/none"), events.filter("level > 7"), 1) == 0

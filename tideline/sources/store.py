@@ -7,6 +7,7 @@ it, by a rename."""
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +89,38 @@ def write_manifest(files: Files, number: int, edits: list[kvlog.Edit]) -> None:
     files.write("CURRENT", name.encode() + b"\n")
 
 
+def write_history(files: Files, events: DataFrame, first: int, file_bytes: int = manifest.MAX_FILE_BYTES) -> int:
+    """File events (edit_no, level, number, kind, file_size, smallest, largest) as manifests, numbered from first on, in order
+    of edit_no, deletes before adds; returns how many there are. Each event is an edit that has edit_no as its last sequence.
+
+    However long the history, each of its manifests is of file_bytes or so, encoded and read by a task of its own, and the
+    driver holds one at a time. A store opens from a single manifest, so there is no CURRENT."""
+    names = ["edit_no", "level", "number", "kind", "file_size", "smallest", "largest"]
+    rows = events.select(*names)
+    # Header, tags and level, three numbers of 64 bits at most, two slices.
+    bound = 40 + F.coalesce(F.octet_length("smallest") + F.octet_length("largest"), F.lit(0))
+    ranges = Ranges(rows, "edit_no", "kind", "level", "number", count=int((rows.agg(F.sum(bound)).first()[0] or 0) // file_bytes) + 1)
+    places = pa.schema([("place", pa.int32()), ("content", pa.binary())])
+
+    def encode(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("edit_no", "kind", "level", "number")])
+        made = (
+            (kvlog.Edit(last_sequence=no, added=[(level, n, size, bytes(low), bytes(high))]) if kind else kvlog.Edit(last_sequence=no, deleted=[(level, n)])).encode()
+            for no, level, n, kind, size, low, high in zip(*(group[c].to_pylist() for c in names), strict=True)
+        )
+        return pa.table([group["_range"][:1].cast(pa.int32()), pa.array([kvlog.write_log(made)], pa.binary())], schema=places)
+
+    # Held on the executors' disks: a local iterator alone would have one partition encoded at a time.
+    encoded = rows.withColumn("_range", ranges.column()).groupBy("_range").applyInArrow(encode, "place int, content binary").persist(StorageLevel.DISK_ONLY)
+    try:
+        written = encoded.count()
+        for r in encoded.toLocalIterator():  # a range's place gives the manifest's number
+            files.write(f"MANIFEST-{first + r.place:06d}", bytes(r.content))
+    finally:
+        encoded.unpersist()
+    return written
+
+
 def write_store(files: Files, tables: DataFrame, tail: DataFrame, level: int = 1, comparator: str = "bytewise", **options) -> kvlog.Edit:
     """A whole store: tables of one level, logs of what came after them, manifest and CURRENT; returns its state."""
     made = write_tables(files, tables, 1, **options)
