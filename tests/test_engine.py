@@ -169,3 +169,29 @@ def test_stream(spark, tmp_path):
     got = []
     changelog.apply_stream(changelog.stream_log(spark, str(log), "k long, seq long, op int, v string"), lambda b: got.append(b.count()), str(tmp_path / "cp")).awaitTermination()
     assert sum(got) == 4
+
+
+def test_overlap_sums_make_no_pairs(spark, monkeypatch):
+    """Files and bytes by range and level, against plain lists: shared keys, open, inverted and repeated ranges, no level."""
+    r = random.Random(8)
+    files = [(r.choice([0, 1, 2, 3, None]), n, r.choice([5, 1000, None]), low, low + r.randrange(30)) for n, low in enumerate(r.randrange(60) for _ in range(150))]
+    spans = [(n % 70, *[None if r.random() < 0.1 else r.randrange(-5, 100) for _ in range(2)]) for n in range(90)]
+    f = spark.createDataFrame(files, "level int, number long, file_size long, smallest long, largest long")
+    s = spark.createDataFrame(spans, "range_id int, lo long, hi long")
+
+    def want(files):
+        out = {}
+        for i, lo, hi in spans:
+            for level, _, size, low, high in files:
+                if (lo is None or hi is None or lo <= hi) and (lo is None or high is not None and lo <= high) and (hi is None or low is not None and low <= hi):
+                    n, b = out.get((i, level), (0, 0))
+                    out[i, level] = n + 1, b + (size or 0)
+        return out
+
+    got = lambda f, **k: {(x.range_id, x.level): (x.files, x.bytes) for x in manifest.overlap_sums(f, s, **k).collect()}
+    odd = [(1, 900, 7, 50, 40), (None, 901, 7, None, 10), (2, 902, 7, 10, None), (3, 903, 7, None, None)]
+    assert got(f.unionByName(spark.createDataFrame(odd, f.schema))) == want(files + odd)
+    monkeypatch.setattr(manifest, "overlaps", None)  # pairs are made of files without keys in order alone
+    assert got(f) == got(f, bins=7) == want(files)
+    assert got(f.limit(0)) == {}
+    assert manifest.output_level(f, s).count() == len(spans)

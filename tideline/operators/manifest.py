@@ -65,6 +65,60 @@ def overlaps(files: DataFrame, ranges: DataFrame, bins: int | None = None) -> Da
     return pairs.drop("_bin", "_from", "_first")
 
 
+def overlap_sums(files: DataFrame, ranges: DataFrame, bins: int | None = None) -> DataFrame:
+    """How many files overlap each range at each level, and their bytes: range_id, level, files, bytes, where there are any.
+    What grouping the pairs of overlaps gives, without making them.
+
+    A file whose keys are in order misses a range if it begins after the range's end or ends before its begin, never both.
+    So the files a level has up to the end, by their smallest keys, less those before the begin, by their largest ones, are
+    those that overlap. Both are running sums over bins of the key order; a pass over files gives the sums of earlier bins.
+    Files without both keys in order (there should be none) are paired."""
+    kind = files.schema["level"].dataType
+    ordered = F.coalesce(F.col("smallest") <= F.col("largest"), F.lit(False))
+    size = F.coalesce("file_size", F.lit(0))
+    ends = F.when(ordered, F.array(F.struct(F.col("smallest").alias("x"), F.lit(True).alias("begins")), F.struct(F.col("largest").alias("x"), F.lit(False).alias("begins"))))
+    points = files.select("level", F.explode_outer(ends).alias("end"), size.alias("size")).select("level", "end.x", "end.begins", "size")
+    # One row a level, key and side, however many files share it; files without keys in order have no side.
+    held = points.groupBy("level", "x", "begins").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    proper = ranges.filter("lo is null or hi is null or lo <= hi").select("range_id", "lo", "hi")
+    keys = files.select(F.explode(F.array("smallest", "largest")).alias("k"))
+    cut = Ranges(keys.unionByName(proper.select(F.col("lo").alias("k"))).filter("k is not null"), "k", count=bins)
+    last = len(cut.bounds) + 1  # a bin beyond all, for open ends
+
+    facts = held.withColumn("_bin", cut.of(F.col("x"))).groupBy("_bin", "level", "begins").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()
+    paired = overlaps(files.filter(~ordered), ranges, bins).groupBy("range_id", "level").agg(F.count("*").alias("files"), F.sum(size).alias("bytes")) if any(r.begins is None for r in facts) else None
+    facts, held = [r for r in facts if r.begins is not None], held.filter("begins is not null")
+    levels = sorted({r.level for r in facts}, key=lambda x: (x is None, x))
+    if not levels:
+        none = ranges.select("range_id", F.lit(None).cast(kind).alias("level"), F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("bytes")).limit(0)
+        return none if paired is None else paired
+    before = {(level, begins): [(0, 0)] * (last + 1) for level in levels for begins in (True, False)}
+    of = {(r._bin, r.level, r.begins): (r.n, r.b) for r in facts}
+    for (level, begins), sums in before.items():
+        for i in range(1, last + 1):
+            n, b = of.get((i - 1, level, begins), (0, 0))
+            sums[i] = (sums[i - 1][0] + n, sums[i - 1][1] + b)
+    number = F.coalesce(*[F.when(F.col("level").eqNullSafe(F.lit(x)), i) for i, x in enumerate(levels)])
+    total = held.schema["b"].dataType.simpleString()
+    rows = [(i, bin, begins, *sums) for i, level in enumerate(levels) for begins in (True, False) for bin, sums in enumerate(before[level, begins])]
+    earlier = files.sparkSession.createDataFrame(rows, f"_level int, _bin int, begins boolean, n0 long, b0 {total}")
+
+    # Asked are the sums up to a range's end, itself included, and before its begin; an open begin has nothing before it.
+    ask = lambda c, begins: proper.select("range_id", F.col(c).alias("x"), F.lit(begins).alias("begins"))
+    asked = ask("hi", True).unionByName(ask("lo", False).filter("x is not null"))
+    asked = asked.withColumn("_bin", F.when(F.col("x").isNull(), last).otherwise(cut.of(F.col("x")))).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1))))
+    rows = held.select("x", "begins", "n", "b", cut.of(F.col("x")).alias("_bin"), number.alias("_level")).unionByName(asked, allowMissingColumns=True)
+    queried = F.when(F.col("n").isNull(), F.when(F.col("begins"), 1).otherwise(-1)).otherwise(0)
+    w = Window.partitionBy("_level", "begins", "_bin").orderBy("x", queried).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.select("range_id", "_level", "begins", "_bin", queried.alias("sign"), *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in "nb"]).filter("sign <> 0")
+    found = sums.join(F.broadcast(earlier), ["_level", "_bin", "begins"]).groupBy("range_id", "_level").agg(
+        F.sum(F.col("sign") * (F.col("n") + F.col("n0"))).alias("files"), F.sum(F.col("sign") * (F.col("b") + F.col("b0"))).alias("bytes")
+    )
+    named = F.element_at(F.array(*[F.lit(x).cast(kind) for x in levels]), F.col("_level") + 1)
+    out = found.filter("files > 0").select("range_id", named.alias("level"), "files", "bytes")
+    return out if paired is None else out.unionByName(paired).groupBy("range_id", "level").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+
+
 def overlap_closure(files: DataFrame, lo: object, hi: object) -> DataFrame:
     """Files of level 0 in the connected component of intervals that holds the range; null bounds are open.
 
