@@ -150,9 +150,8 @@ def overlap_closure(files: DataFrame, lo: object, hi: object) -> DataFrame:
 
 def output_level(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """Level to which a flush of each range (range_id, lo, hi) goes."""
-    hits = overlaps(files, ranges).groupBy("range_id").agg(
-        *[F.count_if(F.col("level") == n).alias(f"c{n}") for n in (0, 1, 2)], *[F.coalesce(F.sum(F.when(F.col("level") == n, F.col("file_size"))), F.lit(0)).alias(f"b{n}") for n in (2, 3)]
-    )
+    of = lambda n, c: F.coalesce(F.sum(F.when(F.col("level") == n, F.col(c))), F.lit(0))
+    hits = overlap_sums(files, ranges).groupBy("range_id").agg(*[of(n, "files").alias(f"c{n}") for n in (0, 1, 2)], *[of(n, "bytes").alias(f"b{n}") for n in (2, 3)])
     rows = ranges.select("range_id").join(hits, "range_id", "left").fillna(0)
     far = lambda n: F.col(f"b{n}") > GRANDPARENT_BYTES
     level = F.when((F.col("c0") > 0) | (F.col("c1") > 0) | far(2), 0).when((F.col("c2") > 0) | far(3), 1).otherwise(MAX_OUTPUT_LEVEL)
