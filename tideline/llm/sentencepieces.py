@@ -43,6 +43,8 @@ ESCAPE = "▁"
 # Piece types and model types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: The score of a merge that there isn't.
+NEVER = float("-inf")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -124,6 +126,8 @@ class Vocabulary:
         #: By left piece, whether a right piece may follow it, as far as known; and how many are known.
         self.after: list[dict[int, bool]] = [{} for _ in self.pieces]
         self.pairs = 0
+        #: By piece, the merges that make it.
+        self.steps: dict[int, list[tuple[float, str, str]] | None] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.lossy: set[str] = set()
@@ -151,11 +155,47 @@ class Vocabulary:
                 for held in self.after:
                     held.clear()
                 self.pairs = 0
-            a, b = self.pieces[left], self.pieces[right]
-            found = self.after[left][right] = a + b not in self.ids and self.merge(a + b) == [a, b]
+            found = self.after[left][right] = self._stays_apart(left, right)
             self.pairs += 1
         return found
 
+    def _steps(self, k: int) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece of its characters, in their order: score, first and last part before each; at the
+        end the piece itself. None if merging doesn't make it."""
+        if k not in self.steps:
+            parts, out = list(self.pieces[k]), []
+            while True:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    one = self.ids.get(parts[i] + parts[i + 1])
+                    if one is not None and (best is None or self.scores[one] > best):
+                        best, at = self.scores[one], i
+                out.append((NEVER if best is None else best, parts[0], parts[-1]))
+                if best is None:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.steps[k] = out if len(parts) == 1 else None
+        return self.steps[k]
+
+    def _stays_apart(self, left: int, right: int) -> bool:
+        """merge(a + b) == [a, b], by the merges of a and of b alone: in the joined text they come in the order of their
+        scores, leftmost first, until one across the border, of a's last part and b's first, comes before them."""
+        a, b = self._steps(left), self._steps(right)
+        if a is None or b is None:
+            return False
+        ids, scores, i, j = self.ids, self.scores, 0, 0
+        while True:
+            (next_a, _, end), (next_b, begin, _) = a[i], b[j]
+            across = ids.get(end + begin)
+            if across is not None and scores[across] > next_a and scores[across] >= next_b:
+                return False
+            if next_a == NEVER and next_b == NEVER:
+                return True
+            if next_a >= next_b:
+                i += 1
+            else:
+                j += 1
+
     def search(self, text: Iterable[str]) -> Iterator[tuple[int, str]]:
         """(id, text) of the pieces of a stream of characters, as soon as they are final; id -1 for unknown characters."""
         for pieces in self._final(text):
@@ -259,6 +299,15 @@ class Vocabulary:
 
     def _ids(self, text: str) -> list[int]:
         out = []
+        if len(text) < LOOK_EVERY and self.kind == BPE:  # the search sees it whole: one window, one path back
+            last, start, to = [-2, *[None] * len(text)], [0] * (len(text) + 1), len(text)
+            self._fit_on(text, last, start, [], 0, to, 0, 0)
+            while to and last[to] >= 0:
+                out.append(last[to])
+                to = start[to]
+            if not to:
+                return out[::-1]
+            out = []
         for pieces in self._final(text):
             for k, part in pieces:
                 if k >= 0:
