@@ -142,3 +142,15 @@ def test_a_text_that_stands_twice_scores_apart(spark):
 
 def test_empty_table(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_numbers_and_orders_without_sorting_all():
+    r = np.random.default_rng(9)
+    for n in (0, 1, 5000):
+        values = r.integers(0, 300, n).astype(np.uint64) << np.uint64(54)
+        for got, want in zip(lm._numbered_often(values), lm._numbered(values), strict=True):
+            assert got.dtype == want.dtype and np.array_equal(got, want)
+        place, whole = r.integers(0, 40, n), r.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1)
+        assert np.array_equal(lm._by_place(place, whole), np.lexsort((whole, place)))
+        wide = place << 30  # no room for both in 64 bits
+        assert np.array_equal(lm._by_place(wide, whole), np.lexsort((whole, wide)))

@@ -69,7 +69,7 @@ class Block:
         inside[self.begin[1:] - 1] = False
         seq[inside] = word_hashes(data, starts, ends)
         del data, starts, ends, inside
-        self.words, self.seq = _numbered(seq)
+        self.words, self.seq = _numbered_often(seq)
         del seq
         #: By order: where n-grams end, and the number of the n-gram that ends there; their hashes.
         self.at, self.index, self.hash = {1: np.flatnonzero(~starting).astype(np.int32)}, {}, {1: mix(self.words)}
@@ -97,6 +97,25 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, number.astype(np.int32)
 
 
+def _numbered_often(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for values that repeat: they are hashed, and only the distinct ones are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return distinct[order], rank[coded.indices.to_numpy()]
+
+
+def _by_place(place: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Order by place, then hash, in one sort where places leave room for the bits that tell n-grams apart (those that
+    agree in these have the same counts, so their order is free)."""
+    bits = max(int(place.max(initial=0)).bit_length(), 1)
+    if 64 - bits < NAME_BITS:
+        return np.lexsort((whole, place))
+    return np.argsort(place.astype(U64) << U64(64 - bits) | whole >> U64(bits))
+
+
 def _pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct pairs of numbers, number of each pair's)."""
     code, number = _numbered(left.astype(np.int64) << 32 | right)
@@ -251,7 +270,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ord
             rank = np.zeros(len(block.hash[k - 1]), np.int64)
             rank[histories] = np.arange(len(histories))
             place = rank[of[grams]]
-            by = np.lexsort((block.hash[k][grams], place))
+            by = _by_place(place, block.hash[k][grams])
             grams = grams[by]
             yield k, histories, block.hash[k - 1][histories], np.bincount(place, minlength=len(histories)), grams, own[k][grams], block.hash[k][grams]
 
