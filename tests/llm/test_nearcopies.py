@@ -104,3 +104,9 @@ def test_sets_are_exact():
 
 def test_empty_table(spark):
     assert nearcopies.near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_that_sizes_and_maps_rule_out_need_no_sets(spark):
+    maps = spark.createDataFrame([(1, 10, [0] * 8), (2, 10, [1] + [0] * 7), (3, 5, [0] * 8), (4, 10, [-1] * 8)], "node long, n long, bits array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 4)], "a long, b long")
+    assert [tuple(r) for r in nearcopies._allowed(pairs, maps, 0.8).collect()] == [(1, 2)]

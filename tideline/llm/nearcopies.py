@@ -144,6 +144,12 @@ def _may_link(similarity: float) -> Column:
     return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (apart <= (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
+def _allowed(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sizes and maps allow for the similarity: sets need not be made for the others."""
+    a, b = (maps.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits")]) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").filter(_may_link(similarity)).select("a", "b")
+
+
 def _near_rows(source: DataFrame, similarity: float) -> DataFrame:
     """(id, row, node, root) of every row of (id, row, node, text); rows with one root are linked."""
     sketches = saved(_sketches(source), "near-sketches")
@@ -155,9 +161,10 @@ def _near_rows(source: DataFrame, similarity: float) -> DataFrame:
 
     members = saved(_members(sketches), "near-members")
     star = members.filter("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-    star = saved(star.distinct(), "near-pairs")
+    maps = saved(sketches.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"]), "near-maps")
+    star = saved(_allowed(star.distinct(), maps, similarity), "near-pairs")
     roots = components(edges.unionByName(_alike(star, source, similarity)))
-    maps = sketches.join(members.select("node").distinct(), "node", "left_semi").select("node", "bits").dropDuplicates(["node"])
+    maps = maps.drop("n")
     placed = saved(members.drop("pivot").join(roots, "node", "left").join(maps, "node").select("key", "node", "n", "bits", F.coalesce("root", "node").alias("root")), "near-placed")
     left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "bits", "root")]) for x in "ab")
     wanted = (left.key == right.key) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(similarity)
