@@ -299,15 +299,6 @@ class Vocabulary:
 
     def _ids(self, text: str) -> list[int]:
         out = []
-        if len(text) < LOOK_EVERY and self.kind == BPE:  # the search sees it whole: one window, one path back
-            last, start, to = [-2, *[None] * len(text)], [0] * (len(text) + 1), len(text)
-            self._fit_on(text, last, start, [], 0, to, 0, 0)
-            while to and last[to] >= 0:
-                out.append(last[to])
-                to = start[to]
-            if not to:
-                return out[::-1]
-            out = []
         for pieces in self._final(text):
             for k, part in pieces:
                 if k >= 0:
