@@ -7,6 +7,7 @@ import pyarrow as pa
 import corpus_pipeline
 from tests.llm.test_simhash import brute as fingerprint
 from tideline.llm import nearcopies
+from tideline.llm.common import settings
 
 
 def shingles(text):
@@ -110,3 +111,49 @@ def test_pairs_that_sizes_and_maps_rule_out_need_no_sets(spark):
     maps = spark.createDataFrame([(1, 10, [0] * 8), (2, 10, [1] + [0] * 7), (3, 5, [0] * 8), (4, 10, [-1] * 8)], "node long, n long, bits array<long>")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 4)], "a long, b long")
     assert [tuple(r) for r in nearcopies._allowed(pairs, maps, 0.8).collect()] == [(1, 2)]
+
+
+def test_only_texts_of_candidates_are_shuffled(spark):
+    """Whatever joins Spark chooses: rows that neither are candidates nor go must not be moved."""
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(r.choices("abcdefghijklmnop", k=8)) for _ in range(120))) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1] + " end") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+
+    def written():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    def shuffled(do):
+        before = written()
+        return do(), written() - before
+
+    size = sum(len(t) for _, t in rows)
+    source = nearcopies._source(docs, "doc_id", "text", nearcopies.F.lit(0).cast("long"))
+    node = {x.id: x.node for x in source.collect()}
+    pairs = spark.createDataFrame([(node[i], node[2000 + i]) for i in range(6)] + [(node[0], node[1])], "a long, b long")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        linked, moved = shuffled(lambda: {(x.a, x.b) for x in nearcopies._alike(pairs, source, 0.8).collect()})
+        assert linked == {(node[i], node[2000 + i]) for i in range(6)}
+        assert moved < size / 10
+        kept, all_moved = shuffled(lambda: {x.doc_id for x in nearcopies.drop_near(docs).collect()})
+    assert kept == set(range(1500))
+    # 32 keys, maps and bits of a row go over shuffles, but no text does a second time.
+    assert all_moved < 1.3 * size
+
+
+def test_filter_passes_all_its_keys_and_few_others(spark):
+    keys = spark.range(0, 30000, 3).toDF("k")
+    rows = spark.range(60000).toDF("row")
+    for words in (nearcopies.FILTER_WORDS, 1, 64):
+        limit, nearcopies.FILTER_WORDS = nearcopies.FILTER_WORDS, words
+        try:
+            passes = nearcopies._Filter(keys)
+        finally:
+            nearcopies.FILTER_WORDS = limit
+        may, not_in = ({x.row for x in passes.join(rows, "row", how).collect()} for how in ("left_semi", "left_anti"))
+        assert set(range(0, 30000, 3)) <= may and may | not_in == set(range(60000)) and not may & not_in
+        if words == limit:
+            assert len(may) < 10600
+    assert not nearcopies._Filter(keys.limit(0)).join(rows, "row", "left_semi").count()

@@ -13,6 +13,7 @@ cluster of many copies costs some comparisons a copy, and texts that share keys
 than the bound.
 
 A node is the 64-bit hash of a text. Sets are made again from the texts of candidates only and are never kept for all.
+Texts of other nodes, and rows that stay, pass a broadcast filter of bounded size instead of a shuffle.
 
 Defined results. Null and blank texts have no shingles and link by SimHash alone, so all of them are one component; texts of fewer than five words are one
 shingle. Equal texts share a node. Null ids never are a component id unless all ids of a component are null. Empty
@@ -34,8 +35,8 @@ from .components import components
 from .words import batch_bytes, gram_hashes, mix, separators, text_parts, word_hashes, word_spans
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BITS = 5, 0.8, 32, 5, 512
-#: Rows of a task that groups keys.
-TASK_ROWS = 2_000_000
+#: Rows of a task that groups keys; words of 64 bits that a filter has at most, keys that a word is meant for.
+TASK_ROWS, FILTER_WORDS, WORD_KEYS = 2_000_000, 1 << 20, 2
 _PART_BYTES = 1 << 20
 U64 = np.uint64
 _TURNS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
@@ -113,6 +114,28 @@ def _members(sketches: DataFrame) -> DataFrame:
     return keyed.mapInArrow(lean(each), "key long, node long, n long, pivot long")
 
 
+def _word(key: Column, words: int) -> tuple[Column, Column]:
+    """Which word of a filter a key has, and its three bits there."""
+    h = F.xxhash64(key)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, at).bitwiseAND(F.lit(63)).cast("int")) for at in (0, 6, 12)]
+    return F.shiftrightunsigned(h, 32) % words, bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+class _Filter:
+    """Bits of a set of keys, of bounded size and broadcast, so that rows of other keys need no shuffle. Some other keys
+    pass as well, more of them once the set outgrows the bits: what passes is to be joined exactly."""
+
+    def __init__(self, keys: DataFrame):
+        self.words = min(FILTER_WORDS, keys.count() // WORD_KEYS + 1)
+        word, bits = _word(F.col(keys.columns[0]), self.words)
+        self.table = saved(keys.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")), "near-filter")
+
+    def join(self, rows: DataFrame, key: str, how: str) -> DataFrame:
+        """Rows whose key may be in the set (left_semi) or is not (left_anti)."""
+        word, bits = _word(rows[key], self.words)
+        return rows.join(F.broadcast(self.table), (word == self.table.word) & (self.table.bits.bitwiseAND(bits) == bits), how)
+
+
 def _alike(pairs: DataFrame, source: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets are alike."""
 
@@ -131,8 +154,8 @@ def _alike(pairs: DataFrame, source: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = source.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    nodes = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-nodes")
+    texts = _Filter(nodes).join(source.select("node", "text"), "node", "left_semi").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     made = saved(texts.mapInArrow(lean(sets), "node long, grams binary"), "near-sets")
     a, b = (made.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(lean(verified), "a long, b long")
@@ -195,4 +218,6 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simil
     rank = F.struct(F.col("id").isNull(), "id", "row")
     stays = rows.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row").alias("row"))
     gone = saved(rows.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(number)), "near-gone")
-    return numbered.join(gone, number, "left_anti").select(*docs.columns)
+    passes = _Filter(gone)
+    stay = passes.join(numbered, number, "left_anti").unionByName(passes.join(numbered, number, "left_semi").join(gone, number, "left_anti"))
+    return stay.select(*docs.columns)
