@@ -103,6 +103,30 @@ def test_encode_goes_through_the_search(words, monkeypatch):
     assert {len(t) > S.KEPT for t in seen} == {True, False} and "".join(seen) == "▁short▁words▁and▁" + "x" * 300
 
 
+def test_a_position_with_a_piece_asks_for_no_more_pairs(monkeypatch):
+    """One piece at most ends at a position, so pairs are tested until it is found; keys of segments take a byte a character."""
+    asked = []
+    apart = S.Vocabulary._stays_apart
+    monkeypatch.setattr(S.Vocabulary, "_stays_apart", lambda self, *pair: (asked.append((pair, apart(self, *pair))), asked[-1][1])[1])
+    fresh = S.Vocabulary(open(S.MODEL_PATH, "rb").read())
+    for word in ("international", "thoningin", "unbelievable"):
+        asked.clear()
+        fresh.after = [{} for _ in fresh.pieces]
+        text = S.ESCAPE + word
+        got = list(fresh.search(text))
+        # Pairs of pieces that meet in the text, by the position where the right one ends.
+        ends = {fresh.ids[text[j:k]]: k for j in range(len(text)) for k in range(j + 1, len(text) + 1) if text[j:k] in fresh.ids and text.count(text[j:k]) == 1}
+        seen = [(ends[b], fits) for (_, b), fits in asked if b in ends]
+        found = set()
+        for to, fits in seen:
+            assert to not in found
+            if fits:
+                found.add(to)
+        assert found and "".join(p for _, p in got) == text
+    fresh.encode("ordinary words")
+    assert fresh.known and all(k.isascii() for k in fresh.known)
+
+
 def test_clashing_names(spark):
     names = ["doc_id", "text", "ids", "n_tokens", "IDS_SHA256", "round_trip", "whole"]
     df = spark.createDataFrame([(1, "a b", "1", "2", "3", "4", "5")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))

@@ -37,7 +37,7 @@ from .words import text_parts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries of the tables of segments and of pairs that a worker keeps; longest segment kept; characters that the search takes at once.
-SEGMENTS, PAIRS, KEPT, LOOK_EVERY = 160_000, 300_000, 64, 64
+SEGMENTS, PAIRS, KEPT, LOOK_EVERY = 320_000, 300_000, 64, 64
 _PART_BYTES = 1 << 21
 ESCAPE = "▁"
 # Piece types and model types of the model format.
@@ -121,8 +121,9 @@ class Vocabulary:
         inner = {c for p in self.ids for c in p}
         crossing = any(ESCAPE in p.lstrip(ESCAPE) for p in self.ids)
         lone = "\n" not in inner
-        stop = f"{ESCAPE}\n" if lone else ESCAPE
-        self.segments = None if crossing else re.compile(f"{ESCAPE}*[^{stop}]+|{ESCAPE}+" + "|\n" * lone)
+        stop = " \n" if lone else " "
+        #: Segments of a text that has blanks for escape characters: most such strings take a byte a character.
+        self.segments = None if crossing else re.compile(f" *[^{stop}]+| +" + "|\n" * lone)
         #: By left piece, whether a right piece may follow it, as far as known; and how many are known.
         self.after: list[dict[int, bool]] = [{} for _ in self.pieces]
         self.pairs = 0
@@ -206,9 +207,16 @@ class Vocabulary:
 
         By position in the window, what follows the last final boundary: the last piece of the best path up to there
         (None: there is no path, -2: the text begins there), where it starts, and its score."""
+        extend = self._sum_up if self.kind == UNIGRAM else self._fit_on
+        if isinstance(text, str) and len(text) < LOOK_EVERY:  # one window holds all of it
+            size = len(text)
+            last, start = [-2, *[None] * size], [0] * (size + 1)
+            extend(text, last, start, [0.0] * (size + 1), 0, size, 0, 0)
+            yield _path(text, last, start, size)
+            return
         window, last, start, score = "", [-2], [0], [0.0]
         at = reach = met = 0
-        longest, extend, taken, ended = self.longest, self._sum_up if self.kind == UNIGRAM else self._fit_on, 0, False
+        longest, taken, ended = self.longest, 0, False
         source = None if isinstance(text, str) else iter(text)
         while not ended:
             part = "".join(islice(source, LOOK_EVERY)) if source else text[taken : taken + LOOK_EVERY]
@@ -239,23 +247,26 @@ class Vocabulary:
                 continue
             if at == reach:
                 met = at
-            first = root.get(window[at])
+            allowed = after[before].get if before >= 0 else None
+            first, to = root.get(window[at]), at + 1
             if first is None or first[0] < 0:  # a character that is no piece stands for itself
-                to = at + 1
                 last[to], start[to] = -1, at
                 if to > reach:
                     reach = to
                 if first is None:
                     continue
-            allowed = after[before].get if before >= 0 else None
-            below, to = root, at
-            for char in window[at : at + longest]:
+            elif last[to] is None and (allowed is None or fits(before, first[0])):
+                last[to], start[to] = first[0], at
+                if to > reach:
+                    reach = to
+            below = first[1]
+            for char in window[to : at + longest]:
                 node = below.get(char)
                 if node is None:
                     break
                 to += 1
                 k, below = node
-                if k < 0:
+                if k < 0 or last[to] is not None:  # only one piece ends here, and it is found
                     continue
                 if allowed is not None:
                     ok = allowed(k)
@@ -317,11 +328,11 @@ class Vocabulary:
         for every segment; the escape character itself comes back as a blank."""
         if not text:
             return np.zeros(0, np.int32), True
-        escaped = (" " * self.prefix + text).replace(" ", ESCAPE)
+        blank = " " * self.prefix + text.replace(ESCAPE, " ")
         if self.segments is None or not self.bytes:
-            ids = self._ids(escaped)
+            ids = self._ids(blank.replace(" ", ESCAPE))
             return np.array(ids, np.int32), self.decode(ids) == text
-        segments = self.segments.findall(escaped)
+        segments = self.segments.findall(blank)
         found = list(map(self.known.get, segments))
         if None in found:
             for at, ids in enumerate(found):
@@ -334,9 +345,9 @@ class Vocabulary:
         """Ids of a segment that the newer half of the table lacks; segments in use come back from the older half."""
         ids = self.known.get(segment) or self.older.get(segment)
         if ids is None:
-            found = self._ids(segment)
+            found = self._ids(segment.replace(" ", ESCAPE))
             ids = struct.pack(f"<{len(found)}i", *found)
-            if b"".join(map(self.raw.__getitem__, found)) != segment.replace(ESCAPE, " ").encode():
+            if b"".join(map(self.raw.__getitem__, found)) != segment.encode():
                 self.lossy.add(segment)
         if len(segment) <= KEPT:
             if len(self.known) >= SEGMENTS:
